@@ -31,9 +31,9 @@ def read_json(spark: SparkSession, path: str, schema, multiline: bool = True) ->
 
 
 def read_events(spark: SparkSession, path: str, multiline: bool = True,
-                id_pattern: str = FILE_STEM) -> DataFrame:
+                id_pattern: str = FILE_STEM, schema=EVENT_SCHEMA) -> DataFrame:
     """Nested events of all matches under ``path``, plus ``match_id``."""
-    df = read_json(spark, path, EVENT_SCHEMA, multiline)
+    df = read_json(spark, path, schema, multiline)
     return df.withColumn("match_id", id_from_path(F.col("_metadata.file_path"), id_pattern))
 
 
@@ -88,3 +88,26 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     ``path`` column is selected, so no file content is read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", "true").load(path).select("path"))
+
+
+def nest_events(flat: DataFrame, roles: Roles) -> DataFrame:
+    """Canonical flat events -> nested event records (the shape of the
+    original event files), plus ``match_id``."""
+    r = roles
+
+    def ident(col):
+        return F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("id")))
+
+    shot = (F.when(F.col("shot_outcome").isNotNull(),
+                   F.struct(F.struct(F.col("shot_outcome").alias("id")).alias("outcome")))
+            if "shot_outcome" in flat.columns else F.lit(None).cast(EVENT_SCHEMA["shot"].dataType))
+    player = F.when(F.col(r.player).isNotNull() | F.col(r.player_name).isNotNull(),
+                    F.struct(F.col(r.player).alias("id"), F.col(r.player_name).alias("name")))
+    sub = F.when(F.col(r.substitute).isNotNull(),
+                 F.struct(F.struct(F.col(r.substitute).alias("id")).alias("replacement")))
+    return flat.select(
+        F.col(r.match).alias("match_id"), F.col(r.index).alias("index"),
+        F.struct(F.col(r.type).alias("id")).alias("type"), player.alias("player"),
+        ident(r.team).alias("team"), ident(r.holder).alias("possession_team"),
+        F.col(r.location).alias("location"), F.col(r.time_text).alias("timestamp"),
+        shot.alias("shot"), sub.alias("substitution"))

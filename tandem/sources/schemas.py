@@ -9,9 +9,18 @@ from pyspark.sql import types as T
 
 _ID = T.StructType([T.StructField("id", T.LongType())])
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("index", T.LongType()),
-    T.StructField("type", _ID),
+
+def event_schema(type_id: T.DataType = T.LongType()) -> T.StructType:
+    """Event record schema; ``type_id`` is the type of ``type.id`` (numeric
+    ids in the original files, names in the table binding)."""
+    return T.StructType([
+        T.StructField("index", T.LongType()),
+        T.StructField("type", T.StructType([T.StructField("id", type_id)])),
+        *_EVENT_REST,
+    ])
+
+
+_EVENT_REST = [
     T.StructField("player", T.StructType([
         T.StructField("id", T.LongType()),
         T.StructField("name", T.StringType()),
@@ -22,7 +31,9 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("shot", T.StructType([T.StructField("outcome", _ID)])),
     T.StructField("substitution", T.StructType([T.StructField("replacement", _ID)])),
-])
+]
+
+EVENT_SCHEMA = event_schema()
 
 LINEUP_SCHEMA = T.StructType([
     T.StructField("team_id", T.LongType()),
