@@ -58,13 +58,17 @@ def feature_pipeline(index_ids: bool = True) -> Pipeline:
 
 
 def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42):
-    cols = dict(labelCol=label, featuresCol="features", probabilityCol=f"{label}_probability",
-                rawPredictionCol=f"{label}_raw", predictionCol=f"{label}_prediction")
+    cols = dict(labelCol=label, featuresCol="features", predictionCol=f"{label}_prediction")
     if kind == "lr":
-        return LogisticRegression(maxIter=max_iter, **cols)
-    if kind == "gbt":
-        return GBTClassifier(maxIter=max_iter, seed=seed, **cols)
-    raise ValueError(f"unknown model kind {kind!r}")
+        est = LogisticRegression(maxIter=max_iter, **cols)
+    elif kind == "gbt":
+        est = GBTClassifier(maxIter=max_iter, seed=seed, **cols)
+    else:
+        raise ValueError(f"unknown model kind {kind!r}")
+    # output columns of a classification model, set after construction
+    # because the tree classifiers do not take them as constructor arguments
+    return (est.setProbabilityCol(f"{label}_probability")
+            .setRawPredictionCol(f"{label}_raw"))
 
 
 def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10) -> list:

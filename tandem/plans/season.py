@@ -109,3 +109,29 @@ def json_pair_ranking(events: DataFrame, probabilities: DataFrame, roles: Roles)
     and index)."""
     base = events.select(roles.match, roles.index, roles.player, roles.player_name, roles.team)
     return vl.rank_pairs(pair_totals(base.join(probabilities, [roles.match, roles.index]), roles))
+
+
+def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,
+                    kinds: tuple = ("gbt", "lr"), index_ids: bool = True) -> dict[str, str]:
+    """The season's training step: labelled feature rows, the shared feature
+    pipeline fitted once, then per model kind one classifier per label,
+    every model saved, and the training rows scored and written (one scored
+    table per kind, four probabilities per event, split by match chunk).
+    Returns the written folders."""
+    from tandem.sources.sinks import save_model, write_parquet
+
+    events = bound_events(spark, sf_dir, roles)
+    labelled = save_laid_out(lb.labelled(events, roles), laid_keys(roles), "labelled")
+    features = ml.feature_rows(labelled, roles)
+    prep_model = ml.feature_pipeline(index_ids).fit(features)
+    save_model(prep_model, f"{out_dir}/models/features")
+    prepared = prep_model.transform(features)
+    written = {}
+    for kind in kinds:
+        models = ml.fit_models(prepared, roles, kind)
+        for label, model in zip(roles.labels, models):
+            save_model(model, f"{out_dir}/models/{kind}/{label}")
+        path = f"{out_dir}/predictions/{kind}"
+        write_parquet(ml.score(prepared, models, roles), path)
+        written[kind] = path
+    return written
