@@ -25,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_roles(events: DataFrame, roles: Roles = TABLE_ROLES) -> DataFrame:
-    """Flat event columns of the roles, before positions are assigned."""
+    """Flat event columns of the roles from raw ``events`` columns (plus any
+    extra columns, such as ``index``, that are carried through)."""
     r = roles
     k = F.get_json_object("props", "$.k").try_cast("int")
+    extra = [c for c in events.columns if c not in RAW_COLUMNS and c != r.match]
+    # keep an existing match column as is: it is the partitioning key
+    match = F.col(r.match) if r.match in events.columns else F.to_date("ts").cast("string").alias(r.match)
     return events.select(
         F.col("event_id"),
-        F.to_date("ts").cast("string").alias(r.match),
+        match,
+        *extra,
         F.col("event_type").alias(r.type),
         F.col("user_id").alias(r.player),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias(r.player_name),
@@ -44,12 +49,21 @@ def event_roles(events: DataFrame, roles: Roles = TABLE_ROLES) -> DataFrame:
     )
 
 
+RAW_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
 def bind_events(events: DataFrame, roles: Roles = TABLE_ROLES) -> DataFrame:
     """Canonical event rows with ``index`` = row number in the match by
     ``event_id``, laid out by (match, event_id chunk) for the sequence
-    operators that follow (the chunk is monotone in ``index`` too)."""
-    flat = event_roles(events, roles)
-    return sequence.row_numbers(flat, [roles.match], "event_id", roles.index, roles.chunk_width)
+    operators that follow (the chunk is monotone in ``index`` too).
+
+    Only the raw columns cross the layout shuffle (they are narrower than
+    the derived ones); JSON parsing, time text and names are computed after
+    it, in parallel over the (match, chunk) partitions.
+    """
+    raw = events.select(*RAW_COLUMNS, F.to_date("ts").cast("string").alias(roles.match))
+    indexed = sequence.row_numbers(raw, [roles.match], "event_id", roles.index, roles.chunk_width)
+    return event_roles(indexed, roles)
 
 
 def roster(customer: DataFrame) -> DataFrame:
