@@ -8,6 +8,8 @@ scoring is a projection, so the rows keep their partitioning.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -18,6 +20,7 @@ from tandem.config import Roles
 from tandem.functions.columns import positive_probability, time_number
 from tandem.operators import sequence
 from tandem.operators.value import PROBS
+from tandem.session import keep
 
 CATEGORICAL = ("type", "player_id", "team")
 NUMERIC = ("x_location", "y_location", "time")
@@ -54,15 +57,33 @@ def feature_pipeline(index_ids: bool = True) -> Pipeline:
     enc = OneHotEncoder(inputCols=enc_in, outputCols=[f"{c}_vec" for c in CATEGORICAL])
     asm = VectorAssembler(inputCols=[f"{c}_vec" for c in CATEGORICAL] + list(NUMERIC),
                           outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=stages + [enc, asm])
+    stages += [enc, asm]
+    if index_ids:
+        # Trees split on a categorical column directly: one column per
+        # category field (nominal metadata from the indexer) instead of one
+        # per distinct value, so the binned rows stay narrow.
+        stages.append(VectorAssembler(inputCols=enc_in + list(NUMERIC), outputCol=TREE_FEATURES,
+                                      handleInvalid="keep"))
+    return Pipeline(stages=stages)
+
+
+TREE_FEATURES = "features_cat"
+
+
+def category_arity(prepared: DataFrame, column: str = TREE_FEATURES) -> int:
+    """Largest number of values of a nominal feature in an assembled vector."""
+    attrs = prepared.schema[column].metadata.get("ml_attr", {}).get("attrs", {})
+    sizes = [len(a.get("vals", [])) or a.get("num_vals", 0) for a in attrs.get("nominal", [])]
+    return max(sizes, default=0)
 
 
-def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42):
-    cols = dict(labelCol=label, featuresCol="features", predictionCol=f"{label}_prediction")
+def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
+               features: str = "features", max_bins: int = 32):
+    cols = dict(labelCol=label, featuresCol=features, predictionCol=f"{label}_prediction")
     if kind == "lr":
         est = LogisticRegression(maxIter=max_iter, **cols)
     elif kind == "gbt":
-        est = GBTClassifier(maxIter=max_iter, seed=seed, **cols)
+        est = GBTClassifier(maxIter=max_iter, seed=seed, maxBins=max_bins, **cols)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     # output columns of a classification model, set after construction
@@ -71,9 +92,22 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42):
             .setRawPredictionCol(f"{label}_raw"))
 
 
-def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10) -> list:
-    """One fitted classifier per label, on the assembled features."""
-    return [classifier(kind, label, max_iter).fit(prepared) for label in roles.labels]
+def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
+               parallelism: int = 4) -> list:
+    """One fitted classifier per label, on the assembled features.
+
+    The label fits are independent, so up to ``parallelism`` of them are
+    submitted at once from driver threads (as CrossValidator does); each
+    fit is still an ordinary distributed Spark ML job.
+    """
+    opts = {}
+    if kind == "gbt" and TREE_FEATURES in prepared.columns:
+        opts = dict(features=TREE_FEATURES, max_bins=max(32, category_arity(prepared)))
+    estimators = [classifier(kind, label, max_iter, **opts) for label in roles.labels]
+    if parallelism <= 1:
+        return [est.fit(prepared) for est in estimators]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(estimators))) as pool:
+        return list(pool.map(lambda est: est.fit(prepared), estimators))
 
 
 def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:
@@ -91,11 +125,20 @@ def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:
         *keep)
 
 
+def prepare(features: DataFrame, index_ids: bool = True) -> tuple[PipelineModel, DataFrame]:
+    """Fit the shared feature pipeline once and persist the assembled rows:
+    every iteration of every fit reads them, and the classifiers then skip
+    caching a copy of their own. Unpersist once the scores are written."""
+    prep_model = feature_pipeline(index_ids).fit(features)
+    return prep_model, keep(prep_model.transform(features))
+
+
 def train_and_score(features: DataFrame, roles: Roles, kind: str, index_ids: bool = True,
-                    max_iter: int = 10) -> tuple[PipelineModel, list, DataFrame]:
+                    max_iter: int = 10) -> tuple[PipelineModel, DataFrame, list, DataFrame]:
     """Fit the shared feature pipeline once, fit one model per label, and
-    score the training rows themselves (as the original analytic does)."""
-    prep_model = feature_pipeline(index_ids).fit(features)
-    prepared = prep_model.transform(features)
+    score the training rows themselves (as the original analytic does).
+    Returns the feature model, the persisted features, the label models and
+    the (lazy) scored rows."""
+    prep_model, prepared = prepare(features, index_ids)
     models = fit_models(prepared, roles, kind, max_iter)
-    return prep_model, models, score(prepared, models, roles)
+    return prep_model, prepared, models, score(prepared, models, roles)

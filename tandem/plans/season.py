@@ -73,8 +73,12 @@ def model_probabilities(spark: SparkSession, sf_dir: str, kind: str,
     if save:
         labelled = save_laid_out(labelled, laid_keys(roles), "labelled")
     features = ml.feature_rows(labelled, roles)
-    _, _, scored = ml.train_and_score(features, roles, kind, index_ids)
-    return save_laid_out(scored, laid_keys(roles), f"scored_{kind}") if save else scored
+    _, prepared, _, scored = ml.train_and_score(features, roles, kind, index_ids)
+    if not save:
+        return scored
+    written = save_laid_out(scored, laid_keys(roles), f"scored_{kind}")
+    prepared.unpersist()
+    return written
 
 
 def model_ranking(spark: SparkSession, sf_dir: str, kind: str,
@@ -123,9 +127,8 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
     events = bound_events(spark, sf_dir, roles)
     labelled = save_laid_out(lb.labelled(events, roles), laid_keys(roles), "labelled")
     features = ml.feature_rows(labelled, roles)
-    prep_model = ml.feature_pipeline(index_ids).fit(features)
+    prep_model, prepared = ml.prepare(features, index_ids)
     save_model(prep_model, f"{out_dir}/models/features")
-    prepared = prep_model.transform(features)
     written = {}
     for kind in kinds:
         models = ml.fit_models(prepared, roles, kind)
@@ -134,4 +137,5 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
         path = f"{out_dir}/predictions/{kind}"
         write_parquet(ml.score(prepared, models, roles), path)
         written[kind] = path
+    prepared.unpersist()
     return written

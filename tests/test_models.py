@@ -20,7 +20,7 @@ def features(spark, sf_small):
 
 @pytest.mark.parametrize("kind", ["lr", "gbt"])
 def test_scores_in_range(features, kind):
-    _, models, scored = ml.train_and_score(features, R, kind, max_iter=3)
+    _, _, models, scored = ml.train_and_score(features, R, kind, max_iter=3)
     assert len(models) == 4
     rows = scored.agg(F.count("*").alias("n"),
                       *[F.min(p).alias(f"lo_{p}") for p in ("p_score", "p_concede", "p_keep", "p_lose")],
