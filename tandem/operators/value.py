@@ -85,25 +85,41 @@ def interaction_values(df: DataFrame) -> DataFrame:
              .withColumn("i_modified", F.col("i_scoring") + F.col("i_possession"))
 
 
-def pair_keys(df: DataFrame, roles: Roles) -> DataFrame:
-    return df.withColumn("pair", pair_key(F.col("valid"), F.col(roles.player), F.col("prev_player_id"),
-                                          F.col(roles.player_name), F.col("prev_player_name")))
-
-
-def interactions(probabilities: DataFrame, roles: Roles) -> DataFrame:
+def pair_keys(df: DataFrame, roles: Roles, by: str = "name") -> DataFrame:
+    """``pair``: unordered pair of consecutive actors of a valid interaction.
+    ``by="name"`` labels it with the two names (two namesakes share a key,
+    as in the original analytic); ``by="id"`` keys it on the two actor ids
+    (names carried along in ``pair_names``)."""
+    ids = F.col(roles.player), F.col("prev_player_id")
+    named = pair_key(F.col("valid"), *ids, F.col(roles.player_name), F.col("prev_player_name"))
+    if by == "name":
+        return df.withColumn("pair", named)
+    if by == "id":
+        return df.withColumns({
+            "pair": pair_key(F.col("valid"), *ids, ids[0].cast("string"), ids[1].cast("string")),
+            "pair_names": named})
+    raise ValueError(f"pair key by {by!r}")
+
+
+def interactions(probabilities: DataFrame, roles: Roles, by: str = "name") -> DataFrame:
     """Per-event rows up to the pair key: lags, drop, deltas, values, actor
     lags, validity, joint values, pair."""
     staged = probability_lags(probabilities, roles)
     staged = event_values(probability_deltas(drop_incomplete(staged, roles)))
     staged = actor_lags(staged, roles)
-    return pair_keys(interaction_values(valid_interactions(staged, roles)), roles)
+    return pair_keys(interaction_values(valid_interactions(staged, roles)), roles, by)
 
 
-def season_pair_totals(pairs: DataFrame) -> DataFrame:
-    """Season totals per pair; invalid interactions form the NULL pair."""
+def season_pair_totals(pairs: DataFrame, keep_null: bool = True) -> DataFrame:
+    """Season totals per pair; invalid interactions form the NULL pair,
+    kept unless ``keep_null`` is false. With id keys the names of the pair
+    come along (one name pair per id pair)."""
+    if not keep_null:
+        pairs = pairs.filter(F.col("pair").isNotNull())
+    extra = [F.min("pair_names").alias("pair_names")] if "pair_names" in pairs.columns else []
     return pairs.groupBy("pair").agg(
         (F.sum("i_modified") + F.lit(0.0)).alias("season_modified"),
-        (F.sum("i_scoring") + F.lit(0.0)).alias("season_plain"))
+        (F.sum("i_scoring") + F.lit(0.0)).alias("season_plain"), *extra)
 
 
 def rank_pairs(totals: DataFrame, by: str = "season_modified") -> DataFrame:

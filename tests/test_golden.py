@@ -75,3 +75,10 @@ def test_top_pairs_limit(golden):
     probs = golden.select("match_id", "index", "player_id", "player_name", "team", *vl.PROBS)
     top = vl.top_pairs(vl.season_pair_totals(vl.interactions(probs, R)), 2).collect()
     assert [r.pair for r in top] == ["(Di, Ana)", "(Bo, Ana)"]
+
+
+def test_pair_by_id_and_without_null(golden):
+    probs = golden.select("match_id", "index", "player_id", "player_name", "team", *vl.PROBS)
+    totals = vl.season_pair_totals(vl.interactions(probs, R, by="id"), keep_null=False)
+    got = {(r.pair, r.pair_names, r.season_modified) for r in totals.collect()}
+    assert got == {("(11, 7)", "(Di, Ana)", 1.0625), ("(9, 7)", "(Bo, Ana)", 1.0)}
