@@ -116,15 +116,34 @@ def residue_representatives(events: DataFrame, roles: Roles) -> DataFrame:
             .groupBy("match_id", "residue").agg(F.min("index").alias("index")))
 
 
+def row_findings(events: DataFrame, roles: Roles) -> DataFrame:
+    """The checks that look at one event at a time (type domain, x and y
+    range), in a single pass: each event yields one row per failed check."""
+    r = roles
+    (xlo, xhi), (ylo, yhi) = r.x_range, r.y_range
+    x, y, typ = F.col(r.x), F.col(r.y), F.col(r.type)
+    checks = [
+        ("type_domain", ~typ.isin(list(r.valid_types)), typ),
+        ("range_x", (x < xlo) | (x > xhi), x),
+        ("range_y", (y < ylo) | (y > yhi), y),
+    ]
+    failed = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("check"),
+                                                       value.cast("string").alias("value")))
+                                for name, cond, value in checks]), lambda e: e.isNotNull())
+    any_failed = reduce(lambda a, b: a | b, [F.coalesce(cond, F.lit(False)) for _, cond, _ in checks])
+    return (events.filter(any_failed)
+            .select(F.col(r.match).cast("string").alias("match_id"), F.col(r.index).cast("long").alias("index"),
+                    F.explode(failed).alias("f"))
+            .select("match_id", "f.check", "index", "f.value"))
+
+
 def findings(events: DataFrame, roster: DataFrame, roles: Roles,
              matches: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
     """All checks unioned into one findings frame."""
     r = roles
     parts = [
-        _finding(invalid_types(events, r), r, "type_domain", F.col(r.type)),
+        row_findings(events, r),
         _finding(off_roster(events, roster, r), r, "roster", F.col(r.player)),
-        _finding(out_of_range(events, r, "x"), r, "range_x", F.col(r.x)),
-        _finding(out_of_range(events, r, "y"), r, "range_y", F.col(r.y)),
         _finding(off_roster_substitutes(events, roster, r), r, "substitute", F.col(r.substitute)),
     ]
     for column, name in ((r.team, "sides"), (r.holder, "holders")):

@@ -77,8 +77,9 @@ def match_list(orders: DataFrame) -> DataFrame:
 
 def listing_from(lineitem: DataFrame, event_prefix: str, lineup_prefix: str) -> DataFrame:
     """Paths that exist: an event file and a lineup file per order key that
-    has line items."""
-    keys = lineitem.select(F.col("l_orderkey"))
+    has line items. Keys are de-duplicated first (combined map-side), so
+    paths are built once per key, not once per line item."""
+    keys = lineitem.select(F.col("l_orderkey")).distinct()
     return keys.select(F.explode(F.array(
         mf.file_path(event_prefix, F.col("l_orderkey")),
         mf.file_path(lineup_prefix, F.col("l_orderkey")))).alias("path"))
