@@ -92,22 +92,39 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
             .setRawPredictionCol(f"{label}_raw"))
 
 
-def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
-               parallelism: int = 4) -> list:
-    """One fitted classifier per label, on the assembled features.
-
-    The label fits are independent, so up to ``parallelism`` of them are
-    submitted at once from driver threads (as CrossValidator does); each
-    fit is still an ordinary distributed Spark ML job.
-    """
+def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10) -> list:
+    """One unfitted classifier per label; trees read the categorical columns."""
     opts = {}
     if kind == "gbt" and TREE_FEATURES in prepared.columns:
         opts = dict(features=TREE_FEATURES, max_bins=max(32, category_arity(prepared)))
-    estimators = [classifier(kind, label, max_iter, **opts) for label in roles.labels]
+    return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
+
+
+def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max_iter: int = 10,
+            parallelism: int = 8) -> dict[str, list]:
+    """Every (kind, label) model, fitted on the assembled features.
+
+    The fits are independent, so up to ``parallelism`` of them are submitted
+    at once from driver threads (as CrossValidator does); each fit is still
+    an ordinary distributed Spark ML job, and small stages of one fit
+    overlap with those of another instead of leaving cores idle.
+    """
+    todo = [(kind, est) for kind in kinds for est in estimators(prepared, roles, kind, max_iter)]
     if parallelism <= 1:
-        return [est.fit(prepared) for est in estimators]
-    with ThreadPoolExecutor(max_workers=min(parallelism, len(estimators))) as pool:
-        return list(pool.map(lambda est: est.fit(prepared), estimators))
+        fitted = [est.fit(prepared) for _, est in todo]
+    else:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(todo))) as pool:
+            fitted = list(pool.map(lambda job: job[1].fit(prepared), todo))
+    out: dict[str, list] = {kind: [] for kind in kinds}
+    for (kind, _), model in zip(todo, fitted):
+        out[kind].append(model)
+    return out
+
+
+def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
+               parallelism: int = 4) -> list:
+    """One fitted classifier per label for one model kind."""
+    return fit_all(prepared, roles, (kind,), max_iter, parallelism)[kind]
 
 
 def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:

@@ -69,10 +69,7 @@ def model_probabilities(spark: SparkSession, sf_dir: str, kind: str,
     rows and score them; the scored rows are written once (bucketed) so the
     value stage does not re-run the models."""
     events = bound_events(spark, sf_dir, roles)
-    labelled = lb.labelled(events, roles)
-    if save:
-        labelled = save_laid_out(labelled, laid_keys(roles), "labelled")
-    features = ml.feature_rows(labelled, roles)
+    features = ml.feature_rows(lb.labelled(events, roles), roles)
     _, prepared, _, scored = ml.train_and_score(features, roles, kind, index_ids)
     if not save:
         return scored
@@ -125,13 +122,13 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
     from tandem.sources.sinks import save_model, write_parquet
 
     events = bound_events(spark, sf_dir, roles)
-    labelled = save_laid_out(lb.labelled(events, roles), laid_keys(roles), "labelled")
-    features = ml.feature_rows(labelled, roles)
+    features = ml.feature_rows(lb.labelled(events, roles), roles)
     prep_model, prepared = ml.prepare(features, index_ids)
     save_model(prep_model, f"{out_dir}/models/features")
+    fitted = ml.fit_all(prepared, roles, kinds)
     written = {}
     for kind in kinds:
-        models = ml.fit_models(prepared, roles, kind)
+        models = fitted[kind]
         for label, model in zip(roles.labels, models):
             save_model(model, f"{out_dir}/models/{kind}/{label}")
         path = f"{out_dir}/predictions/{kind}"
