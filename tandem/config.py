@@ -102,5 +102,5 @@ TABLE_ROLES = Roles(
     defence_types=("error", "signup"),
     dispossessed_types=("view",),
     goal_expr="(type = 'purchase' AND x > 60) OR (type = 'signup' AND x > 250)",
-    marker_expr="type = 'signup' AND CAST(substring(timestamp, 1, 2) AS INT) >= 12",
+    marker_expr="type = 'signup' AND TRY_CAST(substring(timestamp, 1, 2) AS INT) >= 12",
 )

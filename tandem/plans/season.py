@@ -95,16 +95,30 @@ def table_findings(spark: SparkSession, sf_dir: str, roles: Roles = TABLE_ROLES)
 
 
 def json_season(spark: SparkSession, events_dir: str, lineups_dir: str,
-                roles: Roles = REFERENCE_ROLES, multiline: bool = True):
+                roles: Roles = REFERENCE_ROLES, multiline: bool = True, save: bool = True):
     """Nested event and lineup files of a season -> (canonical events laid
-    out by match, roster per match). Files are read in one scan each."""
+    out by (match, index chunk), roster per match). Files are read in one
+    scan each; with ``save`` the laid-out events are written once as a
+    bucketed table (see ``bound_events``)."""
     nested = files.read_events(spark, events_dir, multiline)
     events = sequence.layout(files.flatten_events(nested, roles), [roles.match], roles.index,
                              roles.chunk_width)
+    if save:
+        events = save_laid_out(events, laid_keys(roles), "json_events")
     roster = files.roster_from_lineups(files.read_lineups(spark, lineups_dir, multiline))
     return events, roster
 
 
+def write_ranking(totals: DataFrame, path: str, by: str = "season_modified") -> None:
+    """Write the season ranking as one ordered file. The input has one row
+    per pair of actors (bounded by the squad, not by the number of events),
+    so the single output task handles a small result; the sort itself is a
+    range-partitioned global sort."""
+    from tandem.sources.sinks import write_single
+
+    write_single(vl.rank_pairs(totals, by), path)
+
+
 def json_pair_ranking(events: DataFrame, probabilities: DataFrame, roles: Roles) -> DataFrame:
     """Pair ranking where probabilities come from elsewhere (joined on match
     and index)."""

@@ -18,6 +18,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def write_single(df: DataFrame, path: str) -> None:
+    """One output file for a *small* result (a ranking, a summary): the
+    sorted partitions are concatenated in order by ``coalesce(1)``. Never
+    used for outputs that grow with the events."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFrame:
     """Write a frame that is hash-partitioned on ``keys`` as a bucketed table
     in the shared checkpoint folder and read it back.

@@ -82,3 +82,15 @@ def test_pair_by_id_and_without_null(golden):
     totals = vl.season_pair_totals(vl.interactions(probs, R, by="id"), keep_null=False)
     got = {(r.pair, r.pair_names, r.season_modified) for r in totals.collect()}
     assert got == {("(11, 7)", "(Di, Ana)", 1.0625), ("(9, 7)", "(Bo, Ana)", 1.0)}
+
+
+def test_ranking_single_file(spark, golden, tmp_path):
+    import glob
+
+    from tandem.plans import season
+
+    probs = golden.select("match_id", "index", "player_id", "player_name", "team", *vl.PROBS)
+    path = str(tmp_path / "ranking")
+    season.write_ranking(vl.season_pair_totals(vl.interactions(probs, R)), path)
+    assert len(glob.glob(path + "/*.parquet")) == 1
+    assert [r.pair for r in spark.read.parquet(path).collect()] == ["(Di, Ana)", "(Bo, Ana)", None]

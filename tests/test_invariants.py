@@ -67,3 +67,30 @@ def test_pair_is_symmetric(spark):
     pairs = vl.interactions(df, TABLE_ROLES).filter(F.col("pair").isNotNull())
     assert {r.pair for r in pairs.collect()} == {"(b, a)"}
     assert pairs.count() == 2
+
+
+def test_nan_probability_row_is_dropped(spark):
+    rows = [("m", 1, 1, "a", 1, 0.1), ("m", 2, 2, "b", 1, float("nan")), ("m", 3, 1, "a", 1, 0.3),
+            ("m", 4, 2, "b", 1, 0.4)]
+    df = spark.createDataFrame(rows, "match_id string, index long, player_id long, player_name string, "
+                                     "team long, p_score double")
+    df = df.withColumns({"p_concede": F.lit(0.0), "p_keep": F.lit(0.5), "p_lose": F.lit(0.5)})
+    kept = vl.drop_incomplete(vl.probability_lags(df, TABLE_ROLES), TABLE_ROLES)
+    # row 1 has no previous, row 2 is NaN, row 3 has a NaN previous
+    assert sorted(r["index"] for r in kept.collect()) == [4]
+
+
+def test_ansi_tolerant_columns(spark):
+    from tandem.functions.columns import time_number, time_residue
+    from tandem.sources.files import flatten_events
+    from tandem.sources.schemas import EVENT_SCHEMA
+
+    df = spark.createDataFrame([("00:1x:02.500",), ("01:02:03.004",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(time_number(F.col("t")), time_residue(F.col("t"))).collect()]
+    assert got == [(None, "x"), (10203004, ""), (None, None)]
+    nested = spark.createDataFrame([(1, [5.0]), (2, None)], "index long, location array<double>")
+    for f in EVENT_SCHEMA.fields:
+        if f.name not in nested.columns:
+            nested = nested.withColumn(f.name, F.lit(None).cast(f.dataType))
+    flat = flatten_events(nested.withColumn("match_id", F.lit("m")))
+    assert [(r.x, r.y) for r in flat.orderBy("index").collect()] == [(5.0, None), (None, None)]
