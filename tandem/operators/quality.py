@@ -137,6 +137,16 @@ def row_findings(events: DataFrame, roles: Roles) -> DataFrame:
             .select("match_id", "f.check", "index", "f.value"))
 
 
+def _status_findings(status: DataFrame, checks: list) -> DataFrame:
+    """Per-match status rows -> one finding per failed check, from a single
+    pass over the status frame."""
+    failed = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("check"),
+                                                       value.cast("string").alias("value")))
+                                for name, cond, value in checks]), lambda e: e.isNotNull())
+    return (status.select("match_id", F.explode(failed).alias("f"))
+            .select("match_id", "f.check", F.lit(None).cast("long").alias("index"), "f.value"))
+
+
 def findings(events: DataFrame, roster: DataFrame, roles: Roles,
              matches: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
     """All checks unioned into one findings frame."""
@@ -148,16 +158,11 @@ def findings(events: DataFrame, roster: DataFrame, roles: Roles,
     ]
     for column, name in ((r.team, "sides"), (r.holder, "holders")):
         st = side_status(events, r, column, matches)
-        parts.append(st.filter(F.col("focus_count") != 1).select(
-            "match_id", F.lit(f"focus_in_{name}").alias("check"), F.lit(None).cast("long").alias("index"),
-            F.col("focus_count").cast("string").alias("value")))
-        parts.append(st.filter(F.col("n_values") != 2).select(
-            "match_id", F.lit(f"two_{name}").alias("check"), F.lit(None).cast("long").alias("index"),
-            F.col("n_values").cast("string").alias("value")))
+        parts.append(_status_findings(st, [
+            (f"focus_in_{name}", F.col("focus_count") != 1, F.col("focus_count")),
+            (f"two_{name}", F.col("n_values") != 2, F.col("n_values"))]))
     tf = time_format_status(events, r, matches)
-    parts.append(tf.filter(F.col("n_residues") != 1).select(
-        "match_id", F.lit("time_format").alias("check"), F.lit(None).cast("long").alias("index"),
-        F.col("n_residues").cast("string").alias("value")))
+    parts.append(_status_findings(tf, [("time_format", F.col("n_residues") != 1, F.col("n_residues"))]))
     if missing is not None:
         parts.append(missing.select(F.col("match_id").cast("string"),
                                     F.concat(F.lit("missing_"), F.col("kind")).alias("check"),
