@@ -45,3 +45,17 @@ def missing_files(manifest: DataFrame, listed: DataFrame) -> DataFrame:
     distinct paths are shuffled into the anti join."""
     present = listed.select(F.col("path")).distinct()
     return manifest.join(present, "path", "left_anti").select("match_id", "kind", "path")
+
+
+def listed_ids(listed: DataFrame) -> DataFrame:
+    """Listing paths -> ``(kind, match_id)``: the parent folder names the
+    kind, the file stem the match (``.../events/3749052.json``)."""
+    return listed.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("kind"),
+        F.regexp_extract("path", r"([^/]+?)\.[^/]*$", 1).alias("match_id")).distinct()
+
+
+def missing_by_id(manifest: DataFrame, present: DataFrame) -> DataFrame:
+    """Manifest rows whose (kind, match id) has no listed file; insensitive to
+    how the two sides spell the folder (scheme, relative or absolute)."""
+    return manifest.join(present, ["kind", "match_id"], "left_anti").select("match_id", "kind", "path")

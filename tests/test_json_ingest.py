@@ -93,3 +93,24 @@ def test_json_lines_splittable(spark, season_dir, tmp_path):
     nested.drop("match_id").write.json(out)
     back = files.read_events(spark, out, multiline=False)
     assert back.count() == 12
+
+
+def test_whole_season_run(spark, season_dir, tmp_path):
+    """All steps from files: missing files, findings, labels, models for both
+    kinds, rankings written as single ordered files."""
+    import glob
+
+    matches = tmp_path / "matches.json"
+    matches.write_text(json.dumps([{"match_id": 101}, {"match_id": 202}, {"match_id": 303}]))
+    out = season.run_json_season(spark, str(season_dir), str(tmp_path / "out"), str(matches), R, max_iter=2)
+    found = {(r.match_id, r.check) for r in spark.read.parquet(out["findings"]).collect()}
+    assert ("303", "missing_events") in found and ("303", "missing_lineups") in found
+    assert ("202", "two_holders") in found
+    assert spark.read.parquet(out["labelled"]).count() == 12
+    for kind in ("gbt", "lr"):
+        assert spark.read.parquet(out[f"predictions_{kind}"]).count() == 9  # rows with actor and place
+        assert len(glob.glob(out[f"ranking_{kind}"] + "/*.parquet")) == 1
+        # kept rows (actor and place, not the first of a match): every focus
+        # event follows an opponent event, so there is no valid interaction
+        ranking = spark.read.parquet(out[f"ranking_{kind}"]).collect()
+        assert [(r.pair, r.season_modified, r.season_plain) for r in ranking] == [(None, 0.0, 0.0)]
