@@ -283,6 +283,16 @@ SELECT match_id, index, i_scoring, i_possession, i_modified FROM pairs""",
 SELECT pair, season_modified, season_plain FROM totals ORDER BY season_modified DESC, pair ASC NULLS LAST""",
     "rank_plain": _with("totals") + """
 SELECT pair, season_modified, season_plain FROM totals ORDER BY season_plain DESC, pair ASC NULLS LAST""",
+    "pair_totals_by_id": _with("pairs") + """
+SELECT CASE WHEN valid = 1 AND player_id > prev_player_id
+                 THEN '(' || CAST(player_id AS VARCHAR) || ', ' || CAST(prev_player_id AS VARCHAR) || ')'
+            WHEN valid = 1 AND player_id <= prev_player_id
+                 THEN '(' || CAST(prev_player_id AS VARCHAR) || ', ' || CAST(player_id AS VARCHAR) || ')'
+       END AS pair,
+       sum(i_modified) + 0.0 AS season_modified, sum(i_scoring) + 0.0 AS season_plain,
+       min(pair) AS pair_names
+FROM pairs GROUP BY 1""",
+    "ranking_file": _with("totals") + "SELECT pair, season_modified, season_plain FROM totals",
     "top_pairs": _with("totals") + """
 SELECT pair, season_modified, season_plain FROM totals
 ORDER BY season_modified DESC, pair ASC NULLS LAST LIMIT 20""",

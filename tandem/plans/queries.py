@@ -367,6 +367,12 @@ def model_pair_ranking(spark, sf_dir):
     return season.model_ranking(spark, sf_dir, "lr")
 
 
+@query
+def model_pair_ranking_gbt(spark, sf_dir):
+    """The same season ranking on the second model family."""
+    return season.model_ranking(spark, sf_dir, "gbt")
+
+
 # --- values, pairs, rankings ----------------------------------------------
 
 @query
@@ -429,6 +435,21 @@ def top_pairs(spark, sf_dir):
     return vl.top_pairs(vl.season_pair_totals(_interactions(spark, sf_dir)), 20)
 
 
+@query
+def pair_totals_by_id(spark, sf_dir):
+    """Pairs keyed on the two actor ids (names carried along)."""
+    pairs = vl.interactions(_probs(spark, sf_dir), R, by="id")
+    return vl.season_pair_totals(pairs)
+
+
+@query
+def ranking_file(spark, sf_dir):
+    """The season ranking written as one ordered Parquet file, read back."""
+    path = scratch_path(spark, "ranking")
+    season.write_ranking(vl.season_pair_totals(_interactions(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
 def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
