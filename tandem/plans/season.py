@@ -84,9 +84,10 @@ def model_ranking(spark: SparkSession, sf_dir: str, kind: str,
     return vl.rank_pairs(pair_totals(probs, roles))
 
 
-def table_findings(spark: SparkSession, sf_dir: str, roles: Roles = TABLE_ROLES) -> DataFrame:
+def table_findings(spark: SparkSession, sf_dir: str, roles: Roles = TABLE_ROLES,
+                   events: DataFrame | None = None) -> DataFrame:
     """Every quality check on the bound tables, as one findings frame."""
-    events = bound_events(spark, sf_dir, roles)
+    events = bound_events(spark, sf_dir, roles) if events is None else events
     roster = bind.roster(bind.table(spark, sf_dir, "customer"))
     matches = bind.match_list(bind.table(spark, sf_dir, "orders"))
     manifest = mf.manifest_long(matches, EVENT_PREFIX, LINEUP_PREFIX)
@@ -127,15 +128,17 @@ def json_pair_ranking(events: DataFrame, probabilities: DataFrame, roles: Roles)
 
 
 def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,
-                    kinds: tuple = ("gbt", "lr"), index_ids: bool = True) -> dict[str, str]:
+                    kinds: tuple = ("gbt", "lr"), index_ids: bool = True,
+                    events: DataFrame | None = None) -> dict[str, str]:
     """The season's training step: labelled feature rows, the shared feature
     pipeline fitted once, then per model kind one classifier per label,
     every model saved, and the training rows scored and written (one scored
     table per kind, four probabilities per event, split by match chunk).
-    Returns the written folders."""
+    ``events`` reuses an already bound (bucketed) event table. Returns the
+    written folders."""
     from tandem.sources.sinks import save_model, write_parquet
 
-    events = bound_events(spark, sf_dir, roles)
+    events = bound_events(spark, sf_dir, roles) if events is None else events
     features = ml.feature_rows(lb.labelled(events, roles), roles)
     prep_model, prepared = ml.prepare(features, index_ids)
     save_model(prep_model, f"{out_dir}/models/features")
