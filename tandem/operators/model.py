@@ -100,21 +100,43 @@ def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10)
     return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
 
 
+# Rows per training partition above which the input is never narrowed.
+TRAIN_ROWS_PER_PARTITION = 1_000_000
+
+
+def training_input(prepared: DataFrame, concurrent: int) -> DataFrame:
+    """The fits' input with about (cores / concurrent fits) partitions, but
+    never fewer than rows / TRAIN_ROWS_PER_PARTITION and never more than it
+    has: every training iteration is a few small stages, so on a small
+    season fewer, fuller partitions keep the concurrent fits from queueing
+    tiny tasks. On large inputs this is the unchanged frame (``coalesce``
+    never adds partitions). ``prepared`` is persisted, so the count and the
+    narrowed reads come from its cached blocks."""
+    current = prepared.rdd.getNumPartitions()
+    cores = prepared.sparkSession.sparkContext.defaultParallelism
+    rows = prepared.count()
+    want = max(-(-rows // TRAIN_ROWS_PER_PARTITION), -(-cores // max(1, concurrent)), 1)
+    return prepared.coalesce(want) if want < current else prepared
+
+
 def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max_iter: int = 10,
-            parallelism: int = 8) -> dict[str, list]:
+            parallelism: int = 4) -> dict[str, list]:
     """Every (kind, label) model, fitted on the assembled features.
 
     The fits are independent, so up to ``parallelism`` of them are submitted
     at once from driver threads (as CrossValidator does); each fit is still
     an ordinary distributed Spark ML job, and small stages of one fit
-    overlap with those of another instead of leaving cores idle.
+    overlap with those of another instead of leaving cores idle. Fits of
+    one kind are submitted before the next kind's.
     """
     todo = [(kind, est) for kind in kinds for est in estimators(prepared, roles, kind, max_iter)]
-    if parallelism <= 1:
-        fitted = [est.fit(prepared) for _, est in todo]
+    workers = max(1, min(parallelism, len(todo)))
+    data = training_input(prepared, workers)
+    if workers == 1:
+        fitted = [est.fit(data) for _, est in todo]
     else:
-        with ThreadPoolExecutor(max_workers=min(parallelism, len(todo))) as pool:
-            fitted = list(pool.map(lambda job: job[1].fit(prepared), todo))
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            fitted = list(pool.map(lambda job: job[1].fit(data), todo))
     out: dict[str, list] = {kind: [] for kind in kinds}
     for (kind, _), model in zip(todo, fitted):
         out[kind].append(model)

@@ -9,6 +9,8 @@ chunk-table join reads the bucketed table without shuffling again.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,59 +143,17 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
     events = bound_events(spark, sf_dir, roles) if events is None else events
     features = ml.feature_rows(lb.labelled(events, roles), roles)
     prep_model, prepared = ml.prepare(features, index_ids)
-    save_model(prep_model, f"{out_dir}/models/features")
     fitted = ml.fit_all(prepared, roles, kinds)
-    written = {}
-    for kind in kinds:
-        models = fitted[kind]
-        for label, model in zip(roles.labels, models):
-            save_model(model, f"{out_dir}/models/{kind}/{label}")
-        path = f"{out_dir}/predictions/{kind}"
-        write_parquet(ml.score(prepared, models, roles), path)
-        written[kind] = path
+    # saving models and writing the scored rows are independent small jobs:
+    # submit them together
+    saves = [(prep_model, f"{out_dir}/models/features")] + [
+        (model, f"{out_dir}/models/{kind}/{label}")
+        for kind in kinds for label, model in zip(roles.labels, fitted[kind])]
+    written = {kind: f"{out_dir}/predictions/{kind}" for kind in kinds}
+    tasks = [lambda m=m, p=p: save_model(m, p) for m, p in saves] + [
+        lambda k=k: write_parquet(ml.score(prepared, fitted[k], roles), written[k]) for k in kinds]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for f in [pool.submit(t) for t in tasks]:
+            f.result()
     prepared.unpersist()
     return written
-
-
-def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_list: str | None = None,
-                    roles: Roles = REFERENCE_ROLES, kinds: tuple = ("gbt", "lr"),
-                    max_iter: int = 10) -> dict[str, str]:
-    """The whole season from nested JSON files under ``data_root``
-    (``events/<match>.json``, ``lineups/<match>.json``):
-
-    1. expected files from the match list (if given) and the missing ones;
-    2. clean events, all quality findings;
-    3. halves, goal and defence flags, four labels;
-    4. one model per label and kind (fit once per season, saved), scores;
-    5. pair values and the season ranking per model kind (top 20 and full).
-
-    Every step runs over all matches at once. Returns the written folders.
-    """
-    from tandem.sources.sinks import save_model, write_parquet
-
-    events, roster = json_season(spark, f"{data_root}/events", f"{data_root}/lineups", roles)
-    missing = matches = None
-    if match_list:
-        listed = mf.listed_ids(files.listing(spark, data_root, "*.json"))
-        matches = files.read_match_list(spark, match_list)
-        manifest = mf.manifest_long(matches, f"{data_root}/events/", f"{data_root}/lineups/")
-        missing = mf.missing_by_id(manifest, listed)
-    out = {"findings": f"{out_dir}/findings", "labelled": f"{out_dir}/labelled"}
-    write_parquet(qa.findings(events, roster, roles, matches=matches, missing=missing), out["findings"])
-    labelled = lb.labelled(events, roles)
-    write_parquet(sequence.drop_layout(labelled), out["labelled"], [roles.match])
-    features = ml.feature_rows(labelled, roles)
-    prep_model, prepared = ml.prepare(features)
-    save_model(prep_model, f"{out_dir}/models/features")
-    fitted = ml.fit_all(prepared, roles, kinds, max_iter)
-    for kind in kinds:
-        for label, model in zip(roles.labels, fitted[kind]):
-            save_model(model, f"{out_dir}/models/{kind}/{label}")
-        scored = save_laid_out(ml.score(prepared, fitted[kind], roles), laid_keys(roles), f"scored_{kind}")
-        out[f"predictions_{kind}"] = f"{out_dir}/predictions/{kind}"
-        write_parquet(sequence.drop_layout(scored), out[f"predictions_{kind}"])
-        totals = pair_totals(scored, roles)
-        out[f"ranking_{kind}"] = f"{out_dir}/ranking/{kind}"
-        write_ranking(totals, out[f"ranking_{kind}"])
-    prepared.unpersist()
-    return out
