@@ -35,15 +35,20 @@ def event_stream(spark: SparkSession, events_dir: str, multiline: bool = True,
 def process_batch(nested: DataFrame, epoch: int, out_dir: str, roles: Roles,
                   roster: DataFrame | None = None) -> None:
     """Label one micro-batch of whole matches and write labels (and findings
-    when a roster is given) under ``epoch=<n>``."""
-    events = sequence.layout(files.flatten_events(nested, roles), [roles.match], roles.index,
-                             roles.chunk_width)
-    labelled = sequence.drop_layout(lb.labelled(events, roles))
-    (labelled.write.mode("overwrite").partitionBy(roles.match)
-     .parquet(f"{out_dir}/labelled/epoch={epoch}"))
-    if roster is not None:
-        qa.findings(events, roster, roles).write.mode("overwrite") \
-          .parquet(f"{out_dir}/findings/epoch={epoch}")
+    when a roster is given) under ``epoch=<n>``. The batch is persisted for
+    the epoch: the chunk tables and the outputs all read it, and the JSON
+    files are parsed once."""
+    flat = files.flatten_events(nested, roles).persist()
+    try:
+        events = sequence.layout(flat, [roles.match], roles.index, roles.chunk_width)
+        labelled = sequence.drop_layout(lb.labelled(events, roles))
+        (labelled.write.mode("overwrite").partitionBy(roles.match)
+         .parquet(f"{out_dir}/labelled/epoch={epoch}"))
+        if roster is not None:
+            qa.findings(events, roster, roles).write.mode("overwrite") \
+              .parquet(f"{out_dir}/findings/epoch={epoch}")
+    finally:
+        flat.unpersist()
 
 
 def start_label_ingest(spark: SparkSession, events_dir: str, out_dir: str,
