@@ -33,17 +33,29 @@ def chunk_of(order: str, width: int) -> Column:
     return F.expr(f"`{order}` div {int(width)}")
 
 
+LAYOUT_PARTITIONS = "spark.tandem.layout.partitions"
+
+
+def layout_partitions(spark) -> int:
+    """Partitions (and buckets) of the (group, chunk) layout:
+    ``spark.tandem.layout.partitions`` if set, else
+    ``spark.sql.shuffle.partitions``. Size it so a partition holds roughly
+    128-256 MB of event rows (about 400,000 partitions for 100 TB)."""
+    value = spark.conf.get(LAYOUT_PARTITIONS, None)
+    return int(value) if value else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def layout(df: DataFrame, group: Sequence[str], order: str, width: int) -> DataFrame:
     """Add the chunk column and hash-partition rows on (group, chunk).
 
     A frame that already carries the chunk column is returned unchanged, so a
     chain of operators shares one shuffle. The partition count is explicit
-    (``spark.sql.shuffle.partitions``) so that the layout can be written as a
-    bucketed table with the same hash (``tandem.sources.sinks.save_laid_out``).
+    (``layout_partitions``) so that the layout can be written as a bucketed
+    table with the same hash (``tandem.sources.sinks.save_laid_out``).
     """
     if CHUNK in df.columns:
         return df
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = layout_partitions(df.sparkSession)
     return df.withColumn(CHUNK, chunk_of(order, width)).repartition(n, *group, CHUNK)
 
 

@@ -34,8 +34,10 @@ def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFra
     so windows, chunk aggregates and joins on ``keys`` that follow run with no
     shuffle at all.
     """
+    from tandem.operators.sequence import layout_partitions
+
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = layout_partitions(spark)
     table = f"tandem_{name}_{uuid.uuid4().hex[:12]}"
     (df.write.mode("overwrite").bucketBy(n, *keys)
      .option("path", scratch_path(spark, table)).saveAsTable(table))

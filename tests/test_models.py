@@ -66,3 +66,13 @@ def test_prediction_step_writes(spark, sf_small, tmp_path):
 def test_model_pair_ranking_rows(spark, sf_small):
     ranked = all_queries()["model_pair_ranking"](spark, sf_small)
     assert ranked.count() == 22  # same pairs as with stand-in probabilities
+
+
+def test_training_input_partitions(spark):
+    df = spark.range(0, 1000).repartition(16).persist()
+    narrowed = ml.training_input(df, concurrent=4)
+    cores = spark.sparkContext.defaultParallelism
+    assert narrowed.rdd.getNumPartitions() == max(1, -(-cores // 4))
+    # never more partitions than the input has
+    assert ml.training_input(df.coalesce(1), concurrent=1).rdd.getNumPartitions() == 1
+    df.unpersist()

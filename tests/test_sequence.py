@@ -109,3 +109,14 @@ def test_saved_layout_needs_no_row_shuffle(spark):
     assert "Bucketed: true" in plan
     assert _row_exchanges(plan) == []
     assert out.count() == 1000
+
+
+def test_layout_partitions_setting(spark):
+    df = spark.range(0, 100).select(F.lit("m").alias("g"), F.col("id").alias("o"))
+    spark.conf.set(S.LAYOUT_PARTITIONS, "5")
+    try:
+        assert S.layout(df, ["g"], "o", 10).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset(S.LAYOUT_PARTITIONS)
+    assert S.layout(df, ["g"], "o", 10).rdd.getNumPartitions() == \
+        int(spark.conf.get("spark.sql.shuffle.partitions"))
