@@ -8,8 +8,6 @@ names are equal on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -453,6 +451,3 @@ def ranking_file(spark, sf_dir):
 def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

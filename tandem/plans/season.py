@@ -40,10 +40,6 @@ def bound_events(spark: SparkSession, sf_dir: str, roles: Roles = TABLE_ROLES,
     return save_laid_out(bound, laid_keys(roles), "events") if save else bound
 
 
-def labelled_events(events: DataFrame, roles: Roles) -> DataFrame:
-    return lb.labelled(events, roles)
-
-
 def standin_input(events: DataFrame, roles: Roles = TABLE_ROLES) -> DataFrame:
     """Value-stage input with stand-in probabilities: events with an actor and
     a location (the training rows), four probabilities per event."""
@@ -122,13 +118,6 @@ def write_ranking(totals: DataFrame, path: str, by: str = "season_modified") ->
     write_single(vl.rank_pairs(totals, by), path)
 
 
-def json_pair_ranking(events: DataFrame, probabilities: DataFrame, roles: Roles) -> DataFrame:
-    """Pair ranking where probabilities come from elsewhere (joined on match
-    and index)."""
-    base = events.select(roles.match, roles.index, roles.player, roles.player_name, roles.team)
-    return vl.rank_pairs(pair_totals(base.join(probabilities, [roles.match, roles.index]), roles))
-
-
 def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,
                     kinds: tuple = ("gbt", "lr"), index_ids: bool = True,
                     events: DataFrame | None = None) -> dict[str, str]:
@@ -177,12 +166,15 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
 
     events, roster = json_season(spark, f"{data_root}/events", f"{data_root}/lineups", roles)
     missing = matches = None
+    out = {"findings": f"{out_dir}/findings", "labelled": f"{out_dir}/labelled"}
     if match_list:
         listed = mf.listed_ids(files.listing(spark, data_root, "*.json"))
         matches = files.read_match_list(spark, match_list)
+        out["manifest"] = f"{out_dir}/manifest"
+        write_parquet(mf.manifest_wide(matches, f"{data_root}/events/", f"{data_root}/lineups/"),
+                      out["manifest"])
         manifest = mf.manifest_long(matches, f"{data_root}/events/", f"{data_root}/lineups/")
         missing = mf.missing_by_id(manifest, listed)
-    out = {"findings": f"{out_dir}/findings", "labelled": f"{out_dir}/labelled"}
     write_parquet(qa.findings(events, roster, roles, matches=matches, missing=missing), out["findings"])
     labelled = lb.labelled(events, roles)
     write_parquet(sequence.drop_layout(labelled), out["labelled"], [roles.match])

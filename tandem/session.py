@@ -62,16 +62,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage reliably: checkpoint into the shared checkpoint folder.
-
-    The checkpointed plan keeps its output partitioning, so operators that
-    follow on the same keys do not shuffle again.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that feeds several actions (model fits); lineage stays,
     so lost blocks are recomputed."""

@@ -114,3 +114,21 @@ def test_whole_season_run(spark, season_dir, tmp_path):
         # event follows an opponent event, so there is no valid interaction
         ranking = spark.read.parquet(out[f"ranking_{kind}"]).collect()
         assert [(r.pair, r.season_modified, r.season_plain) for r in ranking] == [(None, 0.0, 0.0)]
+
+
+def test_command_line(season_dir, tmp_path):
+    """``python -m tandem`` runs the whole season in its own Spark session."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    out = tmp_path / "cli"
+    env = dict(os.environ, PYTHONPATH=str(root))
+    proc = subprocess.run([sys.executable, "-m", "tandem", str(season_dir), str(out), "--kinds", "lr"],
+                          cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=600)
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    written = json.loads(proc.stdout[proc.stdout.index("{"):])
+    assert set(written) >= {"findings", "labelled", "predictions_lr", "ranking_lr"}
+    assert (out / "models" / "lr" / "label_goal").exists()
