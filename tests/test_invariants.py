@@ -94,3 +94,17 @@ def test_ansi_tolerant_columns(spark):
             nested = nested.withColumn(f.name, F.lit(None).cast(f.dataType))
     flat = flatten_events(nested.withColumn("match_id", F.lit("m")))
     assert [(r.x, r.y) for r in flat.orderBy("index").collect()] == [(5.0, None), (None, None)]
+
+
+def test_match_partitions_are_pruned(spark, sf_small, tmp_path):
+    """Events written partitioned by match: a filter on the match reaches the
+    file listing (PartitionFilters), so only that match's folder is read."""
+    from tandem.sources.sinks import write_parquet
+
+    path = str(tmp_path / "by_match")
+    ev = season.bound_events(spark, sf_small).select("match_id", "index", "type")
+    write_parquet(ev, path, ["match_id"])
+    one = spark.read.parquet(path).filter(F.col("match_id") == "2024-01-05")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(match_id" in plan and "2024-01-05" in plan
+    assert one.count() == ev.filter(F.col("match_id") == "2024-01-05").count()
