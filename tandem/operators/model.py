@@ -92,10 +92,15 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
             .setRawPredictionCol(f"{label}_raw"))
 
 
-def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10) -> list:
-    """One unfitted classifier per label; trees read the categorical columns."""
+def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
+               tree_encoding: str = "categorical") -> list:
+    """One unfitted classifier per label. Trees read the categorical columns
+    (``tree_encoding="categorical"``) or the same one-hot vector as logistic
+    regression (``"onehot"``, the original encoding)."""
+    if tree_encoding not in ("categorical", "onehot"):
+        raise ValueError(f"tree encoding {tree_encoding!r}")
     opts = {}
-    if kind == "gbt" and TREE_FEATURES in prepared.columns:
+    if kind == "gbt" and tree_encoding == "categorical" and TREE_FEATURES in prepared.columns:
         opts = dict(features=TREE_FEATURES, max_bins=max(32, category_arity(prepared)))
     return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
 
@@ -120,7 +125,7 @@ def training_input(prepared: DataFrame, concurrent: int) -> DataFrame:
 
 
 def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max_iter: int = 10,
-            parallelism: int = 4) -> dict[str, list]:
+            parallelism: int = 4, tree_encoding: str = "categorical") -> dict[str, list]:
     """Every (kind, label) model, fitted on the assembled features.
 
     The fits are independent, so up to ``parallelism`` of them are submitted
@@ -129,7 +134,8 @@ def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max
     overlap with those of another instead of leaving cores idle. Fits of
     one kind are submitted before the next kind's.
     """
-    todo = [(kind, est) for kind in kinds for est in estimators(prepared, roles, kind, max_iter)]
+    todo = [(kind, est) for kind in kinds
+            for est in estimators(prepared, roles, kind, max_iter, tree_encoding)]
     workers = max(1, min(parallelism, len(todo)))
     data = training_input(prepared, workers)
     if workers == 1:
@@ -144,9 +150,9 @@ def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max
 
 
 def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
-               parallelism: int = 4) -> list:
+               parallelism: int = 4, tree_encoding: str = "categorical") -> list:
     """One fitted classifier per label for one model kind."""
-    return fit_all(prepared, roles, (kind,), max_iter, parallelism)[kind]
+    return fit_all(prepared, roles, (kind,), max_iter, parallelism, tree_encoding)[kind]
 
 
 def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:

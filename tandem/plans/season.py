@@ -120,19 +120,22 @@ def write_ranking(totals: DataFrame, path: str, by: str = "season_modified") ->
 
 def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,
                     kinds: tuple = ("gbt", "lr"), index_ids: bool = True,
-                    events: DataFrame | None = None) -> dict[str, str]:
+                    events: DataFrame | None = None,
+                    tree_encoding: str = "categorical") -> dict[str, str]:
     """The season's training step: labelled feature rows, the shared feature
     pipeline fitted once, then per model kind one classifier per label,
     every model saved, and the training rows scored and written (one scored
     table per kind, four probabilities per event, split by match chunk).
-    ``events`` reuses an already bound (bucketed) event table. Returns the
-    written folders."""
+    ``events`` reuses an already bound (bucketed) event table;
+    ``tree_encoding="onehot"`` gives the trees the one-hot vector of the
+    original analytic instead of categorical columns. Returns the written
+    folders."""
     from tandem.sources.sinks import save_model, write_parquet
 
     events = bound_events(spark, sf_dir, roles) if events is None else events
     features = ml.feature_rows(lb.labelled(events, roles), roles)
     prep_model, prepared = ml.prepare(features, index_ids)
-    fitted = ml.fit_all(prepared, roles, kinds)
+    fitted = ml.fit_all(prepared, roles, kinds, tree_encoding=tree_encoding)
     # saving models and writing the scored rows are independent small jobs:
     # submit them together
     saves = [(prep_model, f"{out_dir}/models/features")] + [

@@ -76,3 +76,13 @@ def test_training_input_partitions(spark):
     # never more partitions than the input has
     assert ml.training_input(df.coalesce(1), concurrent=1).rdd.getNumPartitions() == 1
     df.unpersist()
+
+
+def test_gbt_onehot_encoding(features):
+    _, prepared = ml.prepare(features)
+    onehot = ml.fit_models(prepared, R, "gbt", max_iter=2, tree_encoding="onehot")
+    cat = ml.fit_models(prepared, R, "gbt", max_iter=2)
+    width = prepared.select("features").first()[0].size
+    assert onehot[0].numFeatures == width
+    assert cat[0].numFeatures == 6  # type, actor, side, x, y, time
+    prepared.unpersist()
