@@ -94,17 +94,24 @@ def table_findings(spark: SparkSession, sf_dir: str, roles: Roles = TABLE_ROLES,
 
 
 def json_season(spark: SparkSession, events_dir: str, lineups_dir: str,
-                roles: Roles = REFERENCE_ROLES, multiline: bool = True, save: bool = True):
+                roles: Roles = REFERENCE_ROLES, multiline: bool = True, save: bool = True,
+                matches: DataFrame | None = None):
     """Nested event and lineup files of a season -> (canonical events laid
     out by (match, index chunk), roster per match). Files are read in one
-    scan each; with ``save`` the laid-out events are written once as a
-    bucketed table (see ``bound_events``)."""
-    nested = files.read_events(spark, events_dir, multiline)
-    events = sequence.layout(files.flatten_events(nested, roles), [roles.match], roles.index,
-                             roles.chunk_width)
+    scan each; ``matches`` (a match list) keeps only the listed matches of a
+    folder that holds others too; with ``save`` the laid-out events are
+    written once as a bucketed table (see ``bound_events``)."""
+    flat = files.flatten_events(files.read_events(spark, events_dir, multiline), roles)
+    roster = files.roster_from_lineups(files.read_lineups(spark, lineups_dir, multiline))
+    if matches is not None:
+        # a season's match list is small: the semi join is broadcast by
+        # size, so the event rows are not shuffled by match for it
+        listed = matches.select(F.col("match_id").cast("string").alias("match_id")).distinct()
+        flat = flat.join(listed, flat[roles.match] == listed["match_id"], "left_semi")
+        roster = roster.join(listed, "match_id", "left_semi")
+    events = sequence.layout(flat, [roles.match], roles.index, roles.chunk_width)
     if save:
         events = save_laid_out(events, laid_keys(roles), "json_events")
-    roster = files.roster_from_lineups(files.read_lineups(spark, lineups_dir, multiline))
     return events, roster
 
 
@@ -167,12 +174,14 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
     """
     from tandem.sources.sinks import save_model, write_parquet
 
-    events, roster = json_season(spark, f"{data_root}/events", f"{data_root}/lineups", roles)
     missing = matches = None
     out = {"findings": f"{out_dir}/findings", "labelled": f"{out_dir}/labelled"}
     if match_list:
-        listed = mf.listed_ids(files.listing(spark, data_root, "*.json"))
         matches = files.read_match_list(spark, match_list)
+    events, roster = json_season(spark, f"{data_root}/events", f"{data_root}/lineups", roles,
+                                 matches=matches)
+    if match_list:
+        listed = mf.listed_ids(files.listing(spark, data_root, "*.json"))
         out["manifest"] = f"{out_dir}/manifest"
         write_parquet(mf.manifest_wide(matches, f"{data_root}/events/", f"{data_root}/lineups/"),
                       out["manifest"])

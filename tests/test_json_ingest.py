@@ -132,3 +132,12 @@ def test_command_line(season_dir, tmp_path):
     written = json.loads(proc.stdout[proc.stdout.index("{"):])
     assert set(written) >= {"findings", "labelled", "predictions_lr", "ranking_lr"}
     assert (out / "models" / "lr" / "label_goal").exists()
+
+
+def test_match_list_selects_matches(spark, season_dir):
+    only = spark.createDataFrame([(202,)], "match_id long")
+    events, roster = season.json_season(spark, str(season_dir / "events"), str(season_dir / "lineups"), R,
+                                        matches=only)
+    assert {r.match_id for r in events.select("match_id").distinct().collect()} == {"202"}
+    assert events.count() == 3
+    assert {r.match_id for r in roster.select("match_id").distinct().collect()} == {"202"}
