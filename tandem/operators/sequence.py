@@ -13,6 +13,11 @@ per group over ``rows / width`` entries, and joined back on
 ``(group, chunk)``. One shuffle of the event rows serves every operator in
 this module as long as the frame keeps its layout.
 
+The chunk table is itself combined in two levels: windows over
+``(group, super-chunk)`` (``fan`` chunks each) and one window per group over
+the super-chunk rows (rows / (width * fan) of them), so no task holds all
+chunks of a hot group either.
+
 Requirements: group keys are non-NULL, the order column is unique within a
 group, and the chunk column is non-decreasing in the order column within a
 group (any ``order div width`` of a column monotone in the order qualifies).
@@ -26,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+SUPER = "_super"
+DEFAULT_FAN = 4096  # chunks per super-chunk in the two-level chunk tables
 
 
 def chunk_of(order: str, width: int) -> Column:
@@ -76,15 +83,69 @@ def _join_table(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(table, list(keys), "left")
 
 
+# --- two-level scans over a chunk table (one row per group and chunk) -------
+
+def _with_super(table: DataFrame, fan: int) -> DataFrame:
+    return table.withColumn(SUPER, F.expr(f"`{CHUNK}` div {int(fan)}"))
+
+
+def _ordered(items: Column, field: str) -> Column:
+    """Sort collected (position, value) structs by position and concatenate
+    their array values."""
+    return F.flatten(F.transform(F.array_sort(items), lambda e: e[field]))
+
+
+def _exclusive_sum(table: DataFrame, group: list, col: str, out: str, fan: int) -> DataFrame:
+    """Per chunk: sum of ``col`` over the chunks before it in its group."""
+    t = _with_super(table, fan)
+    before = Window.partitionBy(*group, SUPER).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_loc", F.coalesce(F.sum(col).over(before), F.lit(0)))
+    sup = t.groupBy(*group, SUPER).agg(F.sum(col).alias("_tot"))
+    sup_before = Window.partitionBy(*group).orderBy(SUPER).rowsBetween(Window.unboundedPreceding, -1)
+    sup = sup.select(*group, SUPER, F.coalesce(F.sum("_tot").over(sup_before), F.lit(0)).alias("_sup"))
+    return t.join(sup, group + [SUPER]).select(*group, CHUNK, (F.col("_loc") + F.col("_sup")).alias(out))
+
+
+def _previous(table: DataFrame, group: list, col: str, out: str, fan: int) -> DataFrame:
+    """Per chunk: ``col`` of the previous chunk of its group (non-NULL values)."""
+    t = _with_super(table, fan)
+    t = t.withColumn("_loc", F.lag(col, 1).over(Window.partitionBy(*group, SUPER).orderBy(CHUNK)))
+    sup = t.groupBy(*group, SUPER).agg(F.max_by(col, CHUNK).alias("_last"))
+    sup = sup.select(*group, SUPER, F.lag("_last", 1).over(Window.partitionBy(*group).orderBy(SUPER)).alias("_sup"))
+    return t.join(sup, group + [SUPER]).select(*group, CHUNK, F.coalesce("_loc", "_sup").alias(out))
+
+
+def _following(table: DataFrame, group: list, col: str, out: str, k: int, fan: int) -> DataFrame:
+    """Per chunk: the first k entries of the ``col`` arrays of the chunks
+    after it in its group (each chunk holds a non-empty array in order)."""
+    t = _with_super(table, fan)
+    inner = Window.partitionBy(*group, SUPER).orderBy(CHUNK)
+    t = t.withColumn("_loc", _ordered(F.collect_list(F.struct(CHUNK, col)).over(inner.rowsBetween(1, k)), col))
+    firsts = t.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= k)
+    sup = firsts.groupBy(*group, SUPER).agg(
+        F.slice(_ordered(F.collect_list(F.struct(CHUNK, col)), col), 1, k).alias("_sh"))
+    after = Window.partitionBy(*group).orderBy(SUPER).rowsBetween(1, k)
+    sup = sup.select(*group, SUPER, _ordered(F.collect_list(F.struct(SUPER, "_sh")).over(after), "_sh").alias("_sn"))
+    return t.join(sup, group + [SUPER]).select(
+        *group, CHUNK, F.slice(F.concat("_loc", "_sn"), 1, k).alias(out))
+
+
+def _group_min(table: DataFrame, group: list, col: str, out: str, fan: int) -> DataFrame:
+    """Per chunk: minimum of ``col`` over all chunks of its group."""
+    t = _with_super(table, fan)
+    sup = t.groupBy(*group, SUPER).agg(F.min(col).alias("_m"))
+    sup = sup.select(*group, SUPER, F.min("_m").over(Window.partitionBy(*group)).alias(out))
+    return t.join(sup, group + [SUPER]).select(*group, CHUNK, out)
+
+
 def row_numbers(df: DataFrame, group: Sequence[str], order: str, out: str,
-                width: int) -> DataFrame:
+                width: int, fan: int = DEFAULT_FAN) -> DataFrame:
     """``row_number() over (partition by group order by order)``, 1-based."""
     group = list(group)
     ld = layout(df, group, order, width)
     keys = group + [CHUNK]
     counts = _chunked(df, order, width).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = _exclusive_sum(counts, group, "_n", "_off", fan)
     local = Window.partitionBy(*keys).orderBy(order)
     return (_join_table(ld, offsets, keys)
             .withColumn(out, (F.col("_off") + F.row_number().over(local)).cast("long"))
@@ -92,7 +153,7 @@ def row_numbers(df: DataFrame, group: Sequence[str], order: str, out: str,
 
 
 def lag_columns(df: DataFrame, group: Sequence[str], order: str,
-                columns: dict[str, str], width: int) -> DataFrame:
+                columns: dict[str, str], width: int, fan: int = DEFAULT_FAN) -> DataFrame:
     """Add ``out = lag(src, 1) over (partition by group order by order)`` for
     every ``src -> out`` in ``columns``: the previous row's value, NULL on the
     first row of a group."""
@@ -101,8 +162,7 @@ def lag_columns(df: DataFrame, group: Sequence[str], order: str,
     keys = group + [CHUNK]
     row = F.struct(*[F.col(src).alias(f"c{i}") for i, src in enumerate(columns)])
     tails = _chunked(df, order, width).groupBy(*keys).agg(F.max_by(row, F.col(order)).alias("_tail"))
-    by_chunk = Window.partitionBy(*group).orderBy(CHUNK)
-    carry = tails.select(*keys, F.lag("_tail", 1).over(by_chunk).alias("_carry"))
+    carry = _previous(tails, group, "_tail", "_carry", fan)
     local = Window.partitionBy(*keys).orderBy(order)
     # lag of a struct is NULL only on the first row of a chunk: take the last
     # row of the previous non-empty chunk there.
@@ -113,7 +173,7 @@ def lag_columns(df: DataFrame, group: Sequence[str], order: str,
 
 
 def lookahead_sums(df: DataFrame, group: Sequence[str], order: str,
-                   flags: dict[str, str], k: int, width: int) -> DataFrame:
+                   flags: dict[str, str], k: int, width: int, fan: int = DEFAULT_FAN) -> DataFrame:
     """Add ``out = sum(src) over (partition by group order by order rows
     between current row and k following)`` for every ``src -> out``; NULL
     sources count as 0."""
@@ -134,10 +194,7 @@ def lookahead_sums(df: DataFrame, group: Sequence[str], order: str,
                                        for i, s in enumerate(srcs)])
     heads = (staged.filter(F.col("_p") <= k).groupBy(*keys)
              .agg(F.array_sort(F.collect_list(head_row)).alias("_h")))
-    following = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(1, k)
-    nxt = F.transform(F.array_sort(F.collect_list(F.struct(F.col(CHUNK), F.col("_h"))).over(following)),
-                      lambda e: e["_h"])
-    table = heads.select(*keys, F.slice(F.flatten(nxt), 1, k).alias("_next"))
+    table = _following(heads, group, "_h", "_next", k, fan)
     joined = _join_table(staged, table, keys)
     spill = F.col("_p") + F.lit(k) - F.col("_m")
     outs = {}
@@ -153,15 +210,14 @@ def _adder(field: str):
 
 
 def group_min(df: DataFrame, group: Sequence[str], order: str, value: Column, out: str,
-              width: int) -> DataFrame:
+              width: int, fan: int = DEFAULT_FAN) -> DataFrame:
     """Add ``out = min(value) over (partition by group)`` through the chunk
     table: partial minima per chunk, then the minimum over a group's chunks."""
     group = list(group)
     ld = layout(df, group, order, width)
     keys = group + [CHUNK]
     part = _chunked(df, order, width).groupBy(*keys).agg(F.min(value).alias("_v"))
-    table = part.select(*keys, F.min("_v").over(Window.partitionBy(*group)).alias(out))
-    return _join_table(ld, table, keys)
+    return _join_table(ld, _group_min(part, group, "_v", out, fan), keys)
 
 
 def drop_layout(df: DataFrame) -> DataFrame:

@@ -33,19 +33,19 @@ def _brute(df):
         F.min(F.when(F.col("f") == 1, F.col("o"))).over(Window.partitionBy("g")).alias("mn"))
 
 
-def _ours(df, width):
-    a = S.row_numbers(df, ["g"], "o", "rn", width)
-    a = S.lag_columns(a, ["g"], "o", {"v": "pv", "f": "pf"}, width)
-    a = S.lookahead_sums(a, ["g", "h"], "o", {"f": "la"}, 5, width)
-    return S.group_min(a, ["g"], "o", F.when(F.col("f") == 1, F.col("o")), "mn", width)
+def _ours(df, width, fan=S.DEFAULT_FAN):
+    a = S.row_numbers(df, ["g"], "o", "rn", width, fan)
+    a = S.lag_columns(a, ["g"], "o", {"v": "pv", "f": "pf"}, width, fan)
+    a = S.lookahead_sums(a, ["g", "h"], "o", {"f": "la"}, 5, width, fan)
+    return S.group_min(a, ["g"], "o", F.when(F.col("f") == 1, F.col("o")), "mn", width, fan)
 
 
 COLS = ["g", "o", "f", "h", "v", "rn", "pv", "pf", "la", "mn"]
 
 
-@pytest.mark.parametrize("width", [1, 2, 5, 13, 10_000])
-def test_matches_windows(data, width):
-    ours = sorted(map(tuple, _ours(data, width).select(COLS).collect()), key=str)
+@pytest.mark.parametrize("width,fan", [(1, 2), (1, 3), (2, 2), (5, 4096), (13, 2), (10_000, 4096)])
+def test_matches_windows(data, width, fan):
+    ours = sorted(map(tuple, _ours(data, width, fan).select(COLS).collect()), key=str)
     brute = sorted(map(tuple, _brute(data).select(COLS).collect()), key=str)
     assert ours == brute
 
@@ -56,16 +56,18 @@ def test_lag_after_filter_spans_empty_chunks(spark):
     df = spark.range(0, 30).select(F.lit("m").alias("g"), F.col("id").alias("o"),
                                    (F.col("id") * 10).alias("v"))
     kept = df.filter((F.col("o") < 10) | (F.col("o") >= 20))
-    out = {r.o: r.pv for r in S.lag_columns(kept, ["g"], "o", {"v": "pv"}, 3).collect()}
-    assert out[20] == 90 and out[0] is None and out[21] == 200
+    for fan in (1, 2, 4096):
+        out = {r.o: r.pv for r in S.lag_columns(kept, ["g"], "o", {"v": "pv"}, 3, fan).collect()}
+        assert out[20] == 90 and out[0] is None and out[21] == 200
 
 
-def test_lookahead_spills_over_short_chunks(spark):
+@pytest.mark.parametrize("fan", [1, 2, 4096])
+def test_lookahead_spills_over_short_chunks(spark, fan):
     # sparse order keys: chunks of width 4 hold one row each, so the k rows
-    # ahead come from several following chunks
+    # ahead come from several following chunks (and super-chunks)
     rows = [("m", o, 1 if o == 40 else 0, 1) for o in range(0, 44, 4)]
     df = spark.createDataFrame(rows, "g string, o long, f int, h int")
-    out = {r.o: r.la for r in S.lookahead_sums(df, ["g", "h"], "o", {"f": "la"}, 5, 4).collect()}
+    out = {r.o: r.la for r in S.lookahead_sums(df, ["g", "h"], "o", {"f": "la"}, 5, 4, fan).collect()}
     assert [out[o] for o in range(0, 44, 4)] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1]
 
 
