@@ -155,6 +155,7 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
         for f in [pool.submit(t) for t in tasks]:
             f.result()
     prepared.unpersist()
+    sequence.release_shared()
     return written
 
 
@@ -204,4 +205,5 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
         out[f"ranking_{kind}"] = f"{out_dir}/ranking/{kind}"
         write_ranking(totals, out[f"ranking_{kind}"])
     prepared.unpersist()
+    sequence.release_shared()
     return out

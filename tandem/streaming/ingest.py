@@ -48,6 +48,7 @@ def process_batch(nested: DataFrame, epoch: int, out_dir: str, roles: Roles,
             qa.findings(events, roster, roles).write.mode("overwrite") \
               .parquet(f"{out_dir}/findings/epoch={epoch}")
     finally:
+        sequence.release_shared()
         flat.unpersist()
 
 

@@ -82,18 +82,26 @@ def test_hot_group_is_split(spark):
 
 
 def _row_exchanges(plan: str) -> list[str]:
-    """Exchange nodes of a physical plan tree string that are not below a
-    BroadcastExchange (those move rows, not a broadcast chunk table)."""
-    stack, found = [], []
-    for line in plan.splitlines():
-        depth = len(line) - len(line.lstrip(" :+-"))
-        node = line.strip(" :+-")
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        under_broadcast = any(b for _, b in stack)
-        if node.startswith("Exchange") and not under_broadcast:
-            found.append(node)
-        stack.append((depth, node.startswith("BroadcastExchange")))
+    """Exchange nodes of a physical plan tree string that move rows: their
+    subtree reaches a file scan without passing an aggregate, a broadcast or
+    a persisted chunk table (InMemoryRelation). The others move chunk tables
+    (one row per group and chunk)."""
+    nodes = [(len(line) - len(line.lstrip(" :+-")), line.strip(" :+-")) for line in plan.splitlines()]
+    small = ("BroadcastExchange", "InMemoryRelation", "HashAggregate", "ObjectHashAggregate")
+    found = []
+    for i, (depth, node) in enumerate(nodes):
+        if not node.startswith("Exchange"):
+            continue
+        stack = []
+        for d, n in nodes[i + 1:]:
+            if d <= depth:
+                break
+            while stack and stack[-1][0] >= d:
+                stack.pop()
+            if n.startswith("FileScan") and not any(b for _, b in stack):
+                found.append(node)
+                break
+            stack.append((d, n.startswith(small)))
     return found
 
 
@@ -111,6 +119,9 @@ def test_saved_layout_needs_no_row_shuffle(spark):
     assert "Bucketed: true" in plan
     assert _row_exchanges(plan) == []
     assert out.count() == 1000
+    # the same operators on an unsaved frame: the layout shuffle is seen
+    unsaved = S.lookahead_sums(df, ["g"], "o", {"f": "la"}, 5, 50)
+    assert len(_row_exchanges(unsaved._jdf.queryExecution().executedPlan().treeString())) >= 1
 
 
 def test_layout_partitions_setting(spark):
@@ -122,3 +133,18 @@ def test_layout_partitions_setting(spark):
         spark.conf.unset(S.LAYOUT_PARTITIONS)
     assert S.layout(df, ["g"], "o", 10).rdd.getNumPartitions() == \
         int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_shared_chunk_tables_released(data):
+    """Chunk tables feeding two branches are persisted while a run builds on
+    them; release drops them and frames built before still compute the same
+    rows (they recompute)."""
+    S.release_shared()
+    ours = _ours(data, 5, 2).select(COLS)
+    before = sorted(map(tuple, ours.collect()), key=str)
+    kept = list(S._SHARED)
+    assert kept and all(t.storageLevel.useMemory for t in kept)
+    S.release_shared()
+    assert not S._SHARED and all(not t.storageLevel.useMemory for t in kept)
+    assert sorted(map(tuple, ours.collect()), key=str) == before
+    assert before == sorted(map(tuple, _brute(data).select(COLS).collect()), key=str)
