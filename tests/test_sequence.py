@@ -83,7 +83,7 @@ def test_hot_group_is_split(spark):
 
 def _row_exchanges(plan: str) -> list[str]:
     """Exchange nodes of a physical plan tree string that move rows: their
-    subtree reaches a file scan without passing an aggregate, a broadcast or
+    subtree reaches a source (file scan, range) without passing an aggregate, a broadcast or
     a persisted chunk table (InMemoryRelation). The others move chunk tables
     (one row per group and chunk)."""
     nodes = [(len(line) - len(line.lstrip(" :+-")), line.strip(" :+-")) for line in plan.splitlines()]
@@ -98,7 +98,7 @@ def _row_exchanges(plan: str) -> list[str]:
                 break
             while stack and stack[-1][0] >= d:
                 stack.pop()
-            if n.startswith("FileScan") and not any(b for _, b in stack):
+            if n.startswith(("FileScan", "Range", "LocalTableScan", "Scan ")) and not any(b for _, b in stack):
                 found.append(node)
                 break
             stack.append((d, n.startswith(small)))
