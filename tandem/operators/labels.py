@@ -59,7 +59,7 @@ def next_k_sums(df: DataFrame, roles: Roles, flags: dict[str, str]) -> DataFrame
     """Sum of each flag over the current event and the next k events in the
     same match and segment."""
     return sequence.lookahead_sums(df, [roles.match, SEGMENT], roles.index, flags, roles.k,
-                                   roles.chunk_width)
+                                   roles.chunk_width, layout_group=[roles.match])
 
 
 def label_events(df: DataFrame, roles: Roles) -> DataFrame:

@@ -75,14 +75,27 @@ def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_of(order, width))
 
 
-def _join_table(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_table(df: DataFrame, table: DataFrame, keys: Sequence[str],
+                also: Sequence[str] = ()) -> DataFrame:
     """Left-join a chunk table on (group, chunk).
 
-    A plain equi-join on the key names keeps the rows' (group, chunk) hash
+    A plain equi-join on exactly the rows' layout keys keeps their hash
     partitioning, so only the small table moves: Catalyst/AQE broadcast it
     when it is small, otherwise it is shuffled to the rows' partitioning.
+    Columns in ``also`` (a finer group, such as the half within a match) are
+    compared in a non-equi condition: as equi-join keys they would make the
+    join require (layout keys + also) partitioning and shuffle the rows too.
     """
-    return df.join(table, list(keys), "left")
+    if not also:
+        return df.join(table, list(keys), "left")
+    t = table.select(*[F.col(c).alias(f"_t{c}") for c in table.columns])
+    cond = [df[k] == t[f"_t{k}"] for k in keys]
+    # (a - b) = 0 is not extracted as an equi-join key; NULL never matches,
+    # as with an equi-join.
+    cond += [(df[c] - t[f"_t{c}"]) == 0 for c in also]
+    out = df.join(t, cond, "left")
+    rest = [c for c in table.columns if c not in keys and c not in also]
+    return out.select(*[df[c] for c in df.columns], *[t[f"_t{c}"].alias(c) for c in rest])
 
 
 # --- two-level scans over a chunk table (one row per group and chunk) -------
@@ -200,12 +213,16 @@ def lag_columns(df: DataFrame, group: Sequence[str], order: str,
 
 
 def lookahead_sums(df: DataFrame, group: Sequence[str], order: str,
-                   flags: dict[str, str], k: int, width: int, fan: int = DEFAULT_FAN) -> DataFrame:
+                   flags: dict[str, str], k: int, width: int, fan: int = DEFAULT_FAN,
+                   layout_group: Sequence[str] | None = None) -> DataFrame:
     """Add ``out = sum(src) over (partition by group order by order rows
     between current row and k following)`` for every ``src -> out``; NULL
-    sources count as 0."""
+    sources count as 0. ``layout_group`` (a prefix of ``group``, default
+    ``group``) names the group the rows are laid out by; the remaining group
+    columns must be numeric."""
     group = list(group)
-    ld = layout(df, group, order, width)
+    lgroup = list(layout_group) if layout_group is not None else group
+    ld = layout(df, lgroup, order, width)
     keys = group + [CHUNK]
     local = Window.partitionBy(*keys).orderBy(order)
     srcs = list(flags)
@@ -222,7 +239,7 @@ def lookahead_sums(df: DataFrame, group: Sequence[str], order: str,
     heads = (staged.filter(F.col("_p") <= k).groupBy(*keys)
              .agg(F.array_sort(F.collect_list(head_row)).alias("_h")))
     table = _following(heads, group, "_h", "_next", k, fan)
-    joined = _join_table(staged, table, keys)
+    joined = _join_table(staged, table, lgroup + [CHUNK], [c for c in group if c not in lgroup])
     spill = F.col("_p") + F.lit(k) - F.col("_m")
     outs = {}
     for i, (src, name) in enumerate(flags.items()):

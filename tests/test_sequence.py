@@ -105,23 +105,43 @@ def _row_exchanges(plan: str) -> list[str]:
     return found
 
 
-def test_saved_layout_needs_no_row_shuffle(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_saved_layout_needs_no_row_shuffle(spark, broadcast):
     """Rows written as a bucketed table on (group, chunk): row numbers, lags
-    and look-ahead sums on it shuffle no rows, only broadcast chunk tables."""
+    and look-ahead sums (also over a finer group, like halves of a match) on
+    it shuffle no rows, only chunk tables, whether or not those are
+    broadcast."""
     from tandem.sources.sinks import save_laid_out
 
     df = spark.range(0, 1000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").alias("o"),
-                                     (F.col("id") % 2).cast("int").alias("f"))
-    saved = save_laid_out(S.layout(df, ["g"], "o", 50), ["g", S.CHUNK], "test")
-    out = S.lag_columns(S.row_numbers(saved, ["g"], "o", "rn", 50), ["g"], "o", {"f": "pf"}, 50)
-    out = S.lookahead_sums(out, ["g"], "o", {"f": "la"}, 5, 50)
-    plan = out._jdf.queryExecution().executedPlan().treeString()
-    assert "Bucketed: true" in plan
-    assert _row_exchanges(plan) == []
-    assert out.count() == 1000
-    # the same operators on an unsaved frame: the layout shuffle is seen
-    unsaved = S.lookahead_sums(df, ["g"], "o", {"f": "la"}, 5, 50)
-    assert len(_row_exchanges(unsaved._jdf.queryExecution().executedPlan().treeString())) >= 1
+                                     (F.col("id") % 2).cast("int").alias("f"),
+                                     (F.col("id") >= 400).cast("int").alias("h"))
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    if not broadcast:
+        for k in keys:
+            spark.conf.set(k, "-1")
+    try:
+        saved = save_laid_out(S.layout(df, ["g"], "o", 50), ["g", S.CHUNK], "test")
+        out = S.lag_columns(S.row_numbers(saved, ["g"], "o", "rn", 50), ["g"], "o", {"f": "pf"}, 50)
+        out = S.lookahead_sums(out, ["g"], "o", {"f": "la"}, 5, 50)
+        out = S.lookahead_sums(out, ["g", "h"], "o", {"f": "lh"}, 5, 50, layout_group=["g"])
+        plan = out._jdf.queryExecution().executedPlan().treeString()
+        assert "Bucketed: true" in plan
+        assert ("BroadcastExchange" in plan) == broadcast
+        assert _row_exchanges(plan) == []
+        got = sorted(map(tuple, out.select("g", "o", "la", "lh").collect()))
+        w = Window.partitionBy("g").orderBy("o").rowsBetween(0, 5)
+        wh = Window.partitionBy("g", "h").orderBy("o").rowsBetween(0, 5)
+        want = sorted(map(tuple, df.select("g", "o", F.sum("f").over(w).cast("long").alias("la"),
+                                           F.sum("f").over(wh).cast("long").alias("lh")).collect()))
+        assert got == want
+        # the same operators on an unsaved frame: the layout shuffle is seen
+        unsaved = S.lookahead_sums(df, ["g"], "o", {"f": "la"}, 5, 50)
+        assert len(_row_exchanges(unsaved._jdf.queryExecution().executedPlan().treeString())) >= 1
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_layout_partitions_setting(spark):

@@ -21,35 +21,69 @@ from tandem.session import local_session  # noqa: E402
 from tandem.sources import bind  # noqa: E402
 
 
-def exchanges(plan: str):
-    """(row exchanges, map-side-combined exchanges, exchanges under a
-    broadcast, broadcasts). An exchange whose child is a partial aggregate
-    moves at most one row per key and task."""
-    lines = plan.splitlines()
-    stack, rows, combined, small, bcast = [], [], [], [], 0
-    for i, line in enumerate(lines):
-        depth = len(line) - len(line.lstrip(" :+-"))
-        node = line.strip(" :+-")
+SMALL = ("BroadcastExchange", "InMemoryRelation")
+BLOCKING = SMALL + ("HashAggregate", "ObjectHashAggregate", "SortAggregate")
+SOURCES = ("FileScan", "Range", "LocalTableScan", "Scan ")
+
+
+def _nodes(plan: str):
+    return [(len(line) - len(line.lstrip(" :+-")), line.strip(" :+-")) for line in plan.splitlines()]
+
+
+def _under(nodes, kinds):
+    """Per node: is it below a node whose name starts with one of ``kinds``."""
+    stack, out = [], []
+    for depth, node in nodes:
         while stack and stack[-1][0] >= depth:
             stack.pop()
-        under = any(b for _, b in stack)
-        if node.startswith("BroadcastExchange"):
-            bcast += 1
-        elif node.startswith("Exchange"):
-            name = re.sub(r"#\d+L?", "", node.split(", [plan_id")[0])
-            child = lines[i + 1].strip(" :+-") if i + 1 < len(lines) else ""
-            partial = child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")) and \
-                ("partial_" in child or "functions=[]" in child)
-            (small if under else combined if partial else rows).append(name)
-        stack.append((depth, node.startswith("BroadcastExchange")))
-    return rows, combined, small, bcast
+        out.append(any(b for _, b in stack))
+        stack.append((depth, node.startswith(kinds)))
+    return out
+
+
+def _moves_rows(nodes, i):
+    """The exchange at ``i`` reaches a source without passing an aggregate,
+    a broadcast or a persisted chunk table."""
+    depth, stack = nodes[i][0], []
+    for d, n in nodes[i + 1:]:
+        if d <= depth:
+            return False
+        while stack and stack[-1][0] >= d:
+            stack.pop()
+        if n.startswith(SOURCES) and not any(b for _, b in stack):
+            return True
+        stack.append((d, n.startswith(BLOCKING)))
+    return False
+
+
+def exchanges(plan: str):
+    """(row exchanges, map-side-combined exchanges, chunk-table exchanges,
+    broadcasts, persisted chunk tables). An exchange whose child is a partial
+    aggregate moves at most one row per key and task; one that reaches the
+    scan only through an aggregate, a broadcast or a persisted chunk table
+    moves chunk-table rows."""
+    nodes = _nodes(plan)
+    under = _under(nodes, SMALL)
+    rows, combined, small = [], [], []
+    bcast = sum(1 for u, (_, n) in zip(under, nodes) if not u and n.startswith("BroadcastExchange"))
+    cached = len({re.sub(r"#\d+L?", "", n.split("], ")[0]) for _, n in nodes if n.startswith("InMemoryRelation")})
+    for i, (depth, node) in enumerate(nodes):
+        if not node.startswith("Exchange") or under[i]:
+            continue
+        name = re.sub(r"#\d+L?", "", node.split(", [plan_id")[0])
+        child = nodes[i + 1][1] if i + 1 < len(nodes) else ""
+        partial = child.startswith(("HashAggregate", "ObjectHashAggregate", "SortAggregate")) and \
+            ("partial_" in child or "functions=[]" in child)
+        (combined if partial else rows if _moves_rows(nodes, i) else small).append(name)
+    return rows, combined, small, bcast, cached
 
 
 def scans(plan: str):
     out = []
-    for line in plan.splitlines():
+    nodes = _nodes(plan)
+    for (_, line), hidden in zip(nodes, _under(nodes, ("InMemoryRelation",))):
         m = re.search(r"FileScan (\w+) ?(\S*)\[", line)
-        if not m:
+        if not m or hidden:
             continue
         table = m.group(2).split(".")[-1]
         if not table:
@@ -65,7 +99,7 @@ def scans(plan: str):
 
 def report(title: str, df, note: str) -> None:
     plan = df._jdf.queryExecution().executedPlan().treeString()
-    rows, combined, small, bcast = exchanges(plan)
+    rows, combined, small, bcast, cached = exchanges(plan)
     print(f"## {title}\n\n{note}\n")
     print(f"- exchanges of event rows: {len(rows)}")
     for r in rows:
@@ -73,7 +107,9 @@ def report(title: str, df, note: str) -> None:
     print(f"- exchanges after a map-side partial aggregate: {len(combined)}")
     for r in combined:
         print(f"  - `{r}`")
-    print(f"- exchanges inside broadcast (small) tables: {len(small)}; broadcasts: {bcast}")
+    print(f"- exchanges of chunk tables (one row per group and chunk): {len(small)}; "
+          f"broadcasts: {bcast}; persisted chunk tables: {cached} (their scans are listed once, "
+          f"where they are built)")
     for s in scans(plan):
         print(f"- scan `{s}`")
     print()
@@ -84,7 +120,9 @@ def main(sf_dir: str) -> None:
     print("# Physical plans of the main flows\n")
     print(f"Generated by `tools/plan_report.py` on `{sf_dir}` (local[8], 8 shuffle partitions, AQE on;")
     print("static plans before AQE re-optimisation). An exchange 'of event rows' moves the big table;")
-    print("the others move one row per (match, chunk) or one row per task.\n")
+    print("the others move one row per (match, chunk) or one row per task. Chunk tables that feed two")
+    print("branches are persisted, so the scans below them run once; scans listed here are those")
+    print("outside persisted tables.\n")
     ev = season.bound_events(spark, sf_dir)
     report("Binding (events -> indexed canonical rows)",
            bind.bind_events(bind.table(spark, sf_dir, "events"), R),
