@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,14 +116,29 @@ def json_season(spark: SparkSession, events_dir: str, lineups_dir: str,
     return events, roster
 
 
-def write_ranking(totals: DataFrame, path: str, by: str = "season_modified") -> None:
-    """Write the season ranking as one ordered file. The input has one row
-    per pair of actors (bounded by the squad, not by the number of events),
-    so the single output task handles a small result; the sort itself is a
-    range-partitioned global sort."""
+SINGLE_FILE_ROWS = 5_000_000  # largest ranking written as one file by one task
+
+
+def write_ranking(totals: DataFrame, path: str, by: str = "season_modified",
+                  single_file_rows: int = SINGLE_FILE_ROWS) -> int:
+    """Write the season ranking (a range-partitioned global sort) and return
+    its row count. One row per pair of actors: a squad bounds that for
+    player rosters, but not in general, so the count is checked first. Up to
+    ``single_file_rows`` pairs go to one ordered file (one task); beyond that
+    the sorted ranges are written in parallel, part files in rank order."""
     from tandem.sources.sinks import write_single
 
-    write_single(vl.rank_pairs(totals, by), path)
+    kept = totals.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = kept.count()
+        ranked = vl.rank_pairs(kept, by)
+        if n <= single_file_rows:
+            write_single(ranked, path)
+        else:
+            ranked.write.mode("overwrite").parquet(path)
+        return n
+    finally:
+        kept.unpersist()
 
 
 def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,

@@ -94,3 +94,32 @@ def test_ranking_single_file(spark, golden, tmp_path):
     season.write_ranking(vl.season_pair_totals(vl.interactions(probs, R)), path)
     assert len(glob.glob(path + "/*.parquet")) == 1
     assert [r.pair for r in spark.read.parquet(path).collect()] == ["(Di, Ana)", "(Bo, Ana)", None]
+
+
+def test_ranking_beyond_single_file_bound(spark, tmp_path):
+    """A ranking larger than the single-file bound is written by several
+    tasks; its part files, read in name order, hold the whole ranking in
+    rank order."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tandem.plans import season
+
+    totals = spark.range(0, 5000).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("pair"),
+        ((F.col("id") * 7919 % 1000) / 8.0).alias("season_modified"),
+        (F.col("id") / 4.0).alias("season_plain"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        path = str(tmp_path / "ranking_big")
+        assert season.write_ranking(totals, path, single_file_rows=100) == 5000
+    finally:
+        spark.conf.set(key, old)
+    parts = sorted(glob.glob(path + "/*.parquet"))
+    assert len(parts) > 1
+    got = [(r["season_modified"], r["pair"]) for p in parts for r in pq.read_table(p).to_pylist()]
+    want = [(r.season_modified, r.pair) for r in totals.collect()]
+    assert got == sorted(want, key=lambda t: (-t[0], t[1]))
