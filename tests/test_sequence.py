@@ -168,3 +168,27 @@ def test_shared_chunk_tables_released(data):
     assert not S._SHARED and all(not t.storageLevel.useMemory for t in kept)
     assert sorted(map(tuple, ours.collect()), key=str) == before
     assert before == sorted(map(tuple, _brute(data).select(COLS).collect()), key=str)
+
+
+def test_season_flows_shuffle_no_event_rows_without_broadcast(spark, sf_small):
+    """On the bound (bucketed) season table, labels and the value stage up to
+    the pair totals move no event rows even when no chunk table may be
+    broadcast (as at full scale, where chunk tables exceed the threshold)."""
+    from tandem.config import TABLE_ROLES as R
+    from tandem.operators import labels as lb
+    from tandem.plans import season
+
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        ev = season.bound_events(spark, sf_small)
+        for df in (lb.labelled(ev, R), season.pair_totals(season.standin_input(ev), R)):
+            plan = df._jdf.queryExecution().executedPlan().treeString()
+            assert "BroadcastExchange" not in plan
+            assert _row_exchanges(plan) == []
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        S.release_shared()
