@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import stored, table
 from tandem.llm.decontaminate import decontaminate
+from tandem.llm.langid import UNDETERMINED, identify
 from tandem.llm.linededup import dedup_lines
 from tandem.llm.packing import pack_documents
 from tandem.llm.simhash import near_duplicates
 
 
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: their text has letters, and the mean
+    probability of the best language reaches ``MIN_LANGUAGE_SCORE``."""
+    rejected = (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)
+    dropped = identify(docs).where(rejected).select(F.col("doc_id").alias("dropped_id__")).distinct()
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id__")), "left_anti")
+
+
 def dedup_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are similar to an earlier line."""
     cleaned = dedup_lines(docs)
@@ -39,6 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", keep_identified),
     ("line dedup", dedup_repeated_lines),
     ("simhash near-dedup", keep_one_of_each_group),
     ("benchmark decontamination", drop_contaminated),
