@@ -35,45 +35,55 @@ def words_array(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """One byte per hash bucket: 8 times the binary logarithm of its count."""
-    word = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\f\v ", "      "), " ")).alias("word")
+def rarity_table(rows: DataFrame) -> bytes:
+    """One byte per hash bucket: 4 times the binary logarithm of its count."""
+    word = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\f\v ", "      "), " ")).alias("word")
     bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
-    counts = lines.select(word).where("word <> ''").groupBy(bucket.alias("bucket")).count()
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("count")))).cast("int")
+    counts = rows.select(word).where("word <> ''").groupBy(bucket.alias("bucket")).count()
+    level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count")))).cast("int")
     out = bytearray(RARITY_BUCKETS)
     for b, v in counts.select("bucket", level).toLocalIterator():  # RARITY_BUCKETS rows at most
         out[b] = v
     return bytes(out)
 
 
-def line_classes(rows: DataFrame) -> DataFrame:
-    """(line, doc, pos): the first occurrence of every distinct line."""
-    first = F.min((F.col("doc").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(32,0)"))
-    classes = occurrences(rows).groupBy("line").agg(first.alias("at"))
-    whole = F.floor(F.col("at") / F.lit(1 << 31).cast("decimal(10,0)")).cast("decimal(32,0)")
-    return classes.select("line", whole.cast("long").alias("doc"),
-                          (F.col("at") - whole * F.lit(1 << 31).cast("decimal(10,0)")).cast("int").alias("pos"))
-
-
 def occurrences(rows: DataFrame) -> DataFrame:
+    """(doc, pos, line) of every line that has a word."""
     spaced = F.trim(F.translate("line", "\t\r\f\v", "    "))
     return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(spaced != "")
 
 
+def line_classes(rows: DataFrame) -> DataFrame:
+    """(line, doc, pos): the first occurrence of every distinct line. Document
+    and line number are one decimal, which a hash aggregate can take least of."""
+    places = F.lit(1 << 31).cast("decimal(10,0)")
+    at = (F.col("doc").cast("decimal(20,0)") * places + F.col("pos")).cast("decimal(32,0)")
+    classes = occurrences(rows).groupBy("line").agg(F.min(at).alias("at"))
+    doc = F.floor(F.col("at") / places).cast("decimal(32,0)")
+    return classes.select("line", doc.cast("long").alias("doc"), (F.col("at") - doc * places).cast("int").alias("pos"))
+
+
 def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
-    """Per class its size, a parity bitmap of its words and its rarest words."""
+    """Per class its first place, key, size, a parity bitmap of its words and
+    hashes of its rarest words. A word is one number: its rarity in the upper
+    bits, then its hash."""
     table = F.lit(rarity)
-    hashes = F.transform(words_array(F.col("line")), lambda w: F.xxhash64(w))
-    ordered = F.sort_array(F.transform(hashes, lambda h: F.struct(
-        F.substring(table, (F.pmod(h, F.lit(RARITY_BUCKETS)) + 1).cast("int"), F.lit(1)).alias("rarity"), h.alias("word"))))
-    sized = classes.select("doc", "pos", ordered.alias("words")).select(
-        "doc", "pos", F.size("words").alias("n"), "words").where("n > 0")
-    bits = F.aggregate("words", F.lit(0).cast("long"),
-                       lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w["word"], F.lit(61)).cast("int"))))
+
+    def number(w: Column) -> Column:
+        h = F.xxhash64(w)
+        place = (F.pmod(h, F.lit(RARITY_BUCKETS)) + 1).cast("int")
+        level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
+
+    words = F.array_remove(F.split(F.translate(F.lower("line"), "\t\r\f\v", "    "), " "), "")
+    ordered = F.sort_array(F.array_distinct(F.transform(words, number)))
+    sized = classes.select("doc", "pos", F.unhex(F.md5("line")).alias("key"), ordered.alias("words")).select(
+        "*", F.size("words").alias("n"))
+    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1
-    return sized.select("doc", "pos", "n", bits.alias("bits"),
-                        F.transform(F.slice("words", F.lit(1), keep), lambda w: w["word"]).alias("prefix"))
+    return sized.select("doc", "pos", "key", "n", bits.alias("bits"),
+                        F.transform(F.slice("words", F.lit(1), keep), lambda w: F.hash(w)).alias("prefix"))
 
 
 def may_match(a: str, b: str, t: float) -> Column:
@@ -88,8 +98,9 @@ def may_match(a: str, b: str, t: float) -> Column:
 def by_leader(sigs: DataFrame, t: float) -> DataFrame:
     """Each line with the earliest line that shares two of its rarest words."""
     p = F.col("prefix")
-    keys = F.filter(F.array(*[F.when(F.size(p) >= max(i, j), F.sort_array(F.array(p[i - 1], p[j - 1])))
-                              for i, j in ((1, 2), (1, 3), (2, 3))], F.when(F.size(p) == 1, F.array(p[0]))), lambda k: k.isNotNull())
+    twos = [F.when(F.size(p) >= j, F.xxhash64(F.least(p[i - 1], p[j - 1]), F.greatest(p[i - 1], p[j - 1])))
+            for i, j in ((1, 2), (1, 3), (2, 3))]
+    keys = F.array_compact(F.array(*twos, F.when(F.size(p) == 1, p[0].cast("long"))))
     dealt = sigs.select("doc", "pos", "n", "bits", F.explode(keys).alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("doc", "pos", "n", "bits")).alias("l"), F.count(F.lit(1)).alias("size"))
     first = first.where("size > 1").select("key", "l.*")
@@ -99,26 +110,31 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
 
 
 def by_prefix(sigs: DataFrame, settled: DataFrame, t: float) -> DataFrame:
-    """Pairs of a line not settled yet and an earlier line that pass all filters."""
-    marked = sigs.join(settled.withColumn("done", F.lit(True)), ["doc", "pos"], "left")
-    postings = marked.select("doc", "pos", "n", "bits", "done", F.posexplode("prefix").alias("place", "word"))
-    x, y = postings.alias("x"), postings.alias("y")
+    """Pairs of a line not settled yet and an earlier line that pass all filters.
+    The longer line of a pair probes with its whole prefix, the shorter one is
+    indexed by its shorter prefix."""
+    marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(True)), ["doc", "pos"], "left")
+    marked = marked.withColumn("open", F.col("done").isNull())
+    short = F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9).cast("int") + 1
+    x = marked.select("doc", "pos", "n", "bits", "open", F.posexplode("prefix").alias("place", "word")).alias("x")
+    y = marked.select("doc", "pos", "n", "bits", "open", F.posexplode(F.slice("prefix", F.lit(1), short)).alias("place", "word")).alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    overlap = F.ceil(t / (1 + t) * (n + m) - 1e-9)
-    index = lambda s: F.col(f"{s}.place") <= F.col(f"{s}.n") - F.ceil(2 * t / (1 + t) * F.col(f"{s}.n") - 1e-9)
-    prefix = F.when(n >= m, index("y")).otherwise(index("x"))
-    positional = 1 + F.least(n - F.col("x.place"), m - F.col("y.place")) - 1 >= overlap
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.pos") < F.col("x.pos")))
-    met = F.col("x.word") == F.col("y.word")
-    return x.join(y, met & F.col("x.done").isNull() & earlier & may_match("x", "y", t) & prefix & positional).select(
-        F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct()
-
-
-def verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """(doc, pos) of the later lines of the pairs whose sets are similar."""
+    earlier = F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")
+    longer = (n > m) | ((n == m) & earlier)
+    needed = F.when(earlier, F.col("x.open")).otherwise(F.col("y.open"))
+    positional = F.least(n - F.col("x.place"), m - F.col("y.place")) >= F.ceil(t / (1 + t) * (n + m) - 1e-9)
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & longer & needed & positional & may_match("x", "y", t))
+    later, first = F.struct("x.doc", "x.pos"), F.struct("y.doc", "y.pos")
+    pairs = pairs.select(F.when(earlier, later).otherwise(first).alias("l"), F.when(earlier, first).otherwise(later).alias("e"))
+    return pairs.select("l.doc", "l.pos", F.col("e.doc").alias("doc2"), F.col("e.pos").alias("pos2")).distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """(doc, pos) of the later lines of the pairs whose word sets are similar."""
     pairs = stored(pairs, "line-pairs")
-    named = pairs.select("doc", "pos").union(pairs.select(F.col("doc2"), F.col("pos2"))).distinct()
-    lines = stored(classes.join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words")), "line-words")
+    named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
+    lines = occurrences(rows).join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words"))
+    lines = stored(lines.distinct(), "line-words")
     other = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("words").alias("words2"))
     both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"])
     common = F.size(F.array_intersect("words", "words2"))
@@ -130,15 +146,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc, pos) of every line that goes; pos counts lines from 0."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    classes = stored(line_classes(rows), "lines")
-    sigs = stored(signatures(classes, rarity_table(rows), t), "line-signatures")
-    settled = stored(verified(by_leader(sigs, t), classes, t), "lines-settled")
-    similar = settled.union(verified(by_prefix(sigs, settled, t), classes, t))
-    # Classes that matter again: repeated lines, and lines similar to an earlier one.
-    key = F.unhex(F.md5("line")).alias("key")
-    first = classes.join(similar.withColumn("gone", F.lit(True)), ["doc", "pos"], "left")
-    first = first.select(key, F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    every = occurrences(rows).select("doc", "pos", key)
+    sigs = stored(signatures(line_classes(rows), rarity_table(rows), t), "line-signatures")
+    settled = stored(verified(by_leader(sigs, t), rows, t), "lines-settled")
+    similar = settled.union(verified(by_prefix(sigs, settled, t), rows, t)).withColumn("gone", F.lit(True))
+    first = sigs.select("doc", "pos", "key").join(similar, ["doc", "pos"], "left").select(
+        F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), "key", F.coalesce("gone", F.lit(False)).alias("gone"))
+    every = occurrences(rows).select("doc", "pos", F.unhex(F.md5("line")).alias("key"))
     stays = (F.col("doc") == F.col("doc1")) & (F.col("pos") == F.col("pos1")) & ~F.col("gone")
     return every.join(first, "key").where(~stays).select("doc", "pos")
 
