@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tandem.session import scratch_path
 
@@ -33,6 +34,23 @@ def shards(rows: int, per_shard: int) -> int:
     return max(1, math.ceil(rows / per_shard))
 
 
+SLOTS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys may be among those of ``wanted``, before a join shuffles
+    them: ``wanted`` becomes bitmaps of ``SLOTS`` bits by hash, 4 MB to broadcast
+    whatever its size. All rows of ``wanted``'s keys pass, and a few others."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    bucket, bit = F.call_function("shiftright", slot, F.lit(15)).cast("int"), slot.bitwiseAND(F.lit(32767)).cast("int")
+    marks = wanted.select(bucket.alias("bucket__"), bit.alias("bit__")).groupBy("bucket__").agg(
+        F.bitmap_construct_agg("bit__").alias("marks__"))
+    byte = F.conv(F.hex(F.substring("marks__", F.floor(F.col("bit__") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = rows.select("*", bucket.alias("bucket__"), bit.alias("bit__")).join(F.broadcast(marks), "bucket__")
+    set_bit = F.call_function("shiftright", byte, F.pmod(F.col("bit__"), F.lit(8))).bitwiseAND(F.lit(1)) == 1
+    return asked.where(set_bit).select(*rows.columns)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tandem.llm.common import stored
+from tandem.llm.common import maybe_in, stored
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
@@ -86,13 +86,12 @@ def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
                         F.transform(F.slice("words", F.lit(1), keep), lambda w: F.hash(w)).alias("prefix"))
 
 
-def may_match(a: str, b: str, t: float) -> Column:
+def may_match(n: Column, bits: Column, m: Column, other: Column, t: float) -> Column:
     """Sizes, and words that sit in one of the sets only: each parity bit that
     differs stands for at least one of them."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
     overlap = t / (1 + t) * (n + m) - 1e-9
-    return (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (apart <= n + m - 2 * F.ceil(overlap))
+    similar_size = F.least(n, m) >= t * F.greatest(n, m) - 1e-9
+    return similar_size & (F.bit_count(bits.bitwiseXOR(other)) <= n + m - 2 * F.ceil(overlap))
 
 
 def by_leader(sigs: DataFrame, t: float) -> DataFrame:
@@ -103,9 +102,11 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
     keys = F.array_compact(F.array(*twos, F.when(F.size(p) == 1, p[0].cast("long"))))
     dealt = sigs.select("doc", "pos", "n", "bits", F.explode(keys).alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("doc", "pos", "n", "bits")).alias("l"), F.count(F.lit(1)).alias("size"))
-    first = first.where("size > 1").select("key", "l.*")
+    first = stored(first.where("size > 1").select("key", "l.*"), "line-leaders")
+    dealt = maybe_in(dealt, first, ["key"])
     same = (F.col("x.doc") == F.col("y.doc")) & (F.col("x.pos") == F.col("y.pos"))
-    return dealt.alias("x").join(first.alias("y"), F.col("x.key") == F.col("y.key")).where(~same & may_match("x", "y", t)).select(
+    near = may_match(F.col("x.n"), F.col("x.bits"), F.col("y.n"), F.col("y.bits"), t)
+    return dealt.alias("x").join(first.alias("y"), F.col("x.key") == F.col("y.key")).where(~same & near).select(
         F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct()
 
 
@@ -113,17 +114,29 @@ def by_prefix(sigs: DataFrame, settled: DataFrame, t: float) -> DataFrame:
     """Pairs of a line not settled yet and an earlier line that pass all filters.
     The longer line of a pair probes with its whole prefix, the shorter one is
     indexed by its shorter prefix."""
-    marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(True)), ["doc", "pos"], "left")
-    marked = marked.withColumn("open", F.col("done").isNull())
+    marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left")
+    unsettled = F.lit(1) - F.coalesce("done", F.lit(0))
     short = F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9).cast("int") + 1
-    x = marked.select("doc", "pos", "n", "bits", "open", F.posexplode("prefix").alias("place", "word")).alias("x")
-    y = marked.select("doc", "pos", "n", "bits", "open", F.posexplode(F.slice("prefix", F.lit(1), short)).alias("place", "word")).alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
+
+    def postings(prefix: Column) -> DataFrame:
+        """One number holds size, place in the prefix and whether unsettled."""
+        each = marked.select("doc", "pos", "n", "bits", unsettled.alias("open"), F.posexplode(prefix).alias("place", "word"))
+        about = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("place") + F.col("open")
+        return each.select("word", "doc", "pos", "bits", about.alias("about"))
+
+    def unpacked(side: str) -> tuple[Column, Column, Column]:
+        about = F.col(f"{side}.about")
+        low = about.bitwiseAND(F.lit((1 << 32) - 1))
+        return F.call_function("shiftright", about, F.lit(32)), F.call_function("shiftright", low, F.lit(1)), low.bitwiseAND(F.lit(1)) == 1
+
+    x, y = postings(F.col("prefix")).alias("x"), postings(F.slice("prefix", F.lit(1), short)).alias("y")
+    (n, i, open_x), (m, j, open_y) = unpacked("x"), unpacked("y")
     earlier = F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")
     longer = (n > m) | ((n == m) & earlier)
-    needed = F.when(earlier, F.col("x.open")).otherwise(F.col("y.open"))
-    positional = F.least(n - F.col("x.place"), m - F.col("y.place")) >= F.ceil(t / (1 + t) * (n + m) - 1e-9)
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & longer & needed & positional & may_match("x", "y", t))
+    needed = F.when(earlier, open_x).otherwise(open_y)
+    positional = F.least(n - i, m - j) >= F.ceil(t / (1 + t) * (n + m) - 1e-9)
+    near = may_match(n, F.col("x.bits"), m, F.col("y.bits"), t)
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & longer & needed & positional & near)
     later, first = F.struct("x.doc", "x.pos"), F.struct("y.doc", "y.pos")
     pairs = pairs.select(F.when(earlier, later).otherwise(first).alias("l"), F.when(earlier, first).otherwise(later).alias("e"))
     return pairs.select("l.doc", "l.pos", F.col("e.doc").alias("doc2"), F.col("e.pos").alias("pos2")).distinct()
@@ -133,7 +146,8 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """(doc, pos) of the later lines of the pairs whose word sets are similar."""
     pairs = stored(pairs, "line-pairs")
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
-    lines = occurrences(rows).join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words"))
+    named = stored(named, "line-names")
+    lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words"))
     lines = stored(lines.distinct(), "line-words")
     other = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("words").alias("words2"))
     both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"])
