@@ -29,6 +29,7 @@ HIDDEN = 8
 BLOCK_BYTES = 128
 SAMPLE_PER_LANG = 1500
 SAMPLE_CHARS = 96
+MAX_LANGS = 256
 STEPS = 400
 BATCH_BLOCKS = 192
 BATCH_BYTES = 2 << 20
@@ -179,15 +180,16 @@ def held_out(id_col: str) -> Column:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[bytes, str]]:
     """Up to ``per_lang`` labelled windows of ``SAMPLE_CHARS`` characters for each
-    language, from rows and places picked by hash."""
-    labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit(1)).alias("pick"),
-        F.col(text_col).cast("string").alias("text"))
-    counts = labelled.groupBy("lang").count()
-    share = labelled.join(counts, "lang").where(
+    of the ``MAX_LANGS`` most frequent languages, from rows and places picked by
+    hash."""
+    pick = F.xxhash64(F.col(id_col), F.lit(1))
+    start = F.pmod(F.xxhash64(pick), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))) + 1
+    windows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
+        F.col(lang_col).cast("string").alias("lang"), pick.alias("pick"),
+        F.substring(F.col(text_col).cast("string"), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    counts = windows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    windows = windows.join(F.broadcast(counts), "lang").where(
         F.pmod("pick", F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(2.0 * per_lang) / F.col("count"))
-    start = F.pmod(F.xxhash64("pick"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    windows = share.select("lang", "pick", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     ranked = windows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text")))
     rows = ranked.where(F.col("r") <= per_lang).orderBy("lang", "r").collect()  # per_lang rows for each language
     return [(r.text.encode("utf-8"), r.lang) for r in rows]

@@ -18,14 +18,16 @@ not settled by that probe the join.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tandem.llm.common import maybe_in, stored
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
+PASSES = 5
 LAST_ID = (1 << 63) - 1
 
 
@@ -113,14 +115,23 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
 def by_prefix(sigs: DataFrame, settled: DataFrame, t: float) -> DataFrame:
     """Pairs of a line not settled yet and an earlier line that pass all filters.
     The longer line of a pair probes with its whole prefix, the shorter one is
-    indexed by its shorter prefix."""
+    indexed by its shorter prefix. The words are dealt to ``PASSES`` joins one
+    after the other, so that only a part of the prefixes is on disk at a time."""
     marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left")
+    marked = stored(marked, "line-marked")
+    parts = [stored(prefix_pairs(marked, t, part), "line-pairs") for part in range(PASSES)]
+    return reduce(DataFrame.union, parts).distinct()
+
+
+def prefix_pairs(marked: DataFrame, t: float, part: int) -> DataFrame:
+    """The prefix join on the words of one pass."""
     unsettled = F.lit(1) - F.coalesce("done", F.lit(0))
     short = F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9).cast("int") + 1
 
     def postings(prefix: Column) -> DataFrame:
         """One number holds size, place in the prefix and whether unsettled."""
         each = marked.select("doc", "pos", "n", "bits", unsettled.alias("open"), F.posexplode(prefix).alias("place", "word"))
+        each = each.where(F.pmod("word", F.lit(PASSES)) == part)
         about = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("place") + F.col("open")
         return each.select("word", "doc", "pos", "bits", about.alias("about"))
 
