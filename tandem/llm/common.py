@@ -39,16 +39,31 @@ SLOTS = 1 << 25
 
 def maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys may be among those of ``wanted``, before a join shuffles
-    them: ``wanted`` becomes bitmaps of ``SLOTS`` bits by hash, 4 MB to broadcast
-    whatever its size. All rows of ``wanted``'s keys pass, and a few others."""
+    them: all rows of ``wanted``'s keys pass, and a few others."""
+    return flagged(rows, wanted, keys).where("maybe__").select(*rows.columns)
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``maybe__``: false only if their keys aren't among those of
+    ``wanted``, which becomes bitmaps of ``SLOTS`` bits by hash, 4 MB to
+    broadcast whatever its size."""
     slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
     bucket, bit = F.call_function("shiftright", slot, F.lit(15)).cast("int"), slot.bitwiseAND(F.lit(32767)).cast("int")
     marks = wanted.select(bucket.alias("bucket__"), bit.alias("bit__")).groupBy("bucket__").agg(
         F.bitmap_construct_agg("bit__").alias("marks__"))
     byte = F.conv(F.hex(F.substring("marks__", F.floor(F.col("bit__") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    asked = rows.select("*", bucket.alias("bucket__"), bit.alias("bit__")).join(F.broadcast(marks), "bucket__")
     set_bit = F.call_function("shiftright", byte, F.pmod(F.col("bit__"), F.lit(8))).bitwiseAND(F.lit(1)) == 1
-    return asked.where(set_bit).select(*rows.columns)
+    asked = rows.select("*", bucket.alias("bucket__"), bit.alias("bit__")).join(F.broadcast(marks), "bucket__", "left")
+    return asked.select(*rows.columns, F.coalesce(set_bit, F.lit(False)).alias("maybe__"))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import maybe_in, stored
+from tandem.llm.common import discard, maybe_in, stored
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
@@ -31,15 +31,19 @@ PASSES = 5
 LAST_ID = (1 << 63) - 1
 
 
+def spaced(text: Column, white: str = "\t\r\f\v") -> Column:
+    """The text in lower case with other white space as spaces."""
+    return reduce(lambda c, w: F.replace(c, F.lit(w), F.lit(" ")), white, F.lower(text))
+
+
 def words_array(line: Column) -> Column:
     """Distinct lower-case words of a line, split at white space."""
-    spaced = F.translate(F.lower(line), "\t\r\f\v ", "     ")
-    return F.array_remove(F.array_distinct(F.split(spaced, " ")), "")
+    return F.array_remove(F.array_distinct(F.split(spaced(line), " ")), "")
 
 
 def rarity_table(rows: DataFrame) -> bytes:
     """One byte per hash bucket: 4 times the binary logarithm of its count."""
-    word = F.explode(F.split(F.translate(F.lower("text"), "\n\t\r\f\v ", "      "), " ")).alias("word")
+    word = F.explode(F.split(spaced(F.col("text"), "\n\t\r\f\v"), " ")).alias("word")
     bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
     counts = rows.select(word).where("word <> ''").groupBy(bucket.alias("bucket")).count()
     level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count")))).cast("int")
@@ -51,8 +55,7 @@ def rarity_table(rows: DataFrame) -> bytes:
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """(doc, pos, line) of every line that has a word."""
-    spaced = F.trim(F.translate("line", "\t\r\f\v", "    "))
-    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(spaced != "")
+    return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^ \t\r\f\x0B]"))
 
 
 def line_classes(rows: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
         level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
 
-    words = F.array_remove(F.split(F.translate(F.lower("line"), "\t\r\f\v", "    "), " "), "")
+    words = F.array_remove(F.split(spaced(F.col("line")), " "), "")
     ordered = F.sort_array(F.array_distinct(F.transform(words, number)))
     sized = classes.select("doc", "pos", F.unhex(F.md5("line")).alias("key"), ordered.alias("words")).select(
         "*", F.size("words").alias("n"))
@@ -120,7 +123,10 @@ def by_prefix(sigs: DataFrame, settled: DataFrame, t: float) -> DataFrame:
     marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left")
     marked = stored(marked, "line-marked")
     parts = [stored(prefix_pairs(marked, t, part), "line-pairs") for part in range(PASSES)]
-    return reduce(DataFrame.union, parts).distinct()
+    pairs = stored(reduce(DataFrame.union, parts).distinct(), "line-pairs")
+    for done in (marked, *parts):
+        discard(done)
+    return pairs
 
 
 def prefix_pairs(marked: DataFrame, t: float, part: int) -> DataFrame:
@@ -154,8 +160,8 @@ def prefix_pairs(marked: DataFrame, t: float, part: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
-    """(doc, pos) of the later lines of the pairs whose word sets are similar."""
-    pairs = stored(pairs, "line-pairs")
+    """(doc, pos) of the later lines of the stored pairs whose word sets are
+    similar; the pairs are used up."""
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
     named = stored(named, "line-names")
     lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words"))
@@ -164,7 +170,10 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"])
     common = F.size(F.array_intersect("words", "words2"))
     either = F.size("words") + F.size("words2") - common
-    return both.where(common >= t * either - 1e-9).select("doc", "pos").distinct()
+    similar = stored(both.where(common >= t * either - 1e-9).select("doc", "pos").distinct(), "lines-similar")
+    for done in (pairs, named, lines):
+        discard(done)
+    return similar
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = SIMILARITY) -> DataFrame:
@@ -172,13 +181,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.where(F.col(text_col).isNotNull()).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(line_classes(rows), rarity_table(rows), t), "line-signatures")
-    settled = stored(verified(by_leader(sigs, t), rows, t), "lines-settled")
+    settled = verified(stored(by_leader(sigs, t), "line-pairs"), rows, t)
     similar = settled.union(verified(by_prefix(sigs, settled, t), rows, t)).withColumn("gone", F.lit(True))
     first = sigs.select("doc", "pos", "key").join(similar, ["doc", "pos"], "left").select(
         F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), "key", F.coalesce("gone", F.lit(False)).alias("gone"))
     every = occurrences(rows).select("doc", "pos", F.unhex(F.md5("line")).alias("key"))
     stays = (F.col("doc") == F.col("doc1")) & (F.col("pos") == F.col("pos1")) & ~F.col("gone")
-    return every.join(first, "key").where(~stays).select("doc", "pos")
+    gone = stored(every.join(first, "key").where(~stays).select("doc", "pos"), "lines-gone")
+    discard(sigs)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = SIMILARITY) -> DataFrame:

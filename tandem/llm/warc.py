@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm.common import column, stored
+from tandem.llm.common import column, flagged, stored
 from tandem.session import scratch_path
 
 RECORDS, INDEX = "records.warc", "index.cdxj"
@@ -205,8 +205,13 @@ def with_originals(pages: DataFrame, id_col: str, url_col: str, html_col: str, l
     keyed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = keyed.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return keyed.join(first, "digest", "left").select(
-        "page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    # Only pages that may have copies are shuffled.
+    first = stored(first, "warc-originals")
+    asked = flagged(keyed, first, ["digest"])
+    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
+    copies = asked.where("maybe__").join(first, "digest", "left").select("page_id", "url", "html", refers)
+    return asked.where("NOT maybe__").select(
+        "page_id", "url", "html", F.lit(None).cast(pages.schema[id_col].dataType).alias("refers_to")).union(copies)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
