@@ -20,6 +20,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -39,7 +40,8 @@ def _noop(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cpus, shuffle_partitions=cpus, app="tandem-bench")
+    spark = local_session(cpus, shuffle_partitions=cpus, app="tandem-bench",
+                          checkpoint_dir=tempfile.mkdtemp(prefix="tandem-bench-"))
     out_dir = scratch_path(spark, "bench")
     times: dict[str, float] = {}
 

@@ -39,11 +39,9 @@ def positive_probability(probability: Column) -> Column:
 
 def pair_key(valid: Column, actor_id: Column, prev_id: Column, name: Column,
              prev_name: Column) -> Column:
-    """Unordered pair label ``(name of higher id, name of lower id)`` for a
-    valid interaction, NULL otherwise; a->b and b->a give one key."""
-    def label(first, second):
-        return F.concat(F.lit("("), first.cast("string"), F.lit(", "), second, F.lit(")"))
-
-    ok = valid == 1
-    return (F.when(ok & (actor_id > prev_id), label(name, prev_name))
-            .when(ok & (actor_id <= prev_id), label(prev_name, name)))
+    """Label of the two actors of a valid interaction, the greater id first
+    whoever acted first; NULL otherwise."""
+    actors = [F.struct(i.alias("id"), n.cast("string").alias("name")) for i, n in ((actor_id, name), (prev_id, prev_name))]
+    names = [pick(*actors)["name"] for pick in (F.greatest, F.least)]
+    text = F.concat(F.lit("("), names[0], F.lit(", "), names[1], F.lit(")"))
+    return F.when((valid == 1) & actor_id.isNotNull() & prev_id.isNotNull(), text)

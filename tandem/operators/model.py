@@ -29,16 +29,13 @@ NUMERIC = ("x_location", "y_location", "time")
 def feature_rows(labelled: DataFrame, roles: Roles) -> DataFrame:
     """Flat numeric rows for training; events without an actor or without a
     location are left out (they still counted for the labels)."""
-    r = roles
-    keep = [sequence.CHUNK] if sequence.CHUNK in labelled.columns else []
-    return (labelled.filter(F.col(r.player).isNotNull() & F.col(r.x).isNotNull())
-            .select(F.col(r.index).alias("index"), F.col(r.match).alias("match_id"),
-                    F.col(r.type).alias("type"), F.col(r.player).alias("player_id"),
-                    F.col(r.player_name).alias("player_name"), F.col(r.team).alias("team"),
-                    F.col(r.x).alias("x_location"), F.col(r.y).alias("y_location"),
-                    time_number(F.col(r.time_text)).alias("time"),
-                    "focus_goal", "other_goal",
-                    *[F.col(lbl).cast("double").alias(lbl) for lbl in r.labels], *keep))
+    categorical = [F.col(c).alias(name) for name, c in zip(CATEGORICAL, (roles.type, roles.player, roles.team))]
+    numeric = [F.col(roles.x), F.col(roles.y), time_number(F.col(roles.time_text))]
+    key = [F.col(roles.match).alias("match_id"), F.col(roles.index).alias("index"), F.col(roles.player_name).alias("player_name")]
+    labels = [F.col(lbl).cast("double").alias(lbl) for lbl in roles.labels]
+    layout = [c for c in labelled.columns if c == sequence.CHUNK]
+    rows = labelled.filter(F.col(roles.player).isNotNull() & F.col(roles.x).isNotNull())
+    return rows.select(*key, *categorical, *[c.alias(name) for name, c in zip(NUMERIC, numeric)], *labels, *layout)
 
 
 def feature_pipeline(index_ids: bool = True) -> Pipeline:
@@ -68,6 +65,7 @@ def feature_pipeline(index_ids: bool = True) -> Pipeline:
 
 
 TREE_FEATURES = "features_cat"
+MAX_BINS = 2048  # split candidates of trees on categorical columns, at any data size
 
 
 def category_arity(prepared: DataFrame, column: str = TREE_FEATURES) -> int:
@@ -93,7 +91,7 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
 
 
 def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
-               tree_encoding: str = "categorical") -> list:
+               tree_encoding: str = "categorical", max_bins: int = MAX_BINS) -> list:
     """One unfitted classifier per label. Trees read the categorical columns
     (``tree_encoding="categorical"``) or the same one-hot vector as logistic
     regression (``"onehot"``, the original encoding)."""
@@ -101,31 +99,17 @@ def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
         raise ValueError(f"tree encoding {tree_encoding!r}")
     opts = {}
     if kind == "gbt" and tree_encoding == "categorical" and TREE_FEATURES in prepared.columns:
-        opts = dict(features=TREE_FEATURES, max_bins=max(32, category_arity(prepared)))
+        arity = category_arity(prepared)
+        if arity > max_bins:
+            raise ValueError(f"a category has {arity} values, more than max_bins={max_bins}: raise max_bins or use "
+                             "tree_encoding='onehot'")
+        opts = dict(features=TREE_FEATURES, max_bins=max_bins)
     return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
 
 
-# Rows per training partition above which the input is never narrowed.
-TRAIN_ROWS_PER_PARTITION = 1_000_000
-
-
-def training_input(prepared: DataFrame, concurrent: int) -> DataFrame:
-    """The fits' input with about (cores / concurrent fits) partitions, but
-    never fewer than rows / TRAIN_ROWS_PER_PARTITION and never more than it
-    has: every training iteration is a few small stages, so on a small
-    season fewer, fuller partitions keep the concurrent fits from queueing
-    tiny tasks. On large inputs this is the unchanged frame (``coalesce``
-    never adds partitions). ``prepared`` is persisted, so the count and the
-    narrowed reads come from its cached blocks."""
-    current = prepared.rdd.getNumPartitions()
-    cores = prepared.sparkSession.sparkContext.defaultParallelism
-    rows = prepared.count()
-    want = max(-(-rows // TRAIN_ROWS_PER_PARTITION), -(-cores // max(1, concurrent)), 1)
-    return prepared.coalesce(want) if want < current else prepared
-
-
 def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max_iter: int = 10,
-            parallelism: int = 4, tree_encoding: str = "categorical") -> dict[str, list]:
+            parallelism: int = 4, tree_encoding: str = "categorical", max_bins: int = MAX_BINS,
+            train_partitions: int | None = None) -> dict[str, list]:
     """Every (kind, label) model, fitted on the assembled features.
 
     The fits are independent, so up to ``parallelism`` of them are submitted
@@ -133,11 +117,15 @@ def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max
     an ordinary distributed Spark ML job, and small stages of one fit
     overlap with those of another instead of leaving cores idle. Fits of
     one kind are submitted before the next kind's.
+
+    The fits read the frame as it is laid out, or in ``train_partitions``
+    partitions; tree models depend on the partitions, so no row or core count
+    chooses them.
     """
     todo = [(kind, est) for kind in kinds
-            for est in estimators(prepared, roles, kind, max_iter, tree_encoding)]
+            for est in estimators(prepared, roles, kind, max_iter, tree_encoding, max_bins)]
     workers = max(1, min(parallelism, len(todo)))
-    data = training_input(prepared, workers)
+    data = prepared.coalesce(train_partitions) if train_partitions else prepared
     if workers == 1:
         fitted = [est.fit(data) for _, est in todo]
     else:

@@ -104,9 +104,8 @@ _CTE = {
   FROM valid""",
     "pairs": """
   SELECT *, i_scoring + i_possession AS i_modified,
-    CASE WHEN valid = 1 AND player_id > prev_player_id THEN '(' || player_name || ', ' || prev_player_name || ')'
-         WHEN valid = 1 AND player_id <= prev_player_id THEN '(' || prev_player_name || ', ' || player_name || ')'
-    END AS pair
+    CASE WHEN valid = 1 THEN '(' || array_to_string([a.name for a in list_reverse_sort(
+      [{'id': player_id, 'name': player_name}, {'id': prev_player_id, 'name': prev_player_name}])], ', ') || ')' END AS pair
   FROM inter""",
     "totals": """
   SELECT pair, sum(i_modified) + 0.0 AS season_modified, sum(i_scoring) + 0.0 AS season_plain
@@ -196,7 +195,7 @@ SELECT match_id, index, location[1] AS x_item, location[2] AS y_item, location[3
     "explode_roster": """
 SELECT CAST(c_nationkey AS VARCHAR) AS match_id, c_custkey // 16 AS team_id, c_custkey AS player_id,
        c_name AS player_name
-FROM customer WHERE c_acctbal >= 0""",
+FROM customer""",
     "flag_case": _with("bound") + """
 SELECT match_id, index,
   CASE WHEN team = 1 THEN 1 ELSE 0 END AS focus_side,
@@ -259,7 +258,7 @@ FROM ahead""",
     "label_lose": _with("labelled") + "SELECT match_id, index, label_lose FROM labelled",
     "feature_rows": _with("labelled") + """
 SELECT index, match_id, type, player_id, player_name, team, x AS x_location, y AS y_location,
-       TRY_CAST(regexp_replace(timestamp, '[:.]', '', 'g') AS BIGINT) AS time, focus_goal, other_goal,
+       TRY_CAST(regexp_replace(timestamp, '[:.]', '', 'g') AS BIGINT) AS time,
        CAST(label_goal AS DOUBLE) AS label_goal, CAST(label_concede AS DOUBLE) AS label_concede,
        CAST(label_keep AS DOUBLE) AS label_keep, CAST(label_lose AS DOUBLE) AS label_lose
 FROM labelled WHERE player_id IS NOT NULL AND x IS NOT NULL""",
@@ -284,11 +283,7 @@ SELECT pair, season_modified, season_plain FROM totals ORDER BY season_modified
     "rank_plain": _with("totals") + """
 SELECT pair, season_modified, season_plain FROM totals ORDER BY season_plain DESC, pair ASC NULLS LAST""",
     "pair_totals_by_id": _with("pairs") + """
-SELECT CASE WHEN valid = 1 AND player_id > prev_player_id
-                 THEN '(' || CAST(player_id AS VARCHAR) || ', ' || CAST(prev_player_id AS VARCHAR) || ')'
-            WHEN valid = 1 AND player_id <= prev_player_id
-                 THEN '(' || CAST(prev_player_id AS VARCHAR) || ', ' || CAST(player_id AS VARCHAR) || ')'
-       END AS pair,
+SELECT CASE WHEN valid = 1 THEN '(' || array_to_string(list_reverse_sort([player_id, prev_player_id]), ', ') || ')' END AS pair,
        sum(i_modified) + 0.0 AS season_modified, sum(i_scoring) + 0.0 AS season_plain,
        min(pair) AS pair_names
 FROM pairs GROUP BY 1""",

@@ -141,7 +141,7 @@ def array_item(spark, sf_dir):
 def explode_roster(spark, sf_dir):
     """Lineup records (squads of at most 16 listed customers per nation) are
     built and exploded back to one row per player."""
-    cust = bind.table(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
+    cust = bind.table(spark, sf_dir, "customer")
     lineups = (cust.groupBy(F.col("c_nationkey").cast("string").alias("match_id"),
                             F.expr("c_custkey div 16").alias("team_id"))
                .agg(F.collect_list(F.struct(F.col("c_custkey").alias("player_id"),
@@ -442,7 +442,7 @@ def pair_totals_by_id(spark, sf_dir):
 
 @query
 def ranking_file(spark, sf_dir):
-    """The season ranking written as one ordered Parquet file, read back."""
+    """The season ranking written as ordered Parquet parts, read back."""
     path = scratch_path(spark, "ranking")
     season.write_ranking(vl.season_pair_totals(_interactions(spark, sf_dir)), path)
     return spark.read.parquet(path)

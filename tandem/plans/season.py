@@ -116,29 +116,24 @@ def json_season(spark: SparkSession, events_dir: str, lineups_dir: str,
     return events, roster
 
 
-SINGLE_FILE_ROWS = 5_000_000  # largest ranking written as one file by one task
+def write_ranking(totals: DataFrame, path: str, by: str = "season_modified") -> None:
+    """Write the season ranking: a range-partitioned global sort, part files in
+    rank order."""
+    vl.rank_pairs(totals, by).write.mode("overwrite").parquet(path)
 
 
-def write_ranking(totals: DataFrame, path: str, by: str = "season_modified",
-                  single_file_rows: int = SINGLE_FILE_ROWS) -> int:
-    """Write the season ranking (a range-partitioned global sort) and return
-    its row count. One row per pair of actors: a squad bounds that for
-    player rosters, but not in general, so the count is checked first. Up to
-    ``single_file_rows`` pairs go to one ordered file (one task); beyond that
-    the sorted ranges are written in parallel, part files in rank order."""
-    from tandem.sources.sinks import write_single
-
+def write_rankings(totals: DataFrame, folder: str) -> dict[str, str]:
+    """Both rankings and the 20 best pairs of each."""
     kept = totals.persist(StorageLevel.MEMORY_AND_DISK)
+    out = {}
     try:
-        n = kept.count()
-        ranked = vl.rank_pairs(kept, by)
-        if n <= single_file_rows:
-            write_single(ranked, path)
-        else:
-            ranked.write.mode("overwrite").parquet(path)
-        return n
+        for by in ("season_modified", "season_plain"):
+            out[by], out[f"{by}_top"] = f"{folder}/{by}", f"{folder}/{by}_top20"
+            write_ranking(kept, out[by], by)
+            vl.rank_pairs(kept, by).limit(20).coalesce(1).write.mode("overwrite").parquet(out[f"{by}_top"])
     finally:
         kept.unpersist()
+    return out
 
 
 def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles = TABLE_ROLES,
@@ -218,8 +213,9 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
         out[f"predictions_{kind}"] = f"{out_dir}/predictions/{kind}"
         write_parquet(sequence.drop_layout(scored), out[f"predictions_{kind}"])
         totals = pair_totals(scored, roles)
-        out[f"ranking_{kind}"] = f"{out_dir}/ranking/{kind}"
-        write_ranking(totals, out[f"ranking_{kind}"])
+        written = write_rankings(totals, f"{out_dir}/ranking/{kind}")
+        out[f"ranking_{kind}"] = written["season_modified"]
+        out |= {f"ranking_{kind}_{name}": path for name, path in written.items()}
     prepared.unpersist()
     sequence.release_shared()
     return out

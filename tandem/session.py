@@ -4,7 +4,6 @@ folder that follows the cluster's ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -23,7 +22,7 @@ ENGINE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "tandem") -> SparkSession:
+                  app: str = "tandem", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark (never used on a cluster)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -37,23 +36,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if checkpoint_dir:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a local one only for a
-    local master where none is configured (tests, benchmark)."""
+    """The session's checkpoint folder, which all machines of a cluster share."""
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-    path = tempfile.mkdtemp(prefix="tandem-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    if not current:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -19,7 +19,6 @@ from tandem.config import REFERENCE_ROLES, Roles
 from tandem.operators import labels as lb
 from tandem.operators import quality as qa
 from tandem.operators import sequence
-from tandem.session import scratch_path
 from tandem.sources import files
 from tandem.sources.schemas import EVENT_SCHEMA
 
@@ -57,11 +56,13 @@ def start_label_ingest(spark: SparkSession, events_dir: str, out_dir: str,
                        checkpoint: str | None = None, available_now: bool = True,
                        files_per_batch: int = 100) -> StreamingQuery:
     """Start the ingest; ``available_now`` processes what is there and stops
-    (a scheduled incremental run), otherwise it keeps polling."""
+    (a scheduled incremental run), otherwise it keeps polling. The checkpoint
+    lies beside the output unless given, so a later run goes on where the last
+    one ended."""
     stream = event_stream(spark, events_dir, files_per_batch=files_per_batch)
     writer = (stream.writeStream
               .foreachBatch(lambda df, epoch: process_batch(df, epoch, out_dir, roles, roster))
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest_checkpoint")))
+              .option("checkpointLocation", checkpoint or f"{out_dir}/_checkpoint"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

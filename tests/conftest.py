@@ -9,10 +9,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tandem.session import local_session
 
-    session = local_session("*", shuffle_partitions=8, app="tandem-tests")
+    session = local_session("*", shuffle_partitions=8, app="tandem-tests",
+                            checkpoint_dir=str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
 

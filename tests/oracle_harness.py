@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -77,7 +78,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:] or sorted(SQL)
-    spark = local_session(8, 8)
+    spark = local_session(8, 8, checkpoint_dir=tempfile.mkdtemp())
     con = duck(sf_dir)
     queries = all_queries()
     bad = 0

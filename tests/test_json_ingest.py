@@ -97,9 +97,8 @@ def test_json_lines_splittable(spark, season_dir, tmp_path):
 
 def test_whole_season_run(spark, season_dir, tmp_path):
     """All steps from files: missing files, findings, labels, models for both
-    kinds, rankings written as single ordered files."""
-    import glob
-
+    kinds, both rankings with their top 20."""
+    
     matches = tmp_path / "matches.json"
     matches.write_text(json.dumps([{"match_id": 101}, {"match_id": 202}, {"match_id": 303}]))
     out = season.run_json_season(spark, str(season_dir), str(tmp_path / "out"), str(matches), R, max_iter=2)
@@ -109,7 +108,8 @@ def test_whole_season_run(spark, season_dir, tmp_path):
     assert spark.read.parquet(out["labelled"]).count() == 12
     for kind in ("gbt", "lr"):
         assert spark.read.parquet(out[f"predictions_{kind}"]).count() == 9  # rows with actor and place
-        assert len(glob.glob(out[f"ranking_{kind}"] + "/*.parquet")) == 1
+        for by in ("season_modified", "season_plain"):
+            assert spark.read.parquet(out[f"ranking_{kind}_{by}_top"]).count() == spark.read.parquet(out[f"ranking_{kind}_{by}"]).count() == 1
         # kept rows (actor and place, not the first of a match): every focus
         # event follows an opponent event, so there is no valid interaction
         ranking = spark.read.parquet(out[f"ranking_{kind}"]).collect()

@@ -68,14 +68,14 @@ def test_model_pair_ranking_rows(spark, sf_small):
     assert ranked.count() == 22  # same pairs as with stand-in probabilities
 
 
-def test_training_input_partitions(spark):
-    df = spark.range(0, 1000).repartition(16).persist()
-    narrowed = ml.training_input(df, concurrent=4)
-    cores = spark.sparkContext.defaultParallelism
-    assert narrowed.rdd.getNumPartitions() == max(1, -(-cores // 4))
-    # never more partitions than the input has
-    assert ml.training_input(df.coalesce(1), concurrent=1).rdd.getNumPartitions() == 1
-    df.unpersist()
+def test_bins_do_not_follow_the_data(spark, monkeypatch):
+    df = spark.createDataFrame([(1.0,)], [ml.TREE_FEATURES])
+    for arity in (3, 1500):
+        monkeypatch.setattr(ml, "category_arity", lambda *_: arity)
+        assert {e.getMaxBins() for e in ml.estimators(df, R, "gbt")} == {ml.MAX_BINS}
+    with pytest.raises(ValueError, match="max_bins"):
+        ml.estimators(df, R, "gbt", max_bins=32)
+
 
 
 def test_gbt_onehot_encoding(features):

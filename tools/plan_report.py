@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import sys
+import tempfile
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -116,7 +117,7 @@ def report(title: str, df, note: str) -> None:
 
 
 def main(sf_dir: str) -> None:
-    spark = local_session(8, 8)
+    spark = local_session(8, 8, checkpoint_dir=tempfile.mkdtemp())
     print("# Physical plans of the main flows\n")
     print(f"Generated by `tools/plan_report.py` on `{sf_dir}` (local[8], 8 shuffle partitions, AQE on;")
     print("static plans before AQE re-optimisation). An exchange 'of event rows' moves the big table;")
