@@ -164,10 +164,12 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     similar; the pairs are used up."""
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
     named = stored(named, "line-names")
-    lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", words_array(F.col("line")).alias("words"))
-    lines = stored(lines.distinct(), "line-words")
-    other = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("words").alias("words2"))
-    both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"])
+    lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", "line")
+    lines = stored(lines.distinct(), "line-texts")
+    other = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("line").alias("line2"))
+    # The lines travel as text, which takes a quarter of its words as an array.
+    both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"]).select(
+        "doc", "pos", words_array(F.col("line")).alias("words"), words_array(F.col("line2")).alias("words2"))
     common = F.size(F.array_intersect("words", "words2"))
     either = F.size("words") + F.size("words2") - common
     similar = stored(both.where(common >= t * either - 1e-9).select("doc", "pos").distinct(), "lines-similar")
