@@ -28,6 +28,7 @@ from tandem.llm.common import discard, maybe_in, stored
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
 PASSES = 5
+SKETCH_LONGS = 4
 LAST_ID = (1 << 63) - 1
 
 
@@ -47,9 +48,11 @@ def rarity_table(rows: DataFrame) -> bytes:
     bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
     counts = rows.select(word).where("word <> ''").groupBy(bucket.alias("bucket")).count()
     level = F.least(F.lit(127), F.floor(4 * F.log2(F.col("count")))).cast("int")
+    group = F.col("bucket").bitwiseAND(F.lit(63)).alias("group")
     out = bytearray(RARITY_BUCKETS)
-    for b, v in counts.select("bucket", level).toLocalIterator():  # RARITY_BUCKETS rows at most
-        out[b] = v
+    for _, entries in counts.groupBy(group).agg(F.collect_list(F.col("bucket") * 128 + level)).collect():  # RARITY_BUCKETS numbers at most
+        for x in entries:
+            out[x >> 7] = x & 127
     return bytes(out)
 
 
@@ -115,16 +118,14 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
         F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct()
 
 
-def by_prefix(sigs: DataFrame, settled: DataFrame, t: float) -> DataFrame:
+def by_prefix(marked: DataFrame, t: float) -> DataFrame:
     """Pairs of a line not settled yet and an earlier line that pass all filters.
     The longer line of a pair probes with its whole prefix, the shorter one is
     indexed by its shorter prefix. The words are dealt to ``PASSES`` joins one
     after the other, so that only a part of the prefixes is on disk at a time."""
-    marked = sigs.select("doc", "pos", "n", "bits", "prefix").join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left")
-    marked = stored(marked, "line-marked")
     parts = [stored(prefix_pairs(marked, t, part), "line-pairs") for part in range(PASSES)]
     pairs = stored(reduce(DataFrame.union, parts).distinct(), "line-pairs")
-    for done in (marked, *parts):
+    for done in parts:
         discard(done)
     return pairs
 
@@ -159,21 +160,44 @@ def prefix_pairs(marked: DataFrame, t: float, part: int) -> DataFrame:
     return pairs.select("l.doc", "l.pos", F.col("e.doc").alias("doc2"), F.col("e.pos").alias("pos2")).distinct()
 
 
+def sketch(words: Column) -> Column:
+    """Four parity bitmaps; a word's hash says which, and which bit."""
+    hashes = F.transform(words, lambda w: F.hash(w))
+
+    def parity(k: int) -> Column:
+        own = F.filter(hashes, lambda h: F.pmod(h, F.lit(SKETCH_LONGS)) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", h, F.lit(8)).bitwiseAND(F.lit(63)))))
+
+    return F.array(*[parity(k) for k in range(SKETCH_LONGS)])
+
+
 def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     """(doc, pos) of the later lines of the stored pairs whose word sets are
-    similar; the pairs are used up."""
+    similar; the pairs are used up. Sketches of the lines, which never reject a
+    similar pair, are compared before the texts are."""
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
     named = stored(named, "line-names")
     lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", "line")
-    lines = stored(lines.distinct(), "line-texts")
-    other = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("line").alias("line2"))
+    lines = lines.distinct().withColumn("words", words_array(F.col("line")))
+    lines = stored(lines.select("doc", "pos", "line", F.size("words").alias("n"), sketch(F.col("words")).alias("sketch")), "line-texts")
+
+    def sides(of: DataFrame, *carried: str) -> DataFrame:
+        """The pairs with columns of both lines, as the structs x and y."""
+        one = lines.select("doc", "pos", F.struct(*carried).alias("x"))
+        two = lines.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.struct(*carried).alias("y"))
+        return of.join(one, ["doc", "pos"]).join(two, ["doc2", "pos2"])
+
+    apart = sum(F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(SKETCH_LONGS))
+    either = F.col("x.n") + F.col("y.n")
+    near = sides(pairs, "n", "sketch").where(apart <= either - 2 * F.ceil(either * (t / (1 + t)) - 1e-9))
+    near = stored(near.select("doc", "pos", "doc2", "pos2"), "line-near")
     # The lines travel as text, which takes a quarter of its words as an array.
-    both = pairs.join(lines, ["doc", "pos"]).join(other, ["doc2", "pos2"]).select(
-        "doc", "pos", words_array(F.col("line")).alias("words"), words_array(F.col("line2")).alias("words2"))
-    common = F.size(F.array_intersect("words", "words2"))
-    either = F.size("words") + F.size("words2") - common
-    similar = stored(both.where(common >= t * either - 1e-9).select("doc", "pos").distinct(), "lines-similar")
-    for done in (pairs, named, lines):
+    words, words2 = (F.array_remove(F.split(spaced(F.col(f"{side}.line")), " "), "") for side in "xy")
+    common = F.size(F.array_intersect(words, words2))
+    similar = sides(near, "n", "line").where(common * (1 + t) >= either * t - 1e-9)
+    similar = stored(similar.select("doc", "pos").distinct(), "lines-similar")
+    for done in (pairs, named, lines, near):
         discard(done)
     return similar
 
@@ -184,13 +208,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(line_classes(rows), rarity_table(rows), t), "line-signatures")
     settled = verified(stored(by_leader(sigs, t), "line-pairs"), rows, t)
-    similar = settled.union(verified(by_prefix(sigs, settled, t), rows, t)).withColumn("gone", F.lit(True))
-    first = sigs.select("doc", "pos", "key").join(similar, ["doc", "pos"], "left").select(
+    marked = stored(sigs.join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left"), "line-marked")
+    discard(sigs)
+    similar = settled.union(verified(by_prefix(marked, t), rows, t)).withColumn("gone", F.lit(True))
+    first = marked.select("doc", "pos", "key").join(similar, ["doc", "pos"], "left").select(
         F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), "key", F.coalesce("gone", F.lit(False)).alias("gone"))
     every = occurrences(rows).select("doc", "pos", F.unhex(F.md5("line")).alias("key"))
     stays = (F.col("doc") == F.col("doc1")) & (F.col("pos") == F.col("pos1")) & ~F.col("gone")
     gone = stored(every.join(first, "key").where(~stays).select("doc", "pos"), "lines-gone")
-    discard(sigs)
+    discard(marked)
     return gone
 
 
