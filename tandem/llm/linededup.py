@@ -75,16 +75,15 @@ def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
     """Per class its first place, key, size, a parity bitmap of its words and
     hashes of its rarest words. A word is one number: its rarity in the upper
     bits, then its hash."""
-    table = F.lit(rarity)
+    levels = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded into a constant
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        place = (F.pmod(h, F.lit(RARITY_BUCKETS)) + 1).cast("int")
-        level = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
+    def number(h: Column) -> Column:
+        level = F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int"))
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
 
     words = F.array_remove(F.split(spaced(F.col("line")), " "), "")
-    ordered = F.sort_array(F.array_distinct(F.transform(words, number)))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    ordered = F.sort_array(F.array_distinct(F.transform(hashes, number)))
     sized = classes.select("doc", "pos", F.unhex(F.md5("line")).alias("key"), ordered.alias("words")).select(
         "*", F.size("words").alias("n"))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
