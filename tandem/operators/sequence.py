@@ -49,7 +49,8 @@ def layout_partitions(spark) -> int:
     """Partitions (and buckets) of the (group, chunk) layout:
     ``spark.tandem.layout.partitions`` if set, else
     ``spark.sql.shuffle.partitions``. Size it so a partition holds roughly
-    128-256 MB of event rows (about 400,000 partitions for 100 TB)."""
+    128-256 MB of event rows (about 400,000 partitions for 100 TB; beyond
+    100,000, raise ``spark.sql.sources.bucketing.maxBuckets`` too)."""
     value = spark.conf.get(LAYOUT_PARTITIONS, None)
     return int(value) if value else int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,6 +38,9 @@ def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFra
 
     spark = df.sparkSession
     n = layout_partitions(spark)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    if n > most:
+        raise ValueError(f"a layout of {n} partitions needs spark.sql.sources.bucketing.maxBuckets of {n} or more; it is {most}")
     table = f"tandem_{name}_{uuid.uuid4().hex[:12]}"
     (df.write.mode("overwrite").bucketBy(n, *keys)
      .option("path", scratch_path(spark, table)).saveAsTable(table))

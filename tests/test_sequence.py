@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tandem.operators import sequence as S
+from tandem.sources.sinks import save_laid_out
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +193,12 @@ def test_season_flows_shuffle_no_event_rows_without_broadcast(spark, sf_small):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         S.release_shared()
+
+
+def test_layout_beyond_the_bucket_limit_names_the_setting(spark):
+    spark.conf.set("spark.tandem.layout.partitions", "400000")
+    try:
+        with pytest.raises(ValueError, match="spark.sql.sources.bucketing.maxBuckets"):
+            save_laid_out(spark.range(3), ["id"])
+    finally:
+        spark.conf.unset("spark.tandem.layout.partitions")
