@@ -18,6 +18,7 @@ not settled by that probe the join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,13 +78,13 @@ def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
     bits, then its hash."""
     levels = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded into a constant
 
-    def number(h: Column) -> Column:
+    def number(word: Column) -> Column:
+        h = F.xxhash64(word)
         level = F.get(levels, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int"))
         return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
 
     words = F.array_remove(F.split(spaced(F.col("line")), " "), "")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    ordered = F.sort_array(F.array_distinct(F.transform(hashes, number)))
+    ordered = F.sort_array(F.array_distinct(F.transform(words, number)))
     sized = classes.select("doc", "pos", F.unhex(F.md5("line")).alias("key"), ordered.alias("words")).select(
         "*", F.size("words").alias("n"))
     bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
@@ -117,11 +118,18 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
         F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct()
 
 
+def band(size: Column, t: float) -> Column:
+    """Number of a line's size class; the similar sizes of a line span few of them."""
+    return F.floor(F.ln(size) / math.log(1 / t)).cast("int")
+
+
 def by_prefix(marked: DataFrame, t: float) -> DataFrame:
     """Pairs of a line not settled yet and an earlier line that pass all filters.
     The longer line of a pair probes with its whole prefix, the shorter one is
-    indexed by its shorter prefix. The words are dealt to ``PASSES`` joins one
-    after the other, so that only a part of the prefixes is on disk at a time."""
+    indexed by its shorter prefix, under every size class whose lines can be
+    similar to it, so that lines of other lengths never meet. The words are
+    dealt to ``PASSES`` joins one after the other, so that only a part of the
+    prefixes is on disk at a time."""
     parts = [stored(prefix_pairs(marked, t, part), "line-pairs") for part in range(PASSES)]
     pairs = stored(reduce(DataFrame.union, parts).distinct(), "line-pairs")
     for done in parts:
@@ -134,35 +142,37 @@ def prefix_pairs(marked: DataFrame, t: float, part: int) -> DataFrame:
     unsettled = F.lit(1) - F.coalesce("done", F.lit(0))
     short = F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9).cast("int") + 1
 
-    def postings(prefix: Column) -> DataFrame:
-        """One number holds size, place in the prefix and whether unsettled."""
+    def postings(prefix: Column, bands: Column) -> DataFrame:
+        """One number holds size, place in the prefix and whether unsettled;
+        the key is a word and a size class."""
         each = marked.select("doc", "pos", "n", "bits", unsettled.alias("open"), F.posexplode(prefix).alias("place", "word"))
         each = each.where(F.pmod("word", F.lit(PASSES)) == part)
         about = F.call_function("shiftleft", F.col("n").cast("long"), F.lit(32)) + 2 * F.col("place") + F.col("open")
-        return each.select("word", "doc", "pos", "bits", about.alias("about"))
+        keyed = each.select("*", about.alias("about"), F.explode(bands).alias("band"))
+        return keyed.select(F.xxhash64("word", "band").alias("key"), "doc", "pos", "bits", "about")
 
     def unpacked(side: str) -> tuple[Column, Column, Column]:
         about = F.col(f"{side}.about")
         low = about.bitwiseAND(F.lit((1 << 32) - 1))
         return F.call_function("shiftright", about, F.lit(32)), F.call_function("shiftright", low, F.lit(1)), low.bitwiseAND(F.lit(1)) == 1
 
-    x, y = postings(F.col("prefix")).alias("x"), postings(F.slice("prefix", F.lit(1), short)).alias("y")
+    own, largest = F.col("n"), F.floor(F.col("n") / t + 1e-6)
+    x = postings(F.col("prefix"), F.array(band(own, t))).alias("x")
+    y = postings(F.slice("prefix", F.lit(1), short), F.sequence(band(own, t), band(largest, t))).alias("y")
     (n, i, open_x), (m, j, open_y) = unpacked("x"), unpacked("y")
-    earlier = F.struct("y.doc", "y.pos") < F.struct("x.doc", "x.pos")
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.pos") < F.col("x.pos")))
     longer = (n > m) | ((n == m) & earlier)
     needed = F.when(earlier, open_x).otherwise(open_y)
     positional = F.least(n - i, m - j) >= F.ceil(t / (1 + t) * (n + m) - 1e-9)
     near = may_match(n, F.col("x.bits"), m, F.col("y.bits"), t)
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & longer & needed & positional & near)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & near & positional & longer & needed)
     later, first = F.struct("x.doc", "x.pos"), F.struct("y.doc", "y.pos")
     pairs = pairs.select(F.when(earlier, later).otherwise(first).alias("l"), F.when(earlier, first).otherwise(later).alias("e"))
     return pairs.select("l.doc", "l.pos", F.col("e.doc").alias("doc2"), F.col("e.pos").alias("pos2")).distinct()
 
 
-def sketch(words: Column) -> Column:
+def sketch(hashes: Column) -> Column:
     """Four parity bitmaps; a word's hash says which, and which bit."""
-    hashes = F.transform(words, lambda w: F.hash(w))
-
     def parity(k: int) -> Column:
         own = F.filter(hashes, lambda h: F.pmod(h, F.lit(SKETCH_LONGS)) == k)
         return F.aggregate(own, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(
@@ -178,8 +188,8 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
     named = stored(named, "line-names")
     lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", "line")
-    lines = lines.distinct().withColumn("words", words_array(F.col("line")))
-    lines = stored(lines.select("doc", "pos", "line", F.size("words").alias("n"), sketch(F.col("words")).alias("sketch")), "line-texts")
+    lines = lines.distinct().withColumn("hashes", F.transform(words_array(F.col("line")), lambda w: F.hash(w)))
+    lines = stored(lines.select("doc", "pos", "line", F.size("hashes").alias("n"), sketch(F.col("hashes")).alias("sketch")), "line-texts")
 
     def sides(of: DataFrame, *carried: str) -> DataFrame:
         """The pairs with columns of both lines, as the structs x and y."""
