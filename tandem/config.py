@@ -14,19 +14,10 @@ from typing import Any
 # ---------------------------------------------------------------------------
 # Fixed values of the event-data domain. They must equal the original
 # analytic's constants for results to agree; do not edit.
-#   event type ids accepted by the type-domain check:
-#     2 3 4 5 6 8 9 10 14 16 17 18 19 20 21 22 23 24 25 26 27 28 30 33 34
-#     35 36 37 38 39 40 41 42 43
-#   event type ids exempt from the roster check: 5 18 34 35 36 41
-#   defensive action type ids (pressure 17, block 6, duel 4, ball recovery 2,
-#     clearance 9, interception 10): 2 4 6 9 10 17
-#   type id of "dispossessed", which counts as defence for the other side: 3
-#   shot outcome id meaning goal: 97
-#   own-goal-for type id: 25
-#   half-start type id: 18; the marker must have index greater than 5
-#   focus team id: 217
-#   look-ahead length k: 5 (current event plus the next 5)
-#   valid pitch: x in [-1, 121], y in [-1, 81]
+# Defensive actions are pressure, block, duel, ball recovery, clearance and
+# interception; a dispossession counts as defence for the other side; the half
+# marker has an index above MARKER_MIN_INDEX; a window is the current event and
+# the next LOOKAHEAD_K.
 # ---------------------------------------------------------------------------
 VALID_TYPE_IDS = (2, 3, 4, 5, 6, 8, 9, 10, 14, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25,
                   26, 27, 28, 30, 33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 43)

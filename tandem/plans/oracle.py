@@ -292,3 +292,7 @@ FROM pairs GROUP BY 1""",
 SELECT pair, season_modified, season_plain FROM totals
 ORDER BY season_modified DESC, pair ASC NULLS LAST LIMIT 20""",
 }
+
+# The chunk width doesn't change a result.
+SQL |= {f"{name}_narrow": SQL[name]
+        for name in ("segment_by_marker", "next_k_any", "lag_probabilities", "lag_actor", "season_pair_totals")}

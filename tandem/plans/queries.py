@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.config import TABLE_ROLES as R
+from tandem.config import Roles
 from tandem.functions import columns as cf
 from tandem.functions.columns import flag
 from tandem.operators import labels as lb
@@ -24,6 +25,7 @@ from tandem.plans import season
 from tandem.session import scratch_path
 from tandem.sources import bind, files
 from tandem.sources import manifest as mf
+from tandem.sources.sinks import drop_laid_out
 from tandem.sources.schemas import event_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,20 +40,47 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return season.bound_events(spark, sf_dir)
+_BOUND: dict[tuple, DataFrame] = {}
+
+
+def _events(spark: SparkSession, sf_dir: str, roles: Roles = R) -> DataFrame:
+    """The laid-out events that the sequence queries of a session share: one
+    bound table per input folder and chunk width, not one per query."""
+    key = (spark.sparkContext.applicationId, sf_dir, roles.chunk_width)
+    if key not in _BOUND:
+        _BOUND[key] = season.bound_events(spark, sf_dir, roles)
+    return _BOUND[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Drop the tables and persisted frames that queries of this session share;
+    results built on them must have been read."""
+    for key in [k for k in _BOUND if k[0] == spark.sparkContext.applicationId]:
+        drop_laid_out(_BOUND.pop(key))
+    sequence.release_shared()
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their index for queries that look at one row at a time:
+    nothing is written, and only the columns they use are shuffled."""
+    return season.bound_events(spark, sf_dir, save=False)
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without an index, straight from the scan."""
+    return bind.event_roles(bind.table(spark, sf_dir, "events"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.labelled(_events(spark, sf_dir), R)
 
 
-def _probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return season.standin_input(_events(spark, sf_dir))
+def _probs(spark: SparkSession, sf_dir: str, roles: Roles = R) -> DataFrame:
+    return season.standin_input(_events(spark, sf_dir, roles), roles)
 
 
-def _interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vl.interactions(_probs(spark, sf_dir), R)
+def _interactions(spark: SparkSession, sf_dir: str, roles: Roles = R) -> DataFrame:
+    return vl.interactions(_probs(spark, sf_dir, roles), roles)
 
 
 def _roster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +103,7 @@ def parquet_scan(spark, sf_dir):
 def parquet_roundtrip(spark, sf_dir):
     """Events written as Parquet partitioned by match, read back as one folder."""
     path = scratch_path(spark, "events_by_match")
-    rows = _events(spark, sf_dir).select(*EVENT_COLS)
+    rows = _indexed(spark, sf_dir).select(*EVENT_COLS)
     rows.write.mode("overwrite").partitionBy(R.match).parquet(path)
     schema = T.StructType([f for f in rows.schema.fields if f.name != R.match]
                           + [T.StructField(R.match, T.StringType())])
@@ -86,7 +115,7 @@ def json_scan(spark, sf_dir):
     """Events written as nested JSON records per match folder, read back with
     an explicit schema; the match id comes from the file path."""
     path = scratch_path(spark, "events_json")
-    nested = files.nest_events(_events(spark, sf_dir), R)
+    nested = files.nest_events(_indexed(spark, sf_dir), R)
     nested.write.mode("overwrite").partitionBy("match_id").json(path)
     back = files.read_events(spark, path, multiline=False, id_pattern=files.PARTITION_DIR,
                              schema=event_schema(T.StringType()))
@@ -116,14 +145,14 @@ def id_from_path(spark, sf_dir):
 
 @query
 def project_events(spark, sf_dir):
-    return _events(spark, sf_dir).select(*EVENT_COLS)
+    return _indexed(spark, sf_dir).select(*EVENT_COLS)
 
 
 @query
 def nested_field(spark, sf_dir):
     """Nested records built from the events, then read back by dotted paths
     (one and two levels deep)."""
-    nested = files.nest_events(_events(spark, sf_dir), R)
+    nested = files.nest_events(_indexed(spark, sf_dir), R)
     return nested.select("match_id", "index", F.col("type.id").alias("type"),
                          F.col("player.id").alias("player_id"), F.col("player.name").alias("player_name"),
                          F.col("team.id").alias("team"), F.col("possession_team.id").alias("possession_team"),
@@ -133,7 +162,7 @@ def nested_field(spark, sf_dir):
 @query
 def array_item(spark, sf_dir):
     loc = F.col(R.location)
-    return _events(spark, sf_dir).select(R.match, R.index, F.get(loc, 0).alias("x_item"),
+    return _indexed(spark, sf_dir).select(R.match, R.index, F.get(loc, 0).alias("x_item"),
                                          F.get(loc, 1).alias("y_item"), F.get(loc, 2).alias("z_item"))
 
 
@@ -151,7 +180,7 @@ def explode_roster(spark, sf_dir):
 
 @query
 def flag_case(spark, sf_dir):
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     return ev.select(R.match, R.index,
                      flag(F.col(R.team) == R.focus).alias("focus_side"),
                      flag(F.col(R.holder) == R.focus).alias("focus_holder"),
@@ -161,13 +190,13 @@ def flag_case(spark, sf_dir):
 
 @query
 def filter_actions(spark, sf_dir):
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     return ev.filter(~F.col(R.type).isin(list(R.defence_types))).select(R.match, R.index, R.type, R.player)
 
 
 @query
 def not_null_filter(spark, sf_dir):
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     return (ev.filter(F.col(R.player).isNotNull() & F.col(R.x).isNotNull())
             .select(R.match, R.index, R.player, R.x))
 
@@ -180,7 +209,7 @@ def drop_incomplete(spark, sf_dir):
 
 @query
 def casts(spark, sf_dir):
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     return ev.select(R.match, R.index, F.col(R.index).cast("double").alias("index_double"),
                      F.col(R.player).cast("string").alias("player_text"),
                      F.substring(R.time_text, 1, 2).try_cast("int").alias("hour"),
@@ -189,7 +218,7 @@ def casts(spark, sf_dir):
 
 @query
 def time_number(spark, sf_dir):
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     return ev.select(R.match, R.index, R.time_text, cf.time_number(F.col(R.time_text)).alias("time"))
 
 
@@ -206,102 +235,102 @@ def join_predictions(spark, sf_dir):
 
 @query
 def roster_check(spark, sf_dir):
-    return qa.off_roster(_events(spark, sf_dir), _roster(spark, sf_dir), R).select(R.match, R.index, R.player)
+    return qa.off_roster(_indexed(spark, sf_dir), _roster(spark, sf_dir), R).select(R.match, R.index, R.player)
 
 
 @query
 def substitute_check(spark, sf_dir):
-    return qa.off_roster_substitutes(_events(spark, sf_dir), _roster(spark, sf_dir), R) \
+    return qa.off_roster_substitutes(_indexed(spark, sf_dir), _roster(spark, sf_dir), R) \
              .select(R.match, R.index, R.substitute)
 
 
 @query
 def domain_check(spark, sf_dir):
-    return qa.invalid_types(_events(spark, sf_dir), R).select(R.match, R.index, R.type)
+    return qa.invalid_types(_indexed(spark, sf_dir), R).select(R.match, R.index, R.type)
 
 
 @query
 def focus_present(spark, sf_dir):
-    return qa.side_status(_events(spark, sf_dir), R, R.team).select("match_id", "focus_count")
+    return qa.side_status(_raw(spark, sf_dir), R, R.team).select("match_id", "focus_count")
 
 
 @query
 def two_sides(spark, sf_dir):
-    return qa.side_status(_events(spark, sf_dir), R, R.team).select("match_id", "n_values")
+    return qa.side_status(_raw(spark, sf_dir), R, R.team).select("match_id", "n_values")
 
 
 @query
 def focus_present_holder(spark, sf_dir):
-    return qa.side_status(_events(spark, sf_dir), R, R.holder).select("match_id", "focus_count")
+    return qa.side_status(_raw(spark, sf_dir), R, R.holder).select("match_id", "focus_count")
 
 
 @query
 def two_holders(spark, sf_dir):
-    return qa.side_status(_events(spark, sf_dir), R, R.holder).select("match_id", "n_values")
+    return qa.side_status(_raw(spark, sf_dir), R, R.holder).select("match_id", "n_values")
 
 
 @query
 def range_check_x(spark, sf_dir):
-    return qa.out_of_range(_events(spark, sf_dir), R, "x").select(R.match, R.index, R.x)
+    return qa.out_of_range(_indexed(spark, sf_dir), R, "x").select(R.match, R.index, R.x)
 
 
 @query
 def range_check_y(spark, sf_dir):
-    return qa.out_of_range(_events(spark, sf_dir), R, "y").select(R.match, R.index, R.y)
+    return qa.out_of_range(_indexed(spark, sf_dir), R, "y").select(R.match, R.index, R.y)
 
 
 @query
 def time_format_check(spark, sf_dir):
-    return qa.time_format_status(_events(spark, sf_dir), R)
+    return qa.time_format_status(_raw(spark, sf_dir), R)
 
 
 @query
 def dedup_by_residue(spark, sf_dir):
-    return qa.residue_representatives(_events(spark, sf_dir), R)
+    return qa.residue_representatives(_indexed(spark, sf_dir), R)
 
 
 @query
 def distinct_sides(spark, sf_dir):
-    return _events(spark, sf_dir).select(R.match, R.team).distinct()
+    return _raw(spark, sf_dir).select(R.match, R.team).distinct()
 
 
 @query
 def distinct_substitutes(spark, sf_dir):
-    return qa.substitutes(_events(spark, sf_dir), R)
+    return qa.substitutes(_indexed(spark, sf_dir), R)
 
 
 @query
 def findings(spark, sf_dir):
-    return season.table_findings(spark, sf_dir)
+    return season.table_findings(spark, sf_dir, events=_events(spark, sf_dir))
 
 
 @query
 def findings_summary(spark, sf_dir):
-    return qa.findings_summary(season.table_findings(spark, sf_dir))
+    return qa.findings_summary(season.table_findings(spark, sf_dir, events=_events(spark, sf_dir)))
 
 
 # --- segments, flags, labels ----------------------------------------------
 
 @query
-def segment_by_marker(spark, sf_dir):
-    return lb.segment_by_marker(_events(spark, sf_dir), R).select(R.match, R.index, lb.SEGMENT)
+def segment_by_marker(spark, sf_dir, roles=R):
+    return lb.segment_by_marker(_events(spark, sf_dir, roles), roles).select(R.match, R.index, lb.SEGMENT)
 
 
 @query
 def goal_flags(spark, sf_dir):
-    return lb.goal_flags(_events(spark, sf_dir), R).select(R.match, R.index, "focus_goal", "other_goal")
+    return lb.goal_flags(_indexed(spark, sf_dir), R).select(R.match, R.index, "focus_goal", "other_goal")
 
 
 @query
 def defence_flags(spark, sf_dir):
-    return lb.defence_flags(_events(spark, sf_dir), R).select(
+    return lb.defence_flags(_indexed(spark, sf_dir), R).select(
         R.match, R.index, "focus_def", "focus_hold", "other_def", "other_hold")
 
 
 @query
-def next_k_any(spark, sf_dir):
-    ev = lb.defence_flags(lb.segment_by_marker(lb.goal_flags(_events(spark, sf_dir), R), R), R)
-    ahead = lb.next_k_sums(ev, R, {"focus_goal": "goals_ahead", "focus_hold": "holds_ahead"})
+def next_k_any(spark, sf_dir, roles=R):
+    ev = lb.defence_flags(lb.segment_by_marker(lb.goal_flags(_events(spark, sf_dir, roles), roles), roles), roles)
+    ahead = lb.next_k_sums(ev, roles, {"focus_goal": "goals_ahead", "focus_hold": "holds_ahead"})
     return ahead.select(R.match, R.index, lb.SEGMENT, "goals_ahead", "holds_ahead",
                         flag(F.col("goals_ahead") > 0).alias("any_goal_ahead"))
 
@@ -330,7 +359,7 @@ def feature_rows(spark, sf_dir):
 def union_matches(spark, sf_dir):
     """Rows of the focus side and of the other side, selected with columns in
     different orders, put back together by column name."""
-    ev = _events(spark, sf_dir)
+    ev = _indexed(spark, sf_dir)
     cols = [R.match, R.index, R.team, R.player, R.type]
     own = ev.filter(F.col(R.team) == R.focus).select(*cols)
     rest = ev.filter(~(F.col(R.team) == R.focus) | F.col(R.team).isNull()).select(*reversed(cols))
@@ -374,8 +403,8 @@ def model_pair_ranking_gbt(spark, sf_dir):
 # --- values, pairs, rankings ----------------------------------------------
 
 @query
-def lag_probabilities(spark, sf_dir):
-    return vl.probability_lags(_probs(spark, sf_dir), R).select(
+def lag_probabilities(spark, sf_dir, roles=R):
+    return vl.probability_lags(_probs(spark, sf_dir, roles), roles).select(
         R.match, R.index, *vl.PROBS, *[f"prev_{p}" for p in vl.PROBS])
 
 
@@ -392,8 +421,8 @@ def event_values(spark, sf_dir):
 
 
 @query
-def lag_actor(spark, sf_dir):
-    return _interactions(spark, sf_dir).select(
+def lag_actor(spark, sf_dir, roles=R):
+    return _interactions(spark, sf_dir, roles).select(
         R.match, R.index, "prev_player_name", "prev_player_id", "prev_team", "prev_v_scoring",
         "prev_v_possession")
 
@@ -414,8 +443,8 @@ def pair_key(spark, sf_dir):
 
 
 @query
-def season_pair_totals(spark, sf_dir):
-    return vl.season_pair_totals(_interactions(spark, sf_dir))
+def season_pair_totals(spark, sf_dir, roles=R):
+    return vl.season_pair_totals(_interactions(spark, sf_dir, roles))
 
 
 @query
@@ -448,6 +477,22 @@ def ranking_file(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+# --- the same in many chunks per match --------------------------------------
+
+NARROW = R.with_(chunk_width=64)
+
+
+def _narrow(wide: Query) -> Query:
+    def run(spark, sf_dir):
+        return wide(spark, sf_dir, NARROW)
+    run.__name__ = f"{wide.__name__}_narrow"
+    return run
+
+
+for _wide in (segment_by_marker, next_k_any, lag_probabilities, lag_actor, season_pair_totals):
+    query(_narrow(_wide))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 

@@ -172,7 +172,8 @@ def prediction_step(spark: SparkSession, sf_dir: str, out_dir: str, roles: Roles
 
 def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_list: str | None = None,
                     roles: Roles = REFERENCE_ROLES, kinds: tuple = ("gbt", "lr"),
-                    max_iter: int = 10) -> dict[str, str]:
+                    max_iter: int = 10, index_ids: bool = True,
+                    tree_encoding: str = "categorical") -> dict[str, str]:
     """The whole season from nested JSON files under ``data_root``
     (``events/<match>.json``, ``lineups/<match>.json``):
 
@@ -182,7 +183,10 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
     4. one model per label and kind (fit once per season, saved), scores;
     5. pair values and the season ranking per model kind (top 20 and full).
 
-    Every step runs over all matches at once. Returns the written folders.
+    ``index_ids=False`` uses raw ids as one-hot indices and
+    ``tree_encoding="onehot"`` gives the trees the one-hot vector, as the
+    original does. Every step runs over all matches at once. Returns the
+    written folders.
     """
     from tandem.sources.sinks import save_model, write_parquet
 
@@ -203,9 +207,9 @@ def run_json_season(spark: SparkSession, data_root: str, out_dir: str, match_lis
     labelled = lb.labelled(events, roles)
     write_parquet(sequence.drop_layout(labelled), out["labelled"], [roles.match])
     features = ml.feature_rows(labelled, roles)
-    prep_model, prepared = ml.prepare(features)
+    prep_model, prepared = ml.prepare(features, index_ids)
     save_model(prep_model, f"{out_dir}/models/features")
-    fitted = ml.fit_all(prepared, roles, kinds, max_iter)
+    fitted = ml.fit_all(prepared, roles, kinds, max_iter, tree_encoding=tree_encoding)
     for kind in kinds:
         for label, model in zip(roles.labels, fitted[kind]):
             save_model(model, f"{out_dir}/models/{kind}/{label}")

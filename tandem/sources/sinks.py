@@ -47,5 +47,16 @@ def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFra
     return spark.table(table)
 
 
+def drop_laid_out(df: DataFrame) -> None:
+    """Remove a table that ``save_laid_out`` wrote, files included."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        # scratch_path adds a suffix to the table's name
+        spark.sql(f"DROP TABLE IF EXISTS {folder.rsplit('/', 1)[1].rsplit('-', 1)[0]}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
