@@ -94,6 +94,62 @@ def test_repeated_passages(spark, docs, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def edited_pair(rng, n, t):
+    """Two runs of shingle numbers that share stretches with edits."""
+    a = rng.permutation(10 ** 6)[:n]
+    b, fresh = [], 2 * 10 ** 6
+    rate = rng.choice([0.02, 0.1, 0.2])
+    for x in a.tolist():
+        if rng.random() < rate:
+            fresh += 9
+            b += [[], [fresh], [x, *range(fresh, fresh + int(rng.integers(1, 6)))]][int(rng.integers(0, 3))]
+        else:
+            b.append(x)
+    return a.astype(np.uint64), np.array(b, np.uint64)
+
+
+def similar_places(a, b, t, similarity):
+    """(start, end) in a of all passages, by brute force: they begin and end
+    with shingles of both."""
+    out = set()
+    place = {int(x): i for i, x in enumerate(b)}
+    at = [place.get(int(x)) for x in a]
+    for s, s2 in enumerate(at):
+        for e, e2 in enumerate(at[s + t - 1:], s + t - 1):
+            if s2 is not None and e2 is not None and e2 - s2 + 1 >= t:
+                both = sum(q is not None and s2 <= q <= e2 for q in at[s:e + 1])
+                if both >= similarity * (e - s + 1 + e2 - s2 + 1 - both) - 1e-9:
+                    out.add((s, e))
+    return out
+
+
+def test_verify_by_brute_force():
+    rng = np.random.default_rng(6)
+    hits = 0
+    for _ in range(200):
+        a, b = edited_pair(rng, 60, 12)
+        want, got = similar_places(a, b, 12, 0.8), passages.verify(a, b, 12, 0.8)
+        hits += bool(want)
+        assert bool(got) == bool(want) and all(j >= 0.8 - 1e-9 and (s, e) in want for s, e, _, _, j in got)
+        common = set(np.flatnonzero(np.isin(a, b)).tolist())
+        inside = {i for s, e in want for i in range(s, e + 1)} & common
+        assert inside == {i for s, e, *_ in got for i in range(s, e + 1)} & common
+    assert 20 < hits < 200
+
+
+def test_verify_finds_the_dense_end_of_a_run():
+    words = [f"p{i}" for i in range(200)]
+    other = list(words)
+    for i in (30, *range(60, 200, 10)):
+        other[i] = f"changed{i}"
+    a, b = (passages.shingles(" ".join(w)) for w in (words, other))
+    assert any(s <= 5 and e >= 50 and j >= 0.8 for s, e, _, _, j in passages.verify(a, b, 46, 0.8))
+    twice = np.concatenate([a[:60], np.arange(30, dtype=np.uint64), a[:60]])
+    assert [x[:4] for x in passages.verify(a[:60], twice, 46, 0.8)][0][:2] == (0, 59)
+    same = np.zeros(5000, np.uint64)
+    assert passages.verify(same, same, 46, 0.8)
+
+
 # ---- 3 main text ------------------------------------------------------------------
 def test_blocks_and_extraction(spark):
     page = "<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A&amp;B</h1><p>One <b>t</b>wo\n three<p>Four</article><script>x<p></script><footer>&copy; me"
