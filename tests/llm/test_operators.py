@@ -150,6 +150,18 @@ def test_verify_finds_the_dense_end_of_a_run():
     assert passages.verify(same, same, 46, 0.8)
 
 
+def test_near_passages_are_candidates(spark):
+    """400 pairs that share 50 words but one."""
+    rows = []
+    for i in range(400):
+        words = [f"p{i}x{j}" for j in range(50)]
+        rows.append((2 * i, " ".join(words) + f" end{i}"))
+        words[25] = "changed"
+        rows.append((2 * i + 1, f"begin{i} " + " ".join(words)))
+    got = passages.passage_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc, r.doc2) for r in got} == {(2 * i, 2 * i + 1) for i in range(400)}
+
+
 # ---- 3 main text ------------------------------------------------------------------
 def test_blocks_and_extraction(spark):
     page = "<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A&amp;B</h1><p>One <b>t</b>wo\n three<p>Four</article><script>x<p></script><footer>&copy; me"
