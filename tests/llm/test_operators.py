@@ -162,6 +162,50 @@ def test_near_passages_are_candidates(spark):
     assert {(r.doc, r.doc2) for r in got} == {(2 * i, 2 * i + 1) for i in range(400)}
 
 
+@pytest.mark.parametrize("between", [8, 40])
+def test_no_window_is_left_unmet(spark, monkeypatch, between):
+    """Documents between two copies hold all min-hash shingles of the passage,
+    not the passage; in large groups, in blocks of a few windows."""
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    words = [f"p{i}" for i in range(50)]
+    h = passages.shingles(" ".join(words))
+    least = [int(passages.mixed(h ^ passages.mixed(np.full(1, f + 1, np.uint64))).argmin()) for f in range(passages.FUNCTIONS)]
+
+    def own(i, k):
+        return [f"q{i}n{k}n{j}" for j in range(46)]
+
+    rows = [(100, " ".join(own(100, 0) + words)), (200, " ".join(own(200, 0) + words + own(200, 1)))]
+    rows.append((201, " ".join(own(201, 0) + words[:20] + ["changed"] + words[21:])))
+    for i in range(between):
+        rows.append((101 + i, " ".join(w for k, at in enumerate(least) for w in own(i, k) + words[at:at + 5])))
+    for name, frame in (("long", spark.createDataFrame(rows, SCHEMA)),
+                        ("string", spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string"))):
+        got = {str(r.doc_id).lstrip("d"): (str(r.class_id).lstrip("d"), r.n_links) for r in passages.repeated_passages(frame).collect()}
+        assert {got[i][0] for i in ("100", "200", "201")} == {"100"}, name
+        assert all(got[str(101 + i)] == (str(101 + i), 0) for i in range(between))
+
+
+def test_passages_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    sources = [[f"s{k}w{j}" for j in range(90)] for k in range(4)]
+    rows = []
+    for i in range(60):
+        text = [f"d{i}w{j}" for j in range(30)]
+        source = sources[int(rng.integers(0, 4))]
+        at = int(rng.integers(0, 40))
+        text += [f"d{i}e{j}" if rng.random() < 0.02 else w for j, w in enumerate(source[at:at + int(rng.integers(40, 90))])]
+        rows.append((i, " ".join(text)))
+    runs = [passages.shingles(t) for _, t in rows]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if passages.verify(runs[j], runs[i], 46, 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i] for i in range(60)] == root and 4 < len(set(root)) < 50
+
+
 # ---- 3 main text ------------------------------------------------------------------
 def test_blocks_and_extraction(spark):
     page = "<nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A&amp;B</h1><p>One <b>t</b>wo\n three<p>Four</article><script>x<p></script><footer>&copy; me"
