@@ -8,6 +8,9 @@ verifies them on the original vectors; it stops when, by the chi-square test, a
 vector not seen yet would be nearer than the k-th found only with probability
 ``1 - confidence``.
 
+Equal vectors are one class, indexed once under its least ids; of a class no
+more than k + 1 ids can be among the k nearest of a vector, itself left out.
+
 Queries are a stated set that meets all shards in blocks of bounded size.
 """
 
@@ -30,6 +33,7 @@ CONFIDENCE = 0.97
 ROWS_PER_SHARD = 16_384
 QUERIES_PER_BLOCK = 256
 LEAF_ROWS = 256
+SPREAD = 1024
 SEED = 11
 
 
@@ -101,15 +105,17 @@ class Tree:
             rows, dists = rows[~near], dists[~near]
 
 
-def search(tree: Tree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, projected: np.ndarray, query_id: int,
+def search(tree: Tree, vectors: np.ndarray, ids: list[np.ndarray], query: np.ndarray, projected: np.ndarray, query_id: int,
            k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k nearest found, nearest first."""
+    """Distances and ids of the k nearest found, nearest first; every row of
+    the tree has a list of ids."""
     best_d, best_i = np.empty(0), np.empty(0, np.int64)
     for radius, rows in tree.neighbours(projected):
         if len(rows):
             d = vectors[rows] - query
             d = np.sqrt(np.einsum("ij,ij->i", d, d))
-            own = ids[rows]
+            own = np.concatenate([ids[r] for r in rows])
+            d = np.repeat(d, [len(ids[r]) for r in rows])
             keep = own != query_id
             if len(best_d) == k:
                 keep &= d <= best_d[-1]
@@ -131,6 +137,15 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
+def least_ids(rows: DataFrame, most: int) -> DataFrame:
+    """(v, ids): every distinct vector with its ``most`` smallest ids. They are
+    chosen in two steps, so that a frequent vector's rows are spread first."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD))
+    once = F.row_number().over(Window.partitionBy("v", "part").orderBy("vec_id"))
+    few = rows.withColumn("part", part).withColumn("r", once).where(F.col("r") <= most)
+    return few.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, most).alias("ids"))
+
+
 def nearest(df: DataFrame, k: int = 10, query_modulus: int = 100, id_col: str = "vec_id", vector_col: str = "embedding",
             m: int = PROJECTED_DIMS, confidence: float = CONFIDENCE, rows_per_shard: int = ROWS_PER_SHARD,
             queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
@@ -145,24 +160,25 @@ def nearest(df: DataFrame, k: int = 10, query_modulus: int = 100, id_col: str =
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim, total = (sizes.n, sizes["count"]) if sizes else (1, 0)
     rows = rows.where(F.size("v") == dim)
+    classes = least_ids(rows, k + 1)
     n_shards = shards(total, rows_per_shard)
     asked = rows.where(F.pmod("vec_id", F.lit(query_modulus)) == 0)
     n_blocks = shards(asked.count(), queries_per_block)
     # Both counts are sizes over a bound: a task holds one shard and one block.
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int")
+    shard = F.pmod(F.xxhash64("v"), F.lit(n_shards)).cast("int")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")
-    held = rows.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(False).alias("q"), "vec_id", "v")
-    posed = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), block.alias("block"), F.lit(True).alias("q"), "vec_id", "v")
+    held = classes.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(False).alias("q"), "ids", "v")
+    posed = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), block.alias("block"), F.lit(True).alias("q"), F.array("vec_id").alias("ids"), "v")
     limit = chi_square_quantile(m, confidence)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own, queries = part[~part.q], part[part.q]
         out = []
         if len(own) and len(queries):
-            vectors, ids = np.stack(own.v.to_numpy()), own.vec_id.to_numpy()
+            vectors, ids = np.stack(own.v.to_numpy()), own.ids.tolist()
             stable = np.random.default_rng(SEED).standard_normal((dim, m))
             tree = Tree(vectors @ stable)
-            for q, v in zip(queries.vec_id, queries.v):
+            for (q,), v in zip(queries.ids, queries.v):
                 d, i = search(tree, vectors, ids, v, v @ stable, q, k, limit)
                 out.append(pd.DataFrame({"query_id": q, "vec_id": i, "score": d}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(

@@ -363,6 +363,22 @@ def test_neighbours(spark):
     assert neighbours.chi_square_quantile(2, 0.95) == pytest.approx(5.991, abs=1e-3)
 
 
+def test_neighbours_in_a_large_group_of_copies(spark):
+    """More copies than a leaf holds: those with the smallest ids are nearest."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(1800, 16))
+    vectors[rng.permutation(1800)[:700]] = vectors[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(frame, query_modulus=50, rows_per_shard=700, queries_per_block=16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    copies = [i for i in range(1800) if (vectors[i] == vectors[0]).all()]
+    asked = [q for q in copies if q % 50 == 0]
+    assert len(asked) > 5
+    for q in asked:
+        assert [i for _, i in sorted(got[q])] == [i for i in copies if i != q][:10]
+
+
 # ---- 9 decontamination -----------------------------------------------------------------------
 def test_decontamination_edges(spark, docs, nothing):
     items = spark.createDataFrame([(1, "quick BROWN fox"), (2, None), (None, "one"), (3, LONG[:400]), (1, "quick BROWN fox")], "item_id long, text string")
