@@ -9,7 +9,7 @@ positional filter). What is left is verified on the whole sets.
 
 Equal lines are joined into one class first. Rarity is read from a fixed table
 of word counts by hash, whose size does not grow with the words; any order
-gives the same result. A line is removed if an earlier line (by document id,
+gives the same result. A line is removed if an earlier line (by document,
 then line number) is similar; so it is enough to find one: lines are first
 compared with the earliest line that shares two of their three rarest words,
 which settles large groups of copies without pairing them up, and only lines
@@ -30,7 +30,6 @@ SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
 PASSES = 5
 SKETCH_LONGS = 4
-LAST_ID = (1 << 63) - 1
 
 
 def spaced(text: Column, white: str = "\t\r\f\v") -> Column:
@@ -57,19 +56,21 @@ def rarity_table(rows: DataFrame) -> bytes:
     return bytes(out)
 
 
+def document(id_col: str, text_col: str) -> Column:
+    """What names and orders a document: its id, null last, then a hash of its
+    text, so that rows that share an id or have none are told apart."""
+    given = F.col(id_col).cast("long")
+    return F.struct(given.isNull().alias("last"), F.coalesce(given, F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
     """(doc, pos, line) of every line that has a word."""
     return rows.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^ \t\r\f\x0B]"))
 
 
 def line_classes(rows: DataFrame) -> DataFrame:
-    """(line, doc, pos): the first occurrence of every distinct line. Document
-    and line number are one decimal, which a hash aggregate can take least of."""
-    places = F.lit(1 << 31).cast("decimal(10,0)")
-    at = (F.col("doc").cast("decimal(20,0)") * places + F.col("pos")).cast("decimal(32,0)")
-    classes = occurrences(rows).groupBy("line").agg(F.min(at).alias("at"))
-    doc = F.floor(F.col("at") / places).cast("decimal(32,0)")
-    return classes.select("line", doc.cast("long").alias("doc"), (F.col("at") - doc * places).cast("int").alias("pos"))
+    """(line, doc, pos): the first occurrence of every distinct line."""
+    return occurrences(rows).groupBy("line").agg(F.min(F.struct("doc", "pos")).alias("at")).select("line", "at.doc", "at.pos")
 
 
 def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
@@ -214,7 +215,7 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: float = SIMILARITY) -> DataFrame:
     """(doc, pos) of every line that goes; pos counts lines from 0."""
     rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+        document(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(line_classes(rows), rarity_table(rows), t), "line-signatures")
     settled = verified(stored(by_leader(sigs, t), "line-pairs"), rows, t)
     marked = stored(sigs.join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left"), "line-marked")
@@ -234,12 +235,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept, plus n_lines_removed.
 
     Blank lines and null texts stay as they are; a document may become empty.
-    Ids are integers; rows with equal ids count as one document, and rows with
-    a null id come last. An empty table gives no rows.
+    Ids are integers; rows with a null id come last, and rows of one id are
+    ordered by a hash of their text. Only rows that share id and text count as
+    one document. An empty table gives no rows.
     """
     gone = removed_lines(docs, id_col, text_col, t).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc").alias("gone_doc__"), F.col("gone").alias("gone_lines__"))
-    of = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("gone_doc__")
+    of = document(id_col, text_col) == F.col("gone_doc__")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains("gone_lines__", i))
     text = F.when(F.col("gone_lines__").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
