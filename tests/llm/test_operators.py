@@ -470,3 +470,23 @@ def test_pipeline_stages(spark, sf_small):
     clean = corpus_pipeline.drop_contaminated(spark, one, sf_small)
     hit = decontaminate.decontaminate(one, spark.read.parquet(f"{sf_small}/benchmark.parquet")).where("contaminated").count()
     assert clean.count() == one.count() - hit and [n for n, _ in corpus_pipeline.STAGES][0] == "language ID"
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path, monkeypatch):
+    words = [" ".join(f"{c}{i}word" for i in range(40)) for c in "abcdef"]
+    rows = [(None, "12 34"), (None, words[0]), (5, words[1]), (5, "56 78"), (None, None), (6, words[2]), (None, words[2]), (6, words[2]),
+            (7, words[2]), (7, words[3]), (None, words[4]), (None, words[4])]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("lang", F.lit("en"))
+
+    def texts(df):
+        return sorted(((r.doc_id or 0), r.text or "") for r in df.collect())
+
+    monkeypatch.setattr(corpus_pipeline, "MIN_LANGUAGE_SCORE", 0.0)
+    want = sorted(((d or 0), t) for d, t in rows if t and "word" in t)
+    assert texts(corpus_pipeline.keep_identified(spark, docs, "")) == want
+    clean = docs.where("text LIKE '%word%'")
+    one = corpus_pipeline.keep_one_of_each_group(spark, clean, "")
+    assert texts(one) == sorted([(0, words[0]), (5, words[1]), (6, words[2]), (7, words[3]), (0, words[4])]) and one.columns == docs.columns
+    spark.createDataFrame([(1, words[0]), (2, words[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hit = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert texts(hit) == sorted(((d or 0), t or "") for d, t in rows if t not in words[:2])
