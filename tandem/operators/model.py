@@ -75,6 +75,28 @@ def category_arity(prepared: DataFrame, column: str = TREE_FEATURES) -> int:
     return max(sizes, default=0)
 
 
+TARGET_FEATURES = "features_rate"
+RATE_WEIGHT = 20  # events by which an actor's label rates lean to those of all
+
+
+def with_rates(prepared: DataFrame, roles: Roles) -> DataFrame:
+    """The rows with ``TARGET_FEATURES``: type and side as categories, the actor
+    as a rate of each label over its events (a grouped aggregate), x, y and
+    time. Its width and bins don't depend on the number of actors."""
+    rates = [f"{label}_rate" for label in roles.labels]
+    of_all = prepared.agg(*[F.avg(label).alias(f"{label}_all") for label in roles.labels])
+    sums = prepared.groupBy("player_id").agg(F.count(F.lit(1)).alias("n_events"), *[F.sum(label).alias(f"{label}_sum") for label in roles.labels])
+    per_actor = sums.crossJoin(of_all).select("player_id", *[
+        ((F.col(f"{label}_sum") + RATE_WEIGHT * F.col(f"{label}_all")) / (F.col("n_events") + RATE_WEIGHT)).alias(rate)
+        for label, rate in zip(roles.labels, rates)])
+    rows = prepared.join(per_actor, "player_id")
+    if sequence.CHUNK in prepared.columns:  # the layout of the rows, which the join may have changed
+        rows = rows.repartition(sequence.layout_partitions(prepared.sparkSession), "match_id", sequence.CHUNK)
+    nominal = [f"{c}_idx" for c in CATEGORICAL if c != "player_id"]
+    asm = VectorAssembler(inputCols=nominal + rates + list(NUMERIC), outputCol=TARGET_FEATURES, handleInvalid="keep")
+    return asm.transform(rows).select(*prepared.columns, TARGET_FEATURES)
+
+
 def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
                features: str = "features", max_bins: int = 32):
     cols = dict(labelCol=label, featuresCol=features, predictionCol=f"{label}_prediction")
@@ -93,17 +115,19 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
 def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
                tree_encoding: str = "categorical", max_bins: int = MAX_BINS) -> list:
     """One unfitted classifier per label. Trees read the categorical columns
-    (``tree_encoding="categorical"``) or the same one-hot vector as logistic
-    regression (``"onehot"``, the original encoding)."""
-    if tree_encoding not in ("categorical", "onehot"):
+    (``tree_encoding="categorical"``), the same one-hot vector as logistic
+    regression (``"onehot"``, the original encoding) or the actor's label rates
+    (``"rates"``, see ``with_rates``)."""
+    if tree_encoding not in ("categorical", "onehot", "rates"):
         raise ValueError(f"tree encoding {tree_encoding!r}")
     opts = {}
-    if kind == "gbt" and tree_encoding == "categorical" and TREE_FEATURES in prepared.columns:
-        arity = category_arity(prepared)
+    column = {"categorical": TREE_FEATURES, "rates": TARGET_FEATURES}.get(tree_encoding)
+    if kind == "gbt" and column in prepared.columns:
+        arity = category_arity(prepared, column)
         if arity > max_bins:
             raise ValueError(f"a category has {arity} values, more than max_bins={max_bins}: raise max_bins or use "
                              "tree_encoding='onehot'")
-        opts = dict(features=TREE_FEATURES, max_bins=max_bins)
+        opts = dict(features=column, max_bins=max_bins)
     return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
 
 
@@ -158,20 +182,22 @@ def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:
         *keep)
 
 
-def prepare(features: DataFrame, index_ids: bool = True) -> tuple[PipelineModel, DataFrame]:
+def prepare(features: DataFrame, index_ids: bool = True, roles: Roles | None = None) -> tuple[PipelineModel, DataFrame]:
     """Fit the shared feature pipeline once and persist the assembled rows:
     every iteration of every fit reads them, and the classifiers then skip
-    caching a copy of their own. Unpersist once the scores are written."""
+    caching a copy of their own. Unpersist once the scores are written. With
+    ``roles`` they have the actors' label rates too."""
     prep_model = feature_pipeline(index_ids).fit(features)
-    return prep_model, keep(prep_model.transform(features))
+    prepared = prep_model.transform(features)
+    return prep_model, keep(with_rates(prepared, roles) if roles and index_ids else prepared)
 
 
 def train_and_score(features: DataFrame, roles: Roles, kind: str, index_ids: bool = True,
-                    max_iter: int = 10) -> tuple[PipelineModel, DataFrame, list, DataFrame]:
+                    max_iter: int = 10, tree_encoding: str = "categorical") -> tuple[PipelineModel, DataFrame, list, DataFrame]:
     """Fit the shared feature pipeline once, fit one model per label, and
     score the training rows themselves (as the original analytic does).
     Returns the feature model, the persisted features, the label models and
     the (lazy) scored rows."""
-    prep_model, prepared = prepare(features, index_ids)
-    models = fit_models(prepared, roles, kind, max_iter)
+    prep_model, prepared = prepare(features, index_ids, roles if kind == "gbt" and tree_encoding == "rates" else None)
+    models = fit_models(prepared, roles, kind, max_iter, tree_encoding=tree_encoding)
     return prep_model, prepared, models, score(prepared, models, roles)

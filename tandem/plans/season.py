@@ -65,11 +65,12 @@ def model_probabilities(spark: SparkSession, sf_dir: str, kind: str,
                         roles: Roles = TABLE_ROLES, index_ids: bool = True,
                         save: bool = True) -> DataFrame:
     """Label the season, train one ``kind`` model per label on the feature
-    rows and score them; the scored rows are written once (bucketed) so the
+    rows (trees read the actor as label rates, so that any number of actors
+    will do) and score them; the scored rows are written once (bucketed) so the
     value stage does not re-run the models."""
     events = bound_events(spark, sf_dir, roles)
     features = ml.feature_rows(lb.labelled(events, roles), roles)
-    _, prepared, _, scored = ml.train_and_score(features, roles, kind, index_ids)
+    _, prepared, _, scored = ml.train_and_score(features, roles, kind, index_ids, tree_encoding="rates")
     if not save:
         return scored
     written = save_laid_out(scored, laid_keys(roles), f"scored_{kind}")

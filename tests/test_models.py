@@ -86,3 +86,13 @@ def test_gbt_onehot_encoding(features):
     assert onehot[0].numFeatures == width
     assert cat[0].numFeatures == 6  # type, actor, side, x, y, time
     prepared.unpersist()
+
+
+def test_gbt_queries_take_any_number_of_actors(spark, sf_small, monkeypatch):
+    """More actors than a tree may have bins for a category."""
+    actors = ml.feature_rows(lb.labelled(season.bound_events(spark, sf_small), R), R).select("player_id").distinct().count()
+    monkeypatch.setattr(ml, "MAX_BINS", 12)
+    monkeypatch.setattr(ml.estimators, "__defaults__", (10, "categorical", 12))
+    monkeypatch.setattr(ml.fit_all, "__defaults__", (("gbt", "lr"), 2, 4, "categorical", 12, None))
+    assert actors > ml.MAX_BINS
+    assert all_queries()["score_gbt"](spark, sf_small).count() == 1000
