@@ -1,6 +1,6 @@
 """URL filtering by association rules.
 
-A URL becomes a set of tokens (host, domain, host labels, first path part, file
+A URL becomes a set of tokens (host, domain, host labels, path parts, file
 ending, query names, fragment). Spark's FP-growth mines token combinations of
 labelled URLs together with their label; combinations that imply a label with
 enough confidence, support and lift become rules. Rules are matched by an
@@ -44,7 +44,9 @@ def tokens(url: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domain = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
-    first = F.regexp_extract(path, r"^/([^/]+)/", 1)
+    below = F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0)))
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     names = F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, r"^([^=]*)", 1))
@@ -53,9 +55,12 @@ def tokens(url: Column) -> Column:
         return F.when((value != "") & ~value.rlike(r"^\d+$"), F.concat(F.lit(tag + ":"), value))
 
     single = F.array(tagged("host", host), tagged("domain", domain), tagged("top", F.element_at(labels, -1)),
-                     F.when(n > 2, tagged("sub", labels[0])), tagged("dir", first), tagged("end", ending),
-                     F.when(url.contains("#"), F.lit("fragment")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(single, F.transform(names, lambda x: tagged("arg", x))))))
+                     tagged("page", F.element_at(parts, -1)), tagged("end", ending), F.when(url.contains("#"), F.lit("fragment")))
+    def each(tag: str, values: Column) -> Column:
+        return F.transform(values, lambda x: tagged(tag, x))
+
+    every = F.concat(single, each("sub", below), each("dir", folders), each("arg", names))
+    return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,

@@ -285,6 +285,17 @@ def test_url_rules(spark):
     assert urlrules.judge(pages.limit(0), labelled.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_tokens_name_all_labels_and_parts(spark):
+    urls = ["https://m.casino-win.example.com/a/7/slots/1.html", "http://h"]
+    got = [set(r.t) for r in spark.createDataFrame([(u,) for u in urls], "url string").select(urlrules.tokens(F.col("url")).alias("t")).collect()]
+    assert {"sub:m", "sub:casino-win", "domain:example.com", "dir:a", "dir:slots", "page:1.html", "end:html"} <= got[0] and "dir:7" not in got[0]
+    assert got[1] == {"host:h", "domain:h", "top:h"}
+    labelled = spark.createDataFrame([(f"http://s{i}.casino.example.com/x/{i}", "block") for i in range(20)]
+                                     + [(f"http://s{i}.news.example.com/x/{i}", "allow") for i in range(40)], "url string, label string")
+    pages = spark.createDataFrame([(1, "http://new.casino.example.com/x/9"), (2, "http://new.news.example.com/x/9")], "page_id long, url string")
+    assert [r.verdict for r in urlrules.judge(pages, labelled, []).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 # ---- 6 archives ----------------------------------------------------------------------------
 def test_archives(spark, tmp_path):
     import hashlib
