@@ -17,7 +17,10 @@ from tandem.llm.neighbours import nearest
 from tandem.llm.packing import pack_documents
 from tandem.llm.passages import repeated_passages
 from tandem.llm.simhash import near_duplicates
+from tandem.llm.spelling import variants
+from tandem.llm.suffixtree import score_texts
 from tandem.llm.warc import round_trip
+from tandem.llm.whitening import whiten
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_language_id, op2_substring_dedup, op3_html_extraction, op4_best_fit_packing, op5_url_filters,
-           op6_warc_archives, op7_line_dedup, op8_nearest_neighbours, op9_benchmark_decontamination, op10_simhash_near_dedup]
+           op6_warc_archives, op7_line_dedup, op8_nearest_neighbours, op9_benchmark_decontamination, op10_simhash_near_dedup,
+           op11_lm_scoring, op12_embedding_whitening, op13_spelling_variants]
     return {f.__name__: f for f in own}
