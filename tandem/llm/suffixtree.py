@@ -22,9 +22,10 @@ task adds up; the longer runs are filtered by bitmaps of the shorter ones.
 
 Every retained context adds to the logarithm ln P(w | s) / P(w | parent), which
 depends on the run (s, w) if that was kept and on s alone if not. So a score is
-a sum over the runs of a text of one number each, and scoring is a join of runs
-and numbers. The frequent runs, at most ``HEAD`` of an order, since each makes up
-1/``HEAD`` of the training tokens, are broadcast and never shuffled.
+a sum over the runs of a text of one number each. Texts are dealt to shards of
+bounded size; a shard asks for the numbers of its different runs, bucket by
+bucket, and the answers come back to it in the same order, so what is shuffled
+is a key and a number per run and shard, and no run is hot.
 """
 
 from __future__ import annotations
@@ -45,11 +46,11 @@ DEPTH = 3
 PENALTY = 4
 SMOOTHING = 0.5
 FOLDS, HELD_OUT_FOLD = 5, 1
-HEAD = 1 << 18
 SLOT_BITS = 25
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 LEAST_BUCKETS = 64
+SHARD_BYTES = 16 << 20  # of text that is scored at a time
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -192,110 +193,102 @@ def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
         state = contexts[k - 1].join(passed, "prefix").select("prefix", *(["suffix"] if k > 1 else []), F.ln("b").alias("ln_b"))
         states.append(stored(state, "tree-states"))
     states.reverse()
-    numbers = []
-    for order in range(1, depth + 2):
-        rows_of = levels[order - 1]
-        left = F.lit(0.0)
-        if order > 1:
-            at = states[order - 2].select("prefix", F.lit(True).alias("state"))
-            rows_of = rows_of.join(at, "prefix", "left")
-            left = F.when(F.col("state"), F.ln(F.col("p") / F.col("below")) - F.ln("b")).otherwise(F.lit(0.0))
-        own = F.ln((F.col("n") + SMOOTHING) / SMOOTHING) if order == 1 else F.lit(0.0)
+    numbers = [states[0].select(F.col("prefix").alias("hash"), F.col("ln_b").alias("number"))]
+    for order in range(2, depth + 2):
+        at = states[order - 2].select("prefix", F.lit(True).alias("state"))
+        kept = levels[order - 1].join(at, "prefix", "left")
+        number = F.when(F.col("state"), F.ln(F.col("p") / F.col("below")) - F.ln("b")).otherwise(F.lit(0.0))
         if order <= depth:
-            rows_of = rows_of.join(states[order - 1].select(F.col("prefix").alias("hash"), "ln_b"), "hash", "left")
-            left = left + F.coalesce("ln_b", F.lit(0.0))
-        number = rows_of.select("hash", "n", (left + own).alias("score"), own.alias("base"))
-        numbers.append(stored(number if order == 1 else number.where("score <> 0"), "tree-numbers"))
-    for done in (*levels[1:], *contexts, words):
+            kept = kept.join(states[order - 1].select(F.col("prefix").alias("hash"), "ln_b"), "hash", "left")
+            number = number + F.coalesce("ln_b", F.lit(0.0))
+        numbers.append(stored(kept.select("hash", number.alias("number")).where("number <> 0"), "tree-numbers"))
+    for done in (*levels[1:], *contexts):
         discard(done)
-    return {"total": total, "distinct": distinct, "unknown": math.log(SMOOTHING / mass), "numbers": numbers, "states": states}
+    return {"total": total, "distinct": distinct, "mass": mass, "bits": bits, "words": words, "numbers": numbers, "states": states}
 
 
 # ---- scoring ------------------------------------------------------------------
+WORDS, RUNS = 0, 1  # kinds of numbers: counts of words, and what runs add to a score
+
+
+def asked(texts: list[str | None], marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """What texts need to be scored, a kind at a time: the kind, the different
+    hashes in order and, per occurrence, the place of its hash and whose it is."""
+    words, owner = concatenated(texts)
+    keys, place = np.unique(words, return_inverse=True)
+    yield WORDS, keys, place, owner
+    every = [(words, owner), *((key, of) for key, _, _, of in runs(words, owner, len(marks)))]
+    kept = [marked(bits, key) for bits, (key, _) in zip(marks, every)]
+    keys, place = np.unique(np.concatenate([key[k] for k, (key, _) in zip(kept, every)]), return_inverse=True)
+    yield RUNS, keys, place, np.concatenate([of[k] for k, (_, of) in zip(kept, every)])
+
+
+def in_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted hashes, cut by their first bits."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    used, starts = np.unique(bucket, return_index=True)
+    for b, s, e in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        yield b, keys[s:e]
+
+
 def scored(rows: DataFrame, tree: dict) -> DataFrame:
     """(id, text) -> (id, n_tokens, n_known, base, score), natural logarithms; one
     row per row."""
-    spark = rows.sparkSession
-    heads, marks = [], []
-    for number in tree["numbers"]:
-        frequent = number.where(F.col("n") >= max(1.0, tree["total"] / HEAD)).orderBy("hash").toPandas()  # at most HEAD rows
-        heads.append((frequent["hash"].to_numpy(np.int64).view(np.uint64), frequent["score"].to_numpy(float), frequent["base"].to_numpy(float)))
-        marks.append(bitmap(number.select("hash")) if number is not tree["numbers"][0] else None)
-    heads = [tuple(x[np.argsort(h[0])] for x in h) for h in heads]
-    known = spark.sparkContext.broadcast((heads, marks))
-    id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, text_hash long, hash long, times int, own struct<tokens:long,known:long,base:double,score:double>"
-    pairs = pa.struct([("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, marks = known.value
-        for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                if not batch.num_rows:
-                    continue
-                texts = column(batch, "text").to_pylist()
-                names = np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"), t is None) for t in texts], np.uint64)
-                words, owner = concatenated(texts)
-                size = len(texts)
-                sums = {"known": np.zeros(size), "base": np.zeros(size), "score": np.zeros(size)}
-                rare, whose = [], []
-                every = [(words, owner), *((key, of) for key, _, _, of in runs(words, owner, len(heads)))]
-                for order, (key, of) in enumerate(every):
-                    if order:
-                        keep = marked(marks[order], key)
-                        key, of = key[keep], of[keep]
-                    hashes, score, base = heads[order]
-                    at = np.searchsorted(hashes, key)
-                    at[at == len(hashes)] = 0
-                    hit = hashes[at] == key if len(hashes) else np.zeros(len(key), bool)
-                    sums["score"] += np.bincount(of[hit], score[at[hit]], size)
-                    if not order:
-                        sums["base"] += np.bincount(of[hit], base[at[hit]], size)
-                        sums["known"] += np.bincount(of[hit], minlength=size)
-                    rare.append(key[~hit])
-                    whose.append(of[~hit])
-                rare, whose = np.concatenate(rare), np.concatenate(whose)
-                by = np.lexsort((rare, whose))
-                rare, whose = rare[by], whose[by]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (whose[1:] != whose[:-1])
-                starts = np.flatnonzero(new)
-                times = np.diff(np.append(starts, len(rare)))
-                # A row of sums per text, dealt by a number of its own, and a row per different rare run.
-                index = np.concatenate([np.arange(size), whose[starts]])
-                key = np.concatenate([mixed(names ^ (np.arange(size, dtype=np.uint64) * _LEFT)), rare[starts]])
-                own = pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate([x, np.zeros(len(starts), x.dtype)])) for x in
-                     (np.bincount(owner, minlength=size).astype(np.int64), sums["known"].astype(np.int64), sums["base"], sums["score"])],
-                    fields=list(pairs), mask=pa.array(index_mask(size, len(starts))))
-                yield pa.RecordBatch.from_arrays(
-                    [column(batch, "id").take(pa.array(index)), pa.array(names[index].view(np.int64)), pa.array(key.view(np.int64)),
-                     pa.array(np.concatenate([np.ones(size, np.int32), times.astype(np.int32)])), own],
-                    ["id", "text_hash", "hash", "times", "own"])
-
-    numbers = tree["numbers"]
-    table = numbers[0].select("hash", "score", "base", F.lit(1).alias("word"))
-    for number in numbers[1:]:
-        table = table.union(number.select("hash", "score", "base", F.lit(0)))
-    met = rows.mapInArrow(run, schema).join(table, "hash", "left")
-    mine = F.col("own").isNull()
-    summed = met.groupBy("id", "text_hash").agg(
-        F.sum("own.tokens").alias("n_tokens"),
-        F.sum(F.coalesce("own.known", F.when(mine, F.col("word") * F.col("times")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("own.base", F.when(mine, F.col("base") * F.col("times")), F.lit(0.0))).alias("base"),
-        F.sum(F.coalesce("own.score", F.when(mine, F.col("score") * F.col("times")), F.lit(0.0))).alias("score"),
-        F.count("own").alias("copies"))
-    # Rows that repeat an id and a text were added up, and are returned each.
-    each = summed.select("id", *[(F.col(c) / F.col("copies")).alias(c) for c in ("base", "score")],
-                         *[F.floor(F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known")],
-                         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    unknown = F.col("n_tokens") * F.lit(float(tree["unknown"]))
-    return each.select("id", "n_tokens", "n_known", (F.col("base") + unknown).alias("base"), (F.col("score") + unknown).alias("score"))
-
-
-def index_mask(own: int, rest: int) -> np.ndarray:
-    """Null for the rows after the first ``own``."""
-    return np.concatenate([np.zeros(own, bool), np.ones(rest, bool)])
+    spark, bits = rows.sparkSession, tree["bits"]
+    marks = spark.sparkContext.broadcast([bitmap(n.select("hash")) for n in tree["numbers"]])
+    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    shards = max(1, math.ceil(size / SHARD_BYTES))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        out = [(shard, kind, bucket, part.tobytes()) for kind, keys, _, _ in asked(table.column("text").to_pylist(), marks.value)
+               for bucket, part in in_buckets(keys, bits)]
+        return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                        names=["shard", "kind", "bucket", "keys"])
+
+    def answer(questions: pa.Table, numbers: pa.Table) -> pa.Table:
+        known = numbers.column("hash").to_numpy().view(np.uint64)
+        by = np.argsort(known)
+        known, number = known[by], numbers.column("number").to_numpy()[by]
+        out = []
+        for keys, kind in zip(questions.column("keys").to_pylist(), questions.column("kind").to_pylist()):
+            keys = np.frombuffer(keys, np.uint64)
+            found = np.zeros(len(keys))
+            if len(known):
+                at = np.searchsorted(known, keys)
+                at[at == len(known)] = 0
+                found = np.where(known[at] == keys, number[at], 0.0)
+            out.append((found.astype(np.int64) if kind == WORDS else found).tobytes())
+        return pa.table([*(questions.column(c) for c in ("shard", "kind", "bucket")), pa.array(out, pa.binary())], names=["shard", "kind", "bucket", "numbers"])
+
+    bucket = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits)).cast("int").alias("bucket")
+    table = tree["words"].select(F.lit(WORDS).alias("kind"), bucket, "hash", F.col("n").cast("double").alias("number"))
+    for n in tree["numbers"]:
+        table = table.union(n.select(F.lit(RUNS), bucket, "hash", "number"))
+    questions = dealt.groupBy("shard").applyInArrow(ask, "shard int, kind int, bucket int, keys binary")
+    answers = stored(questions.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(
+        answer, "shard int, kind int, bucket int, numbers binary"), "tree-answers")
+    mass, id_kind = tree["mass"], rows.schema["id"].dataType
+
+    def add(texts: pa.Table, numbers: pa.Table) -> pa.Table:
+        given = {(k, b): v for k, b, v in zip(*(numbers.column(c).to_pylist() for c in ("kind", "bucket", "numbers")))}
+        every, n = texts.column("text").to_pylist(), len(texts)
+        sums = {}
+        for kind, keys, place, owner in asked(every, marks.value):
+            got = b"".join(given[kind, b] for b, _ in in_buckets(keys, bits))
+            if kind == WORDS:
+                count = np.frombuffer(got, np.int64)
+                sums["n_tokens"] = np.bincount(owner, minlength=n)
+                sums["n_known"] = np.bincount(owner[count[place] > 0], minlength=n)
+                sums["base"] = np.bincount(owner, np.log((count + SMOOTHING) / mass)[place], n)
+            else:
+                sums["score"] = sums["base"] + np.bincount(owner, np.frombuffer(got, np.float64)[place], n)
+        return pa.table([texts.column("id"), *(pa.array(sums[c]) for c in ("n_tokens", "n_known", "base", "score"))],
+                        names=["id", "n_tokens", "n_known", "base", "score"])
+
+    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        add, f"id {id_kind.simpleString()}, n_tokens long, n_known long, base double, score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, penalty: float = PENALTY) -> DataFrame:

@@ -90,11 +90,11 @@ def test_tree_by_brute_force(spark, sf_small):
         assert sum(tree.p(w, s) for w in [*tree.words, "an unknown word"]) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("depth, penalty, head", [(3, 2, 1 << 18), (2, 2.5, 4), (1, 3, 1), (4, 2, 16)])
-def test_tree_edges(spark, edge, monkeypatch, depth, penalty, head):
-    """Most runs joined instead of broadcast, too."""
-    monkeypatch.setattr(suffixtree, "HEAD", head)
-    monkeypatch.setattr(suffixtree, "BATCH_BYTES", 64)
+@pytest.mark.parametrize("depth, penalty, size", [(3, 2, 1 << 20), (2, 2.5, 400), (1, 3, 50_000), (4, 2, 10_000)])
+def test_tree_edges(spark, edge, monkeypatch, depth, penalty, size):
+    """Small batches, buckets and shards, too."""
+    for name in ("BATCH_BYTES", "BUCKET_BYTES", "SHARD_BYTES"):
+        monkeypatch.setattr(suffixtree, name, size)
     got = suffixtree.score_texts(edge, depth=depth, penalty=penalty).collect()
     assert {len(s) for s in compare(TEXTS, got, depth, penalty).states} == set(range(1, min(depth, 3) + 1))
 
