@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from tandem.operators.model import TREE_ENCODINGS
 from tandem.plans.season import run_json_season
 from tandem.session import ENGINE_CONF
 
@@ -21,14 +22,15 @@ def main() -> None:
     ap.add_argument("--matches", help="match list JSON (array of objects with match_id)")
     ap.add_argument("--kinds", default="gbt,lr")
     ap.add_argument("--raw-ids", action="store_true", help="one-hot by raw id, as the original does")
-    ap.add_argument("--tree-encoding", default="categorical", choices=("categorical", "onehot"))
+    ap.add_argument("--tree-encoding", default="rates", choices=TREE_ENCODINGS)
+    ap.add_argument("--strict", action="store_true", help="report every ill-formed time, not only matches with several forms")
     args = ap.parse_args()
     builder = SparkSession.builder.appName("tandem")
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     out = run_json_season(spark, args.data_root, args.out_dir, args.matches, kinds=tuple(args.kinds.split(",")),
-                          index_ids=not args.raw_ids, tree_encoding=args.tree_encoding)
+                          index_ids=not args.raw_ids, tree_encoding=args.tree_encoding, strict=args.strict)
     print(json.dumps(out, indent=2))
 
 

@@ -1,29 +1,43 @@
 """Feature rows, classifiers for the four labels, and scoring.
 
-The encoders and the assembler are fitted once and shared by all eight
-classifiers (4 labels x {logistic regression, gradient-boosted trees}); every
-fit is Spark ML's distributed training (tree-aggregated statistics), and
-scoring is a projection, so the rows keep their partitioning.
+Categories become numbers by joins with encoding tables (``operators.encode``),
+so no dictionary passes through the driver. The join is the first stage of each
+label's pipeline (an SQL transformer that reads the tables from the model
+folder), so a saved pipeline scores raw feature rows by itself. Encoders and
+assemblers are fitted once and shared by all eight classifiers (4 labels x
+{logistic regression, gradient-boosted trees}); every fit is Spark ML's
+distributed training, and scoring is a projection.
+
+Logistic regression reads type, actor and side one-hot, x, y and time, as the
+original does; its width is the number of values. Trees read the label's rate of
+type, actor and side instead (``tree_encoding="rates"``): six numbers, whatever
+the number of actors; ``"onehot"`` gives them the vector of the original.
 """
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.config import Roles
 from tandem.functions.columns import positive_probability, time_number
-from tandem.operators import sequence
+from tandem.operators import encode, sequence
+from tandem.operators.quality import FINDING_COLUMNS
 from tandem.operators.value import PROBS
-from tandem.session import keep
+from tandem.run import current
 
 CATEGORICAL = ("type", "player_id", "team")
 NUMERIC = ("x_location", "y_location", "time")
+KINDS = ("gbt", "lr")
+FEATURES = "features"
+TREE_ENCODINGS = ("rates", "onehot")
 
 
 def feature_rows(labelled: DataFrame, roles: Roles) -> DataFrame:
@@ -38,72 +52,105 @@ def feature_rows(labelled: DataFrame, roles: Roles) -> DataFrame:
     return rows.select(*key, *categorical, *[c.alias(name) for name, c in zip(NUMERIC, numeric)], *labels, *layout)
 
 
-def feature_pipeline(index_ids: bool = True) -> Pipeline:
-    """One-hot type, actor and side, then assemble with x, y and time.
+def _missing(name: str):
+    return F.col(name).isNull() | F.isnan(F.col(name).cast("double"))
 
-    ``index_ids`` first maps each category to a dense index by frequency
-    (vector width = distinct values); without it raw ids are used as
-    indices (width = largest id + 1) and must be non-negative integers.
-    """
-    if index_ids:
-        idx = StringIndexer(inputCols=list(CATEGORICAL), outputCols=[f"{c}_idx" for c in CATEGORICAL],
-                            handleInvalid="keep")
-        enc_in, stages = [f"{c}_idx" for c in CATEGORICAL], [idx]
-    else:
-        enc_in, stages = list(CATEGORICAL), []
-    enc = OneHotEncoder(inputCols=enc_in, outputCols=[f"{c}_vec" for c in CATEGORICAL])
-    asm = VectorAssembler(inputCols=[f"{c}_vec" for c in CATEGORICAL] + list(NUMERIC),
-                          outputCol="features", handleInvalid="keep")
-    stages += [enc, asm]
-    if index_ids:
-        # Trees split on a categorical column directly: one column per
-        # category field (nominal metadata from the indexer) instead of one
-        # per distinct value, so the binned rows stay narrow.
-        stages.append(VectorAssembler(inputCols=enc_in + list(NUMERIC), outputCol=TREE_FEATURES,
-                                      handleInvalid="keep"))
-    return Pipeline(stages=stages)
+
+def complete_rows(features: DataFrame) -> DataFrame:
+    """The rows whose numbers are all there: what models are fitted on and can
+    score. The others are reported by ``incomplete_rows``."""
+    return features.where(~(_missing(NUMERIC[0]) | _missing(NUMERIC[1]) | _missing(NUMERIC[2])))
+
+
+def incomplete_rows(features: DataFrame) -> DataFrame:
+    """A finding per feature row that lacks x, y or time; its value names them."""
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(_missing(c), F.lit(c)) for c in NUMERIC])), ",")
+    found = features.select(F.col("match_id").cast("string").alias("match_id"), F.lit("incomplete_features").alias("check"),
+                            F.col("index").cast("long").alias("index"), lacking.alias("value"))
+    return found.where("value <> ''").select(*FINDING_COLUMNS)
+
+
+# ---- features -----------------------------------------------------------------
+def tree_features(label: str) -> str:
+    return f"{FEATURES}_{label}"
 
 
-TREE_FEATURES = "features_cat"
-MAX_BINS = 2048  # split candidates of trees on categorical columns, at any data size
+def encoding_step(folder: str, sizes: dict[str, int], prior: list[list[float]], roles: Roles) -> SQLTransformer:
+    """Rows with ``<category>_idx`` and ``<category>_rate_<label>``, joined from
+    the tables in ``folder``. A value that isn't in them, or null, has the number
+    of known values as its index and the rate of all events."""
+    first = f"conv(substring(md5(coalesce(CAST(t.match_id AS STRING), '')), 1, 8), 16, 10)"
+    fold = f"CAST(pmod(CAST({first} AS BIGINT), {len(prior)}) AS INT)"
+    nothing = "array(" + ", ".join("array(" + ", ".join(f"{r!r}D" for r in rates) + ")" for rates in prior) + ")"
+    cols, joins = [], []
+    for i, c in enumerate(CATEGORICAL):
+        cols.append(f"CAST(coalesce(e{i}.id, {sizes[c]}) AS DOUBLE) AS {c}_idx")
+        cols += [f"get(get(coalesce(e{i}.rates, {nothing}), {fold}), {j}) AS {c}_rate_{label}" for j, label in enumerate(roles.labels)]
+        joins.append(f"LEFT JOIN parquet.`{folder}/{c}` e{i} ON t.{c} = e{i}.value")
+    return SQLTransformer(statement=f"SELECT t.*, {', '.join(cols)} FROM __THIS__ t {' '.join(joins)}")
 
 
-def category_arity(prepared: DataFrame, column: str = TREE_FEATURES) -> int:
-    """Largest number of values of a nominal feature in an assembled vector."""
-    attrs = prepared.schema[column].metadata.get("ml_attr", {}).get("attrs", {})
-    sizes = [len(a.get("vals", [])) or a.get("num_vals", 0) for a in attrs.get("nominal", [])]
-    return max(sizes, default=0)
+def raw_step() -> SQLTransformer:
+    """Raw ids as one-hot indices, as in the original: they must be
+    non-negative whole numbers, and the vector is as wide as the largest."""
+    return SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}_idx" for c in CATEGORICAL) + " FROM __THIS__")
 
 
-TARGET_FEATURES = "features_rate"
-RATE_WEIGHT = 20  # events by which an actor's label rates lean to those of all
+@dataclass
+class Prepared:
+    """The shared feature stages and the rows they made."""
 
+    stages: dict  # name -> fitted stage
+    rows: DataFrame
 
-def with_rates(prepared: DataFrame, roles: Roles) -> DataFrame:
-    """The rows with ``TARGET_FEATURES``: type and side as categories, the actor
-    as a rate of each label over its events (a grouped aggregate), x, y and
-    time. Its width and bins don't depend on the number of actors."""
-    rates = [f"{label}_rate" for label in roles.labels]
-    of_all = prepared.agg(*[F.avg(label).alias(f"{label}_all") for label in roles.labels])
-    sums = prepared.groupBy("player_id").agg(F.count(F.lit(1)).alias("n_events"), *[F.sum(label).alias(f"{label}_sum") for label in roles.labels])
-    per_actor = sums.crossJoin(of_all).select("player_id", *[
-        ((F.col(f"{label}_sum") + RATE_WEIGHT * F.col(f"{label}_all")) / (F.col("n_events") + RATE_WEIGHT)).alias(rate)
-        for label, rate in zip(roles.labels, rates)])
-    rows = prepared.join(per_actor, "player_id")
-    if sequence.CHUNK in prepared.columns:  # the layout of the rows, which the join may have changed
-        rows = rows.repartition(sequence.layout_partitions(prepared.sparkSession), "match_id", sequence.CHUNK)
-    nominal = [f"{c}_idx" for c in CATEGORICAL if c != "player_id"]
-    asm = VectorAssembler(inputCols=nominal + rates + list(NUMERIC), outputCol=TARGET_FEATURES, handleInvalid="keep")
-    return asm.transform(rows).select(*prepared.columns, TARGET_FEATURES)
+    def of(self, features: str) -> list:
+        """The stages that lead to a feature column."""
+        lead = [self.stages["encoding"]]
+        if features == FEATURES:
+            lead.append(self.stages["onehot"])
+        return [*lead, self.stages[features]]
 
 
-def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
-               features: str = "features", max_bins: int = 32):
+def prepare(features: DataFrame, roles: Roles, folder: str, index_ids: bool = True) -> Prepared:
+    """Write the encoding tables to ``folder``, make the feature stages and
+    persist the rows they give, which belong to the current run. ``features``
+    should be written (it is read once per category and once for the rows).
+    ``index_ids=False`` uses raw ids as one-hot indices and makes no rates."""
+    rows = complete_rows(features)
+    stages: dict = {}
+    if index_ids:
+        prior = encode.priors(rows, roles)
+        sizes = {}
+        for c in CATEGORICAL:
+            encode.encodings(rows, c, roles, prior).write.mode("overwrite").parquet(f"{folder}/{c}")
+            sizes[c] = features.sparkSession.read.parquet(f"{folder}/{c}").count()
+        stages["encoding"] = encoding_step(folder, sizes, prior, roles)
+        for label in roles.labels:
+            inputs = [f"{c}_rate_{label}" for c in CATEGORICAL] + list(NUMERIC)
+            stages[tree_features(label)] = VectorAssembler(inputCols=inputs, outputCol=tree_features(label), handleInvalid="error")
+    else:
+        stages["encoding"] = raw_step()
+    coded = stages["encoding"].transform(rows)
+    # "keep" adds a column for values that come up later.
+    onehot = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL], outputCols=[f"{c}_vec" for c in CATEGORICAL],
+                           handleInvalid="keep" if index_ids else "error")
+    stages["onehot"] = onehot.fit(coded)
+    stages[FEATURES] = VectorAssembler(inputCols=[f"{c}_vec" for c in CATEGORICAL] + list(NUMERIC), outputCol=FEATURES, handleInvalid="error")
+    made = stages["onehot"].transform(coded)
+    for name, stage in stages.items():
+        if name not in ("encoding", "onehot"):
+            made = stage.transform(made)
+    made = made.select(*features.columns, *[n for n in stages if n not in ("encoding", "onehot")])
+    return Prepared(stages, current(features.sparkSession).keep(made))
+
+
+# ---- models -------------------------------------------------------------------
+def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42, features: str = FEATURES):
     cols = dict(labelCol=label, featuresCol=features, predictionCol=f"{label}_prediction")
     if kind == "lr":
         est = LogisticRegression(maxIter=max_iter, **cols)
     elif kind == "gbt":
-        est = GBTClassifier(maxIter=max_iter, seed=seed, maxBins=max_bins, **cols)
+        est = GBTClassifier(maxIter=max_iter, seed=seed, **cols)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     # output columns of a classification model, set after construction
@@ -112,92 +159,96 @@ def classifier(kind: str, label: str, max_iter: int = 10, seed: int = 42,
             .setRawPredictionCol(f"{label}_raw"))
 
 
-def estimators(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
-               tree_encoding: str = "categorical", max_bins: int = MAX_BINS) -> list:
-    """One unfitted classifier per label. Trees read the categorical columns
-    (``tree_encoding="categorical"``), the same one-hot vector as logistic
-    regression (``"onehot"``, the original encoding) or the actor's label rates
-    (``"rates"``, see ``with_rates``)."""
-    if tree_encoding not in ("categorical", "onehot", "rates"):
+def features_of(prepared: Prepared, kind: str, label: str, tree_encoding: str = "rates") -> str:
+    """The feature column that a model of a kind reads."""
+    if tree_encoding not in TREE_ENCODINGS:
         raise ValueError(f"tree encoding {tree_encoding!r}")
-    opts = {}
-    column = {"categorical": TREE_FEATURES, "rates": TARGET_FEATURES}.get(tree_encoding)
-    if kind == "gbt" and column in prepared.columns:
-        arity = category_arity(prepared, column)
-        if arity > max_bins:
-            raise ValueError(f"a category has {arity} values, more than max_bins={max_bins}: raise max_bins or use "
-                             "tree_encoding='onehot'")
-        opts = dict(features=column, max_bins=max_bins)
-    return [classifier(kind, label, max_iter, **opts) for label in roles.labels]
-
-
-def fit_all(prepared: DataFrame, roles: Roles, kinds: tuple = ("gbt", "lr"), max_iter: int = 10,
-            parallelism: int = 4, tree_encoding: str = "categorical", max_bins: int = MAX_BINS,
-            train_partitions: int | None = None) -> dict[str, list]:
-    """Every (kind, label) model, fitted on the assembled features.
+    own = tree_features(label)
+    return own if kind == "gbt" and tree_encoding == "rates" and own in prepared.stages else FEATURES
+
+
+def fit_all(prepared: Prepared, roles: Roles, kinds: tuple = KINDS, max_iter: int = 10, parallelism: int = 4,
+            tree_encoding: str = "rates", train_partitions: int | None = None, labels: tuple | None = None) -> dict[str, dict]:
+    """Every (kind, label) model, fitted on the prepared rows.
 
     The fits are independent, so up to ``parallelism`` of them are submitted
     at once from driver threads (as CrossValidator does); each fit is still
     an ordinary distributed Spark ML job, and small stages of one fit
-    overlap with those of another instead of leaving cores idle. Fits of
-    one kind are submitted before the next kind's.
+    overlap with those of another instead of leaving cores idle.
 
-    The fits read the frame as it is laid out, or in ``train_partitions``
+    The fits read the rows as they are laid out, or in ``train_partitions``
     partitions; tree models depend on the partitions, so no row or core count
     chooses them.
     """
-    todo = [(kind, est) for kind in kinds
-            for est in estimators(prepared, roles, kind, max_iter, tree_encoding, max_bins)]
-    workers = max(1, min(parallelism, len(todo)))
-    data = prepared.coalesce(train_partitions) if train_partitions else prepared
-    if workers == 1:
-        fitted = [est.fit(data) for _, est in todo]
-    else:
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            fitted = list(pool.map(lambda job: job[1].fit(data), todo))
-    out: dict[str, list] = {kind: [] for kind in kinds}
-    for (kind, _), model in zip(todo, fitted):
-        out[kind].append(model)
+    todo = [(kind, label, classifier(kind, label, max_iter, features=features_of(prepared, kind, label, tree_encoding)))
+            for kind in kinds for label in labels or roles.labels]
+    rows = prepared.rows.coalesce(train_partitions) if train_partitions else prepared.rows
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(todo)))) as pool:
+        fitted = list(pool.map(lambda job: job[2].fit(rows), todo))
+    out: dict[str, dict] = {kind: {} for kind in kinds}
+    for (kind, label, _), model in zip(todo, fitted):
+        out[kind][label] = model
     return out
 
 
-def fit_models(prepared: DataFrame, roles: Roles, kind: str, max_iter: int = 10,
-               parallelism: int = 4, tree_encoding: str = "categorical") -> list:
-    """One fitted classifier per label for one model kind."""
-    return fit_all(prepared, roles, (kind,), max_iter, parallelism, tree_encoding)[kind]
-
-
-def score(prepared: DataFrame, models: list, roles: Roles) -> DataFrame:
-    """Apply every label's model and keep the positive-class probabilities as
-    ``p_score, p_concede, p_keep, p_lose``."""
-    out = prepared
+def score(rows: DataFrame, models: list, roles: Roles) -> DataFrame:
+    """Apply every label's model to rows with features and keep the
+    positive-class probabilities as ``p_score, p_concede, p_keep, p_lose``."""
+    out = rows
     for model in models:
         out = model.transform(out)
-    keep = [sequence.CHUNK] if sequence.CHUNK in prepared.columns else []
-    return out.select(
+    return _probabilities(out, roles, rows.columns)
+
+
+def _probabilities(scored: DataFrame, roles: Roles, had: list[str]) -> DataFrame:
+    layout = [sequence.CHUNK] if sequence.CHUNK in had else []
+    return scored.select(
         F.col("match_id").alias(roles.match), F.col("index").alias(roles.index),
         F.col("player_id").alias(roles.player), F.col("player_name").alias(roles.player_name),
         F.col("team").alias(roles.team),
         *[positive_probability(F.col(f"{label}_probability")).alias(p) for label, p in zip(roles.labels, PROBS)],
-        *keep)
-
-
-def prepare(features: DataFrame, index_ids: bool = True, roles: Roles | None = None) -> tuple[PipelineModel, DataFrame]:
-    """Fit the shared feature pipeline once and persist the assembled rows:
-    every iteration of every fit reads them, and the classifiers then skip
-    caching a copy of their own. Unpersist once the scores are written. With
-    ``roles`` they have the actors' label rates too."""
-    prep_model = feature_pipeline(index_ids).fit(features)
-    prepared = prep_model.transform(features)
-    return prep_model, keep(with_rates(prepared, roles) if roles and index_ids else prepared)
-
-
-def train_and_score(features: DataFrame, roles: Roles, kind: str, index_ids: bool = True,
-                    max_iter: int = 10, tree_encoding: str = "categorical") -> tuple[PipelineModel, DataFrame, list, DataFrame]:
-    """Fit the shared feature pipeline once, fit one model per label, and
-    score the training rows themselves (as the original analytic does).
-    Returns the feature model, the persisted features, the label models and
-    the (lazy) scored rows."""
-    prep_model, prepared = prepare(features, index_ids, roles if kind == "gbt" and tree_encoding == "rates" else None)
-    models = fit_models(prepared, roles, kind, max_iter, tree_encoding=tree_encoding)
-    return prep_model, prepared, models, score(prepared, models, roles)
+        *layout)
+
+
+# ---- saved models -------------------------------------------------------------
+def pipeline(prepared: Prepared, model) -> PipelineModel:
+    """A label's stages from raw feature rows to the probability."""
+    return PipelineModel([*prepared.of(model.getFeaturesCol()), model])
+
+
+def save_models(prepared: Prepared, fitted: dict[str, dict], folder: str) -> DataFrame:
+    """One pipeline per (kind, label) under ``folder``, and a table of them in
+    ``folder/index``: kind, label, path, type and number of features and the
+    model's parameters. Returns that table."""
+    spark = prepared.rows.sparkSession
+    todo = [(kind, label, model, f"{folder}/{kind}/{label}") for kind, models in fitted.items() for label, model in models.items()]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for done in [pool.submit(pipeline(prepared, model).write().overwrite().save, path) for _, _, model, path in todo]:
+            done.result()
+    about = [(kind, label, path, model.getFeaturesCol(), int(model.numFeatures),
+              json.dumps({p.name: v for p, v in model.extractParamMap().items()}, default=str, sort_keys=True)) for kind, label, model, path in todo]
+    index = spark.createDataFrame(about, "kind string, label string, path string, features string, n_features int, parameters string")
+    index.coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
+    return spark.read.parquet(f"{folder}/index")
+
+
+def load_models(spark: SparkSession, folder: str, kind: str, roles: Roles) -> list[PipelineModel]:
+    """The saved pipelines of a kind, in the order of the labels."""
+    paths = {r["label"]: r["path"] for r in spark.read.parquet(f"{folder}/index").where(F.col("kind") == kind).collect()}
+    lacking = [label for label in roles.labels if label not in paths]
+    if lacking:
+        raise ValueError(f"no saved {kind} model for {lacking} in {folder}")
+    return [PipelineModel.load(paths[label]) for label in roles.labels]
+
+
+def score_saved(features: DataFrame, folder: str, kind: str, roles: Roles) -> DataFrame:
+    """Score raw feature rows with the saved pipelines of a kind. The stages
+    that all four share run once; rows without all numbers are left out."""
+    out, done = complete_rows(features), set()
+    for model in load_models(features.sparkSession, folder, kind, roles):
+        for stage in model.stages:
+            shared = stage.uid
+            if shared not in done:
+                out = stage.transform(out)
+                done.add(shared)
+    return _probabilities(out, roles, features.columns)

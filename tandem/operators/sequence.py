@@ -25,13 +25,13 @@ group (any ``order div width`` of a column monotone in the order qualifies).
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tandem.run import current
+
 CHUNK = "_chunk"
 SUPER = "_super"
 DEFAULT_FAN = 4096  # chunks per super-chunk in the two-level chunk tables
@@ -101,29 +101,12 @@ def _join_table(df: DataFrame, table: DataFrame, keys: Sequence[str],
 
 # --- two-level scans over a chunk table (one row per group and chunk) -------
 
-_SHARED: list[DataFrame] = []
-_SHARED_LOCK = threading.Lock()
-
-
 def _shared(table: DataFrame) -> DataFrame:
     """Persist a chunk table that feeds more than one branch of a plan (its
     chunk-level window and its super-chunk aggregate; the event rows and the
     look-ahead heads), so the event scan below it runs once. It holds one row
-    per (group, chunk), rows / width of them; lineage stays, so lost blocks
-    are recomputed. ``release_shared`` drops them at the end of a run."""
-    kept = table.persist(StorageLevel.MEMORY_AND_DISK)
-    with _SHARED_LOCK:
-        _SHARED.append(kept)
-    return kept
-
-
-def release_shared() -> None:
-    """Unpersist the chunk tables kept so far (end of a season run or of a
-    streaming epoch). Frames built earlier still work; they recompute."""
-    with _SHARED_LOCK:
-        kept, _SHARED[:] = list(_SHARED), []
-    for table in kept:
-        table.unpersist()
+    per (group, chunk), rows / width of them, and belongs to the current run."""
+    return current(table.sparkSession).keep(table)
 
 
 def _with_super(table: DataFrame, fan: int) -> DataFrame:

@@ -29,6 +29,29 @@ def join_probabilities(frames: list[DataFrame], roles: Roles) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys, "inner"), frames)
 
 
+def join_stored(frames: list[DataFrame], roles: Roles) -> DataFrame:
+    """The same join of frames that are stored bucketed on (match, chunk): each
+    bucket is joined where it lies, and the result is laid out for the lags.
+
+    Spark takes a partitioning by some of a join's keys only if
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is off, which is set for
+    the session: the buckets hold whole chunks of a match, which are of bounded
+    size, so none of them is hot."""
+    frames[0].sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return reduce(lambda a, b: a.join(b, [roles.match, sequence.CHUNK, roles.index], "inner"), frames)
+
+
+def unmatched_keys(frames: list[DataFrame], roles: Roles, names: list[str]) -> DataFrame:
+    """Events that some of the stored frames lack, which the inner join drops:
+    match, index and ``lacking``, the names of those frames. A report: only keys
+    and a bit per frame are shuffled."""
+    keys = [roles.match, sequence.CHUNK, roles.index]
+    marked = [f.select(*keys, F.lit(1 << i).alias("_in")) for i, f in enumerate(frames)]
+    found = reduce(DataFrame.union, marked).groupBy(*keys).agg(F.bit_or("_in").alias("_in"))
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(F.col("_in").bitwiseAND(F.lit(1 << i)) == 0, F.lit(n)) for i, n in enumerate(names)])), ",")
+    return found.where(F.col("_in") != (1 << len(frames)) - 1).select(roles.match, roles.index, lacking.alias("lacking"))
+
+
 def probability_lags(df: DataFrame, roles: Roles) -> DataFrame:
     """``prev_p_*``: the probabilities of the previous event in the match."""
     return sequence.lag_columns(df, [roles.match], roles.index,

@@ -160,6 +160,50 @@ _CTE = {
   WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.path = m.path)""",
 }
 
+# Events with faults by the day of the month, and what checks see in them.
+_CTE |= {
+    "seeded": """
+  SELECT event_id, match_id, index, x, y, substitute,
+    CASE WHEN d = 11 AND third THEN NULL ELSE type END AS type,
+    CASE WHEN d = 12 AND third THEN NULL ELSE player_id END AS player_id,
+    CASE WHEN d = 5 AND team = 1 THEN 7 ELSE team END AS team,
+    CASE WHEN d = 6 AND third THEN NULL ELSE possession_team END AS possession_team,
+    CASE WHEN d = 7 AND third THEN timestamp || 'Z' WHEN d = 8 AND third THEN NULL WHEN d = 9 THEN 'T' || timestamp
+         ELSE timestamp END AS timestamp
+  FROM (SELECT * REPLACE (CASE WHEN d = 10 AND third THEN NULL ELSE x END AS x)
+        FROM (SELECT *, CAST(substring(match_id, 9, 2) AS INTEGER) AS d, event_id % 3 = 0 AS third FROM bound))
+  WHERE (d <> 3 OR team = 1) AND (d <> 4 OR possession_team <> 1)""",
+    "seeded_values": """
+  SELECT match_id, 'sides' AS kind, CAST(team AS VARCHAR) AS v FROM seeded
+  UNION SELECT match_id, 'holders', CAST(possession_team AS VARCHAR) FROM seeded
+  UNION SELECT match_id, 'times', regexp_replace(timestamp, '[0-9:.]', '', 'g') FROM seeded""",
+    "seeded_status": """
+  SELECT match_id, kind, count(*) AS n_values, count(CASE WHEN v = '1' THEN 1 END) AS focus_count,
+         count(CASE WHEN v <> '' THEN 1 END) AS n_bad
+  FROM seeded_values GROUP BY ALL""",
+    "days": """
+  SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS match_id FROM orders
+  UNION SELECT CAST(CAST(ts AS DATE) AS VARCHAR) FROM events""",
+    "label_frames": """
+  SELECT *, index % 7 <> 1 AS a, index % 11 <> 1 AS b, index % 13 <> 1 AS c, index % 17 <> 1 AS d FROM probs""",
+    "folded": """
+  SELECT *, TRY_CAST('0x' || substring(md5(match_id), 1, 8) AS BIGINT) % 5 AS fold
+  FROM labelled WHERE player_id IS NOT NULL AND x IS NOT NULL AND NOT isnan(x) AND y IS NOT NULL
+    AND TRY_CAST(regexp_replace(timestamp, '[:.]', '', 'g') AS BIGINT) IS NOT NULL""",
+    "rates": """
+  SELECT player_id, f AS fold,
+    (s.g + 20 * p.g) / (s.n + 20) AS rate_label_goal, (s.c + 20 * p.c) / (s.n + 20) AS rate_label_concede,
+    (s.k + 20 * p.k) / (s.n + 20) AS rate_label_keep, (s.l + 20 * p.l) / (s.n + 20) AS rate_label_lose
+  FROM (SELECT player_id, f, CAST(count(CASE WHEN fold <> f THEN 1 END) AS DOUBLE) AS n,
+          CAST(coalesce(sum(CASE WHEN fold <> f THEN label_goal END), 0) AS DOUBLE) AS g,
+          CAST(coalesce(sum(CASE WHEN fold <> f THEN label_concede END), 0) AS DOUBLE) AS c,
+          CAST(coalesce(sum(CASE WHEN fold <> f THEN label_keep END), 0) AS DOUBLE) AS k,
+          CAST(coalesce(sum(CASE WHEN fold <> f THEN label_lose END), 0) AS DOUBLE) AS l
+        FROM folded, range(5) AS folds(f) GROUP BY ALL) s
+  JOIN (SELECT f, avg(label_goal) AS g, avg(label_concede) AS c, avg(label_keep) AS k, avg(label_lose) AS l
+        FROM folded, range(5) AS folds(f) WHERE fold <> f GROUP BY f) p USING (f)""",
+}
+
 _ORDER = list(_CTE)
 
 
@@ -174,7 +218,7 @@ EVENT_COLS = ("match_id, index, type, player_id, player_name, team, possession_t
               "timestamp, substitute")
 
 SQL: dict[str, str] = {
-    "parquet_scan": "SELECT event_id, user_id, event_type, value, props FROM events",
+    "parquet_scan": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props FROM events",
     "parquet_roundtrip": _with("bound") + f"SELECT {EVENT_COLS} FROM bound",
     "json_scan": _with("bound") + f"SELECT {EVENT_COLS} FROM bound",
     "manifest_paths": f"""
@@ -293,6 +337,56 @@ SELECT pair, season_modified, season_plain FROM totals
 ORDER BY season_modified DESC, pair ASC NULLS LAST LIMIT 20""",
 }
 
+_SOUND = ", ".join(f"TRUE AS {p}_in_range" for p in ("p_score", "p_concede", "p_keep", "p_lose"))
+
+SQL |= {
+    "json_multiline_scan": SQL["json_scan"],
+    "listed_events": SQL["json_scan"] + " WHERE substring(match_id, 9, 2) < '16'",
+    "rejected_files": _with("bound") + "SELECT DISTINCT match_id, TRUE AS is_broken, CAST(40 AS BIGINT) AS n_chars FROM bound",
+    "match_list_scan": "SELECT o_orderkey AS match_id FROM orders",
+    "lineup_scan": SQL["explode_roster"],
+    "match_status": _with("seeded_status", "days") + """
+SELECT match_id, kind, coalesce(n_values, 0) AS n_values, coalesce(focus_count, 0) AS focus_count, coalesce(n_bad, 0) AS n_bad
+FROM (SELECT * FROM days, (VALUES ('sides'), ('holders'), ('times')) AS kinds(kind)) LEFT JOIN seeded_status USING (match_id, kind)""",
+    "findings_seeded": _with("roster", "seeded_status") + """
+SELECT match_id, 'type_domain' AS "check", index, type AS value FROM seeded WHERE type NOT IN ('click', 'view', 'purchase')
+UNION ALL SELECT match_id, 'roster', index, CAST(player_id AS VARCHAR) FROM seeded s
+WHERE type <> 'view' AND player_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM roster r WHERE r.player_id = s.player_id)
+UNION ALL SELECT match_id, 'range_x', index, CAST(x AS VARCHAR) FROM seeded WHERE x < -1 OR x > 121
+UNION ALL SELECT match_id, 'range_y', index, CAST(y AS VARCHAR) FROM seeded WHERE y < -1 OR y > 81
+UNION ALL SELECT match_id, 'substitute', index, CAST(substitute AS VARCHAR) FROM seeded s
+WHERE substitute IS NOT NULL AND NOT EXISTS (SELECT 1 FROM roster r WHERE r.player_id = s.substitute)
+UNION ALL SELECT match_id, 'focus_in_' || kind, NULL, CAST(focus_count AS VARCHAR) FROM seeded_status WHERE kind <> 'times' AND focus_count <> 1
+UNION ALL SELECT match_id, 'two_' || kind, NULL, CAST(n_values AS VARCHAR) FROM seeded_status WHERE kind <> 'times' AND n_values <> 2
+UNION ALL SELECT match_id, 'time_format', NULL, CAST(n_values AS VARCHAR) FROM seeded_status WHERE kind = 'times' AND n_values <> 1
+UNION ALL SELECT match_id, 'time_strict', NULL, CAST(n_bad AS VARCHAR) FROM seeded_status WHERE kind = 'times' AND n_bad > 0""",
+    "half_markers": _with("flags", "days") + """
+SELECT match_id, min(CASE WHEN is_marker THEN index END) AS first_marker, count(CASE WHEN is_marker THEN 1 END) AS n_markers
+FROM days LEFT JOIN (SELECT *, type = 'signup' AND CAST(substring(timestamp, 1, 2) AS INTEGER) >= 12 AND index > 5 AS is_marker FROM bound)
+USING (match_id) GROUP BY match_id""",
+    "exempt_roster_check": _with("roster", "seeded") + """
+SELECT match_id, index, player_id FROM seeded s
+WHERE player_id IS NOT NULL AND type NOT IN ('view', 'error') AND NOT EXISTS (SELECT 1 FROM roster r WHERE r.player_id = s.player_id)""",
+    "seeded_feature_rows": _with("seeded") + "SELECT match_id, index, type FROM seeded WHERE player_id IS NOT NULL AND x IS NOT NULL",
+    "join_stored_predictions": _with("label_frames") + """
+SELECT match_id, index, player_id, player_name, team, p_score, p_concede, p_keep, p_lose FROM label_frames WHERE a AND b AND c AND d""",
+    "unmatched_predictions": _with("label_frames") + """
+SELECT match_id, index, concat_ws(',', CASE WHEN NOT a THEN 'p_score' END, CASE WHEN NOT b THEN 'p_concede' END,
+  CASE WHEN NOT c THEN 'p_keep' END, CASE WHEN NOT d THEN 'p_lose' END) AS lacking
+FROM label_frames WHERE NOT (a AND b AND c AND d) AND (a OR b OR c OR d)""",
+    "dense_actor_ids": "SELECT user_id AS player_id, row_number() OVER (ORDER BY user_id) - 1 AS dense_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)",
+    "label_rates": _with("rates") + """
+SELECT player_id, CAST(fold AS INTEGER) AS fold, rate_label_goal, rate_label_concede, rate_label_keep, rate_label_lose FROM rates""",
+    "encoded_rows": _with("rates") + """
+SELECT match_id, index, dense_rank() OVER (ORDER BY type) - 1 AS type_idx, dense_rank() OVER (ORDER BY player_id) - 1 AS player_id_idx,
+       dense_rank() OVER (ORDER BY team) - 1 AS team_idx, rate_label_goal AS actor_goal_rate
+FROM folded JOIN rates USING (player_id, fold)""",
+    "model_reload": _with("folded") + "SELECT match_id, index, kind, TRUE AS same FROM folded, (VALUES ('gbt'), ('lr')) AS kinds(kind)",
+    "positive_probability_rows": _with("folded") + """
+SELECT match_id, index, CAST(label_goal AS DOUBLE) AS label_goal, TRUE AS in_range, TRUE AS two_classes, TRUE AS sums_to_one FROM folded""",
+    **{f"score_{kind}_rows": _with("folded") + f"SELECT match_id, index, player_id, player_name, team, {_SOUND} FROM folded" for kind in ("lr", "gbt")},
+}
+
 # The chunk width doesn't change a result.
 SQL |= {f"{name}_narrow": SQL[name]
         for name in ("segment_by_marker", "next_k_any", "lag_probabilities", "lag_actor", "season_pair_totals")}

@@ -6,8 +6,9 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tandem.run import current
 
 # Settings every session of this engine wants: AQE re-plans joins and
 # partition counts from runtime sizes, splits skewed join partitions, and
@@ -52,12 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the checkpoint directory for intermediate tables."""
+    """A fresh folder under the checkpoint directory for intermediate tables;
+    it belongs to the current run."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a frame that feeds several actions (model fits); lineage stays,
-    so lost blocks are recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    current(spark).own_folder(path)
+    return path

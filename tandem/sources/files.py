@@ -90,6 +90,14 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
             .option("recursiveFileLookup", "true").load(path).select("path"))
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of the files under ``path``."""
+    about = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    each = F.xxhash64("path", "length", F.col("modificationTime").cast("string")).cast("decimal(38,0)")
+    n, total = about.select(each.alias("h")).agg(F.count(F.lit(1)), F.sum("h")).first()
+    return f"{path}:{n}:{total}"
+
+
 def nest_events(flat: DataFrame, roles: Roles) -> DataFrame:
     """Canonical flat events -> nested event records (the shape of the
     original event files), plus ``match_id``."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tandem.run import current
 from tandem.session import scratch_path
 
 
@@ -18,11 +20,20 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
-def write_single(df: DataFrame, path: str) -> None:
-    """One output file for a *small* result (a ranking, a summary): the
-    sorted partitions are concatenated in order by ``coalesce(1)``. Never
-    used for outputs that grow with the events."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+def save_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to a scratch folder of the current run and read it back:
+    lineage is cut, and its values can't change when a task runs again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_json_arrays(records: DataFrame, path: str, folders: list[str], value: str) -> None:
+    """Multi-line JSON files of one array each, a file for every value of the
+    ``folders`` columns (``folder=value/...``); ``value`` holds an array of
+    structs."""
+    text = F.to_json(value, {"pretty": "true"}).alias("value")
+    records.select(*folders, text).repartition(*folders).write.mode("overwrite").partitionBy(*folders).text(path)
 
 
 def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFrame:
@@ -42,21 +53,11 @@ def save_laid_out(df: DataFrame, keys: list[str], name: str = "laid") -> DataFra
     if n > most:
         raise ValueError(f"a layout of {n} partitions needs spark.sql.sources.bucketing.maxBuckets of {n} or more; it is {most}")
     table = f"tandem_{name}_{uuid.uuid4().hex[:12]}"
+    current(spark).own_table(table)
     (df.write.mode("overwrite").bucketBy(n, *keys)
      .option("path", scratch_path(spark, table)).saveAsTable(table))
     return spark.table(table)
 
 
-def drop_laid_out(df: DataFrame) -> None:
-    """Remove a table that ``save_laid_out`` wrote, files included."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        # scratch_path adds a suffix to the table's name
-        spark.sql(f"DROP TABLE IF EXISTS {folder.rsplit('/', 1)[1].rsplit('-', 1)[0]}")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)

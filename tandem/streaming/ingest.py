@@ -19,6 +19,7 @@ from tandem.config import REFERENCE_ROLES, Roles
 from tandem.operators import labels as lb
 from tandem.operators import quality as qa
 from tandem.operators import sequence
+from tandem.run import Run
 from tandem.sources import files
 from tandem.sources.schemas import EVENT_SCHEMA
 
@@ -37,8 +38,8 @@ def process_batch(nested: DataFrame, epoch: int, out_dir: str, roles: Roles,
     when a roster is given) under ``epoch=<n>``. The batch is persisted for
     the epoch: the chunk tables and the outputs all read it, and the JSON
     files are parsed once."""
-    flat = files.flatten_events(nested, roles).persist()
-    try:
+    with Run(nested.sparkSession) as run:
+        flat = run.keep(files.flatten_events(nested, roles))
         events = sequence.layout(flat, [roles.match], roles.index, roles.chunk_width)
         labelled = sequence.drop_layout(lb.labelled(events, roles))
         (labelled.write.mode("overwrite").partitionBy(roles.match)
@@ -46,9 +47,6 @@ def process_batch(nested: DataFrame, epoch: int, out_dir: str, roles: Roles,
         if roster is not None:
             qa.findings(events, roster, roles).write.mode("overwrite") \
               .parquet(f"{out_dir}/findings/epoch={epoch}")
-    finally:
-        sequence.release_shared()
-        flat.unpersist()
 
 
 def start_label_ingest(spark: SparkSession, events_dir: str, out_dir: str,

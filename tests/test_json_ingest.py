@@ -104,7 +104,8 @@ def test_whole_season_run(spark, season_dir, tmp_path):
     out = season.run_json_season(spark, str(season_dir), str(tmp_path / "out"), str(matches), R, max_iter=2)
     found = {(r.match_id, r.check) for r in spark.read.parquet(out["findings"]).collect()}
     assert ("303", "missing_events") in found and ("303", "missing_lineups") in found
-    assert ("202", "two_holders") in found
+    assert ("202", "two_holders") in found and ("202", "half_marker") in found and ("101", "half_marker") not in found
+    assert {("303", "half_marker"), ("303", "two_sides")} <= found
     assert spark.read.parquet(out["labelled"]).count() == 12
     for kind in ("gbt", "lr"):
         assert spark.read.parquet(out[f"predictions_{kind}"]).count() == 9  # rows with actor and place
@@ -134,6 +135,46 @@ def test_command_line(season_dir, tmp_path):
     assert (out / "models" / "lr" / "label_goal").exists()
 
 
+def test_unlisted_and_unreadable_files(spark, season_dir, tmp_path):
+    """Files that aren't listed are not opened; of the listed ones a missing file
+    is a finding, and so is one that can't be parsed."""
+    import shutil
+
+    root = tmp_path / "season"
+    shutil.copytree(season_dir, root)
+    (root / "events" / "999.json").write_text('[{"index": 1}, {"ind')
+    wanted = spark.createDataFrame([(101,), (202,), (303,)], "match_id long")
+    rows = {tuple(map(str, r)) for r in season.json_season(spark, str(season_dir / "events"), str(season_dir / "lineups"), R)[0].collect()}
+    events, roster, unreadable = season.json_season(spark, str(root / "events"), str(root / "lineups"), R, matches=wanted, rejects=True)
+    assert {tuple(map(str, r)) for r in events.collect()} == rows and unreadable.count() == 0 and roster.count() == 10
+    everything = season.json_season(spark, str(root / "events"), str(root / "lineups"), R, rejects=True)
+    assert {tuple(map(str, r)) for r in everything[0].collect()} == rows
+    assert [(r.match_id, r.check, r.value.split("/")[-1]) for r in everything[2].collect()] == [("999", "unreadable_events", "999.json")]
+
+
+def test_listed_reader(spark, tmp_path):
+    """Batches, odd names, empty files, wrong types, repeated and missing paths."""
+    from tandem.sources import listed
+    from tandem.sources.schemas import EVENT_SCHEMA
+
+    (tmp_path / "in").mkdir()
+    texts = {"1": '[{"index": 1}, {"index": 2}]', "2": '[{"index": 1}, {"ind', "3": '[{"index": 1}, {"index": "x"}]', "a+b [4]{c}": '[{"index": 4}]',
+             "5": "", "6": "[]", "7": "nonsense"}
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.json").write_text(text)
+    paths = listed.present(spark, str(tmp_path / "in"), "events")
+    gone = spark.createDataFrame([("x", "events", None)], paths.schema)
+    for size in (1, 3, 100):
+        got = listed.read_paths(spark, paths.union(paths).union(gone), EVENT_SCHEMA, "t", files_per_read=size)
+        assert sorted((r.match_id, r["index"]) for r in got.rows.collect()) == [("1", 1), ("1", 2), ("a+b [4]{c}", 4)]
+        assert {r.match_id for r in got.rejects.collect()} == {"2", "3", "7"}
+    assert [len(b) for b in listed.batches(paths.union(paths), 3)] == [3, 3]  # an empty file is listed by size
+    none = listed.read_paths(spark, paths.where("false"), EVENT_SCHEMA, "t")
+    assert none.rows.count() == none.rejects.count() == 0
+    (tmp_path / "list.json").write_text('[{"match_id": 5}, {"other": 1}]')
+    assert [r.match_id for r in listed.read_match_list(spark, str(tmp_path / "list.json")).rows.collect()] == [5]
+
+
 def test_match_list_selects_matches(spark, season_dir):
     only = spark.createDataFrame([(202,)], "match_id long")
     events, roster = season.json_season(spark, str(season_dir / "events"), str(season_dir / "lineups"), R,

@@ -1,66 +1,162 @@
-"""Models: checked by rows, columns and 0 <= p <= 1 (training output depends
-on partitioning, so values are not pinned), plus save and reload."""
+"""Models: property rows are compared with SQL (test_oracle.py); here encodings
+against brute force, many actors, incomplete rows, saved pipelines and folders."""
+
+import hashlib
 
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
 from tandem.config import TABLE_ROLES as R
+from tandem.operators import encode
 from tandem.operators import labels as lb
 from tandem.operators import model as ml
 from tandem.plans import season
 from tandem.plans.queries import all_queries
+from tandem.run import Run
+
+PROBS = ("p_score", "p_concede", "p_keep", "p_lose")
+FEATURE_SCHEMA = ("match_id string, index long, player_name string, type string, player_id long, team long, x_location double, y_location double, "
+                  "time long, label_goal double, label_concede double, label_keep double, label_lose double")
 
 
 @pytest.fixture(scope="module")
 def features(spark, sf_small):
-    return ml.feature_rows(lb.labelled(season.bound_events(spark, sf_small), R), R)
+    return season.feature_table(season.bound_events(spark, sf_small), R)
 
 
-@pytest.mark.parametrize("kind", ["lr", "gbt"])
-def test_scores_in_range(features, kind):
-    _, _, models, scored = ml.train_and_score(features, R, kind, max_iter=3)
-    assert len(models) == 4
-    rows = scored.agg(F.count("*").alias("n"),
-                      *[F.min(p).alias(f"lo_{p}") for p in ("p_score", "p_concede", "p_keep", "p_lose")],
-                      *[F.max(p).alias(f"hi_{p}") for p in ("p_score", "p_concede", "p_keep", "p_lose")]).first()
-    assert rows.n == features.count() == 1000
-    for p in ("p_score", "p_concede", "p_keep", "p_lose"):
-        assert 0.0 <= rows[f"lo_{p}"] <= rows[f"hi_{p}"] <= 1.0
+@pytest.fixture(scope="module")
+def prepared(features, tmp_path_factory):
+    return ml.prepare(features, R, str(tmp_path_factory.mktemp("encodings")))
 
 
-def test_raw_ids_as_indices(features):
+@pytest.fixture(scope="module")
+def many(spark):
+    """30,000 actors in 60 matches, more than any bin or dictionary holds."""
+    n = F.col("id")
+    flag = [(F.pmod(n * k, F.lit(7)) < 3).cast("double").alias(label) for k, label in zip((1, 3, 5, 11), R.labels)]
+    return spark.range(40_000).select(
+        F.concat(F.lit("m"), F.pmod(n, F.lit(60)).cast("string")).alias("match_id"), n.alias("index"),
+        F.concat(F.lit("p"), F.pmod(n, F.lit(30_000)).cast("string")).alias("player_name"),
+        F.concat(F.lit("t"), F.pmod(n, F.lit(40)).cast("string")).alias("type"), (F.pmod(n, F.lit(30_000)) * 1_000_003).alias("player_id"),
+        F.pmod(n, F.lit(2)).alias("team"), F.pmod(n, F.lit(120)).cast("double").alias("x_location"),
+        F.pmod(n * 7, F.lit(80)).cast("double").alias("y_location"), n.alias("time"), *flag)
+
+
+def _ranges(scored):
+    return scored.agg(F.count("*").alias("n"), *[f(p).alias(f"{f.__name__}_{p}") for p in PROBS for f in (F.min, F.max)]).first()
+
+
+@pytest.mark.parametrize("values", [[], [5], [None, 3, -7, 10**15], list(range(1000, 0, -3))])
+def test_dense_ids(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
+    got = {r.v: r.id for r in encode.dense_ids(df, "v").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(v for v in values if v is not None))}
+
+
+def test_rates_by_brute_force(spark, features):
+    """Each row's rate leaves its match's whole fold out."""
+    prior = encode.priors(features, R)
+    got = {r.value: (r.id, r.rates) for r in encode.encodings(features, "player_id", R, prior).collect()}
+    rows = features.collect()
+
+    def fold(match):
+        return int(hashlib.md5(match.encode()).hexdigest()[:8], 16) % encode.FOLDS
+
+    assert [got[v][0] for v in sorted(got)] == list(range(len(got)))
+    for f in range(encode.FOLDS):
+        rest = [r for r in rows if fold(r.match_id) != f]
+        for i, label in enumerate(R.labels):
+            overall = sum(r[label] for r in rest) / len(rest)
+            assert prior[f][i] == pytest.approx(overall)
+            for actor, (_, rates) in got.items():
+                own = [r[label] for r in rest if r.player_id == actor]
+                assert rates[f][i] == pytest.approx((sum(own) + encode.RATE_WEIGHT * overall) / (len(own) + encode.RATE_WEIGHT))
+
+
+def test_no_row_sees_its_own_label(spark, tmp_path):
+    """An actor's rate in a match doesn't change with the labels of that match."""
+    def rows(label):
+        return spark.createDataFrame([("a", 1, "p", "t", 1, 1, 1.0, 1.0, 1, label, 0.0, 0.0, 0.0), ("b", 1, "p", "t", 1, 1, 1.0, 1.0, 1, 1.0, 0.0, 0.0, 0.0),
+                                      ("c", 1, "p", "t", 1, 1, 1.0, 1.0, 1, 0.0, 1.0, 1.0, 1.0)], FEATURE_SCHEMA)
+
+    seen = []
+    for label in (0.0, 1.0):
+        made = ml.prepare(rows(label), R, str(tmp_path / str(label)))
+        seen.append(made.rows.where("match_id = 'a'").first()[ml.tree_features("label_goal")].toArray().tolist())
+    assert seen[0] == seen[1]
+
+
+def test_many_actors_in_all_kinds(spark, many, tmp_path):
+    """No size stops a fit, a save or a reload, and no indexer holds the actors."""
+    made = ml.prepare(many, R, str(tmp_path / "encodings"))
+    assert {type(s).__name__ for s in made.stages.values()} == {"SQLTransformer", "OneHotEncoderModel", "VectorAssembler"}
+    assert made.rows.first().features.size > 30_000 and made.rows.first()[ml.tree_features("label_goal")].size == 6
+    fitted = ml.fit_all(made, R, max_iter=1)
+    index = ml.save_models(made, fitted, str(tmp_path))
+    assert index.count() == 8
+    for kind in ml.KINDS:
+        got = _ranges(ml.score_saved(many, str(tmp_path), kind, R))
+        assert got.n == 40_000 and all(0 <= got[f"min_{p}"] <= got[f"max_{p}"] <= 1 for p in PROBS)
+    made.rows.unpersist()
+
+
+def test_raw_ids_as_indices(features, tmp_path):
     """Raw ids as one-hot indices (width = largest id + 1), as in the original
-    analytic; needs numeric categories, so the type is indexed first."""
-    from pyspark.ml.feature import StringIndexer
-
-    typed = StringIndexer(inputCol="type", outputCol="type_num").fit(features).transform(features)
-    typed = typed.drop("type").withColumnRenamed("type_num", "type")
-    prep = ml.feature_pipeline(index_ids=False).fit(typed).transform(typed)
-    width = prep.select("features").first()[0].size
-    max_player = typed.agg(F.max("player_id")).first()[0]
-    assert width >= max_player  # one slot per raw id (the last dropped)
-
-
-def test_save_and_reload(spark, features, tmp_path):
-    prep_model = ml.feature_pipeline().fit(features)
-    path = str(tmp_path / "features")
-    prep_model.write().overwrite().save(path)
-    again = PipelineModel.load(path)
-    prepared = again.transform(features)
-    model = ml.classifier("lr", "label_goal", 3).fit(prepared)
-    model.write().overwrite().save(str(tmp_path / "lr"))
-    loaded = LogisticRegressionModel.load(str(tmp_path / "lr"))
-    assert loaded.transform(prepared).count() == 1000
+    analytic; needs numeric categories."""
+    typed = features.withColumn("type", F.when(F.col("type") == "click", 3).when(F.col("type") == "view", 1).otherwise(0))
+    made = ml.prepare(typed, R, str(tmp_path), index_ids=False)
+    width = made.rows.first().features.size
+    assert width >= typed.agg(F.max("player_id")).first()[0]
+    fitted = ml.fit_all(made, R, max_iter=1, labels=("label_goal",))  # trees read the same vector
+    assert fitted["gbt"]["label_goal"].numFeatures == fitted["lr"]["label_goal"].numFeatures == width
+
+
+def test_tree_encodings(prepared):
+    one = ml.fit_all(prepared, R, ("gbt",), max_iter=1, tree_encoding="onehot", labels=("label_goal",))["gbt"]["label_goal"]
+    rates = ml.fit_all(prepared, R, ("gbt",), max_iter=1, labels=("label_goal",))["gbt"]["label_goal"]
+    assert one.numFeatures == prepared.rows.first().features.size and rates.numFeatures == 6
+    with pytest.raises(ValueError, match="tree encoding"):
+        ml.fit_all(prepared, R, ("gbt",), tree_encoding="categorical")
+
+
+def test_incomplete_rows_are_reported_not_fitted(spark, tmp_path):
+    rows = [("m", i, "p", "t", i % 3, i % 2, float(i), 2.0, i, float(i % 2), 0.0, 1.0, 0.0) for i in range(20)]
+    bad = [("m", 30, "p", "t", 1, 1, float("nan"), None, 5, 1.0, 0.0, 0.0, 0.0), ("m", 31, "p", "t", 1, 1, 1.0, 1.0, None, 1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows + bad, FEATURE_SCHEMA)
+    assert [tuple(r) for r in ml.incomplete_rows(df).orderBy("index").collect()] == [
+        ("m", "incomplete_features", 30, "x_location,y_location"), ("m", "incomplete_features", 31, "time")]
+    made = ml.prepare(df, R, str(tmp_path / "encodings"))
+    fitted = ml.fit_all(made, R, max_iter=1)
+    ml.save_models(made, fitted, str(tmp_path))
+    assert ml.score_saved(df, str(tmp_path), "lr", R).count() == 20
+
+
+def test_saved_pipeline_scores_raw_rows_and_new_values(spark, features, prepared, tmp_path):
+    """One reloaded pipeline per label takes feature rows as they come, also of
+    actors, types and matches that training has not seen."""
+    fitted = ml.fit_all(prepared, R, max_iter=2)
+    index = {(r.kind, r.label): r for r in ml.save_models(prepared, fitted, str(tmp_path)).collect()}
+    assert set(index) == {(k, label) for k in ml.KINDS for label in R.labels}
+    assert index["gbt", "label_goal"].n_features == 6 and '"maxIter": 2' in index["lr", "label_lose"].parameters
+    new = spark.createDataFrame([("new", 1, "p", "new type", -5, 1, 1.0, 2.0, 3, 0.0, 0.0, 0.0, 0.0), ("new", 2, None, None, None, None, 1.0, 2.0, 3, 0.0, 0.0, 0.0, 0.0)],
+                                FEATURE_SCHEMA)
+    for (kind, label), r in index.items():
+        loaded = PipelineModel.load(r.path)
+        assert loaded.transform(features).select("match_id", "index", f"{label}_probability").count() == features.count()
+        assert loaded.transform(new).count() == 2
+    with pytest.raises(ValueError, match="no saved"):
+        ml.load_models(spark, str(tmp_path), "other", R)
 
 
 def test_prediction_step_writes(spark, sf_small, tmp_path):
     out = season.prediction_step(spark, sf_small, str(tmp_path), kinds=("lr",))
     pred = spark.read.parquet(out["lr"])
-    assert pred.count() == 1000
-    assert {"p_score", "p_concede", "p_keep", "p_lose"} <= set(pred.columns)
+    assert pred.count() == 1000 and "_chunk" not in pred.columns
+    assert set(PROBS) <= set(pred.columns)
     assert (tmp_path / "models" / "lr" / "label_lose").exists()
+    again = season.score_step(spark, str(tmp_path / "models"), "lr", season.bound_events(spark, sf_small))
+    assert again.join(pred, ["match_id", "index"]).where(F.abs(again.p_keep - pred.p_keep) < 1e-12).count() == 1000
 
 
 def test_model_pair_ranking_rows(spark, sf_small):
@@ -68,31 +164,31 @@ def test_model_pair_ranking_rows(spark, sf_small):
     assert ranked.count() == 22  # same pairs as with stand-in probabilities
 
 
-def test_bins_do_not_follow_the_data(spark, monkeypatch):
-    df = spark.createDataFrame([(1.0,)], [ml.TREE_FEATURES])
-    for arity in (3, 1500):
-        monkeypatch.setattr(ml, "category_arity", lambda *_: arity)
-        assert {e.getMaxBins() for e in ml.estimators(df, R, "gbt")} == {ml.MAX_BINS}
-    with pytest.raises(ValueError, match="max_bins"):
-        ml.estimators(df, R, "gbt", max_bins=32)
-
-
-
-def test_gbt_onehot_encoding(features):
-    _, prepared = ml.prepare(features)
-    onehot = ml.fit_models(prepared, R, "gbt", max_iter=2, tree_encoding="onehot")
-    cat = ml.fit_models(prepared, R, "gbt", max_iter=2)
-    width = prepared.select("features").first()[0].size
-    assert onehot[0].numFeatures == width
-    assert cat[0].numFeatures == 6  # type, actor, side, x, y, time
-    prepared.unpersist()
-
-
-def test_gbt_queries_take_any_number_of_actors(spark, sf_small, monkeypatch):
-    """More actors than a tree may have bins for a category."""
-    actors = ml.feature_rows(lb.labelled(season.bound_events(spark, sf_small), R), R).select("player_id").distinct().count()
-    monkeypatch.setattr(ml, "MAX_BINS", 12)
-    monkeypatch.setattr(ml.estimators, "__defaults__", (10, "categorical", 12))
-    monkeypatch.setattr(ml.fit_all, "__defaults__", (("gbt", "lr"), 2, 4, "categorical", 12, None))
-    assert actors > ml.MAX_BINS
-    assert all_queries()["score_gbt"](spark, sf_small).count() == 1000
+def test_stored_predictions_join_without_exchange(spark, sf_small):
+    """Four frames stored one by one, with other keys each, no broadcast."""
+    from tandem.operators import value as vl
+    from tandem.plans import queries as q
+    from tests.test_sequence import _row_exchanges
+
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        frames = q._label_frames(spark, sf_small)
+        joined = vl.join_stored(frames, R)
+        plan = joined._jdf.queryExecution().executedPlan().treeString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 3
+        pairs = season.pair_totals(joined, R)._jdf.queryExecution().executedPlan().treeString()
+        assert _row_exchanges(pairs) == []  # laid out for the lags, too
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
+def test_labels_are_computed_once(spark, sf_small, tmp_path):
+    """Fits and scores read the written feature table, not the label plan."""
+    with Run(spark):
+        table = season.feature_table(season.bound_events(spark, sf_small), R)
+        made = ml.prepare(table, R, str(tmp_path))
+        plan = made.rows._jdf.queryExecution().analyzed().toString() + table._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan

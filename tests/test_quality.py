@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tandem.config import REFERENCE_ROLES as R
 from tandem.operators import quality as qa
 from tandem.sources import manifest as mf
+from tandem.sources.sinks import save_scratch
 
 SCHEMA = ("match_id string, index long, type long, player_id long, player_name string, team long, "
           "possession_team long, x double, y double, timestamp string, substitute long")
@@ -86,6 +87,40 @@ def test_findings_frame(frames):
     assert summary["focus_in_sides"] == 2 and summary["type_domain"] == 1
 
 
+def test_two_scans(frames):
+    """All findings read the events twice: once by row, once by match."""
+    events, roster, matches = frames
+    saved = save_scratch(events, "events")
+    plan = qa.findings(saved, roster, R, matches=matches)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") == 2
+
+
+def test_strict_times(spark):
+    rows = [("same", i, 30, 1, "p1", 217 if i else 99, 217 if i else 99, 1.0, 1.0, "T00:00:01.000", None) for i in range(2)]
+    rows += [("fine", i, 30, 1, "p1", 217 if i else 99, 217 if i else 99, 1.0, 1.0, "00:00:01.000", None) for i in range(2)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    roster = spark.createDataFrame([(m, 1) for m in ("same", "fine")], "match_id string, player_id long")
+    assert qa.findings(events, roster, R).count() == 0  # one wrong form throughout passes, as in the original
+    assert [tuple(r) for r in qa.findings(events, roster, R, strict=True).collect()] == [("same", "time_strict", None, "1")]
+
+
+def test_half_markers(spark):
+    rows = [("two", 7, 18), ("two", 9, 18), ("early", 3, 18), ("early", 9, 30), ("none", 9, 30)]
+    events = spark.createDataFrame(rows, "match_id string, index long, type long")
+    matches = spark.createDataFrame([(m,) for m in ("two", "early", "none", "absent")], "match_id string")
+    found = qa.half_markers(events, R, matches)
+    assert {tuple(r) for r in found.collect()} == {("two", 7, 2), ("early", None, 0), ("none", None, 0), ("absent", None, 0)}
+    assert {r.match_id for r in qa.marker_findings(found).collect()} == {"early", "none", "absent"}
+    assert {(r.match_id, r.value) for r in qa.marker_findings(found, most=1).collect()} >= {("two", "2")}
+
+
+def test_findings_of_extreme_keys(spark):
+    """A roster key is never mistaken for the key of a row that needs none."""
+    events = spark.createDataFrame([("m", i, 99, None, None, 217 if i else 9, 217 if i else 9, 1.0, 1.0, "00:00:01.000", None) for i in range(3)], SCHEMA)
+    keys = events.select(F.xxhash64(F.lit("m"), F.col("index"), F.lit("type_domain")).alias("player_id"))
+    assert qa.findings(events, keys, R).where("check = 'type_domain'").count() == 3
+
+
 def test_null_type_is_no_domain_finding(spark):
     df = spark.createDataFrame([("m", 1, None)], "match_id string, index long, type long")
     assert qa.invalid_types(df, R).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tandem.operators import sequence as S
+from tandem.run import Run
 from tandem.sources.sinks import save_laid_out
 
 
@@ -160,13 +161,13 @@ def test_shared_chunk_tables_released(data):
     """Chunk tables feeding two branches are persisted while a run builds on
     them; release drops them and frames built before still compute the same
     rows (they recompute)."""
-    S.release_shared()
+    run = Run(data.sparkSession).__enter__()
     ours = _ours(data, 5, 2).select(COLS)
     before = sorted(map(tuple, ours.collect()), key=str)
-    kept = list(S._SHARED)
+    kept = list(run.frames)
     assert kept and all(t.storageLevel.useMemory for t in kept)
-    S.release_shared()
-    assert not S._SHARED and all(not t.storageLevel.useMemory for t in kept)
+    run.__exit__()
+    assert not run.frames and all(not t.storageLevel.useMemory for t in kept)
     assert sorted(map(tuple, ours.collect()), key=str) == before
     assert before == sorted(map(tuple, _brute(data).select(COLS).collect()), key=str)
 
@@ -192,7 +193,6 @@ def test_season_flows_shuffle_no_event_rows_without_broadcast(spark, sf_small):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        S.release_shared()
 
 
 def test_layout_beyond_the_bucket_limit_names_the_setting(spark):
