@@ -76,6 +76,35 @@ def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_of(order, width))
 
 
+CELLS = 16  # per chunk of a long group: what chunk bounds are counted in
+
+
+def chunk_by_position(df: DataFrame, group: Sequence[str], order: str, width: int, cells: int = CELLS,
+                      fan: int = DEFAULT_FAN) -> DataFrame:
+    """Add the chunk column from row counts, for an order key that says nothing
+    of a row's position: ids of interleaved groups, or with gaps. A group of at
+    most ``width`` rows is one chunk. The range of a longer one is cut into equal
+    cells, ``cells`` times as many as its rows need chunks; rows before a cell are
+    counted, and a chunk is the cells that begin within the next ``width`` rows.
+    So a chunk holds at most ``width`` rows and one cell more.
+
+    Groups that are cut, at most rows / width of them, and their cells are
+    written, so that their size is known when the rows meet them."""
+    from tandem.sources.sinks import save_scratch
+
+    group = list(group)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    parts = cells * F.ceil(F.col("_n") / width)
+    long = save_scratch(sizes.where(F.col("_n") > width).select(*group, "_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts)).cast("long").alias("_wide")), "long-groups")
+    if long.isEmpty():
+        return df.withColumn(CHUNK, F.lit(0).cast("long"))
+    placed = df.join(long, group, "left").withColumn("_cell", F.expr(f"coalesce((`{order}` - _lo) div _wide, 0)"))
+    counts = placed.where(F.col("_lo").isNotNull()).groupBy(*group, F.col("_cell").alias(CHUNK)).agg(F.count(F.lit(1)).alias("_n"))
+    before = _exclusive_sum(counts, group, "_n", "_off", fan)
+    bounds = save_scratch(before.select(*group, F.col(CHUNK).alias("_cell"), F.expr(f"_off div {int(width)}").alias(CHUNK)), "chunk-bounds")
+    return placed.join(bounds, [*group, "_cell"], "left").select(*df.columns, F.coalesce(CHUNK, F.lit(0)).cast("long").alias(CHUNK))
+
+
 def _join_table(df: DataFrame, table: DataFrame, keys: Sequence[str],
                 also: Sequence[str] = ()) -> DataFrame:
     """Left-join a chunk table on (group, chunk).
@@ -163,11 +192,16 @@ def _group_min(table: DataFrame, group: list, col: str, out: str, fan: int) -> D
 
 
 def row_numbers(df: DataFrame, group: Sequence[str], order: str, out: str,
-                width: int, fan: int = DEFAULT_FAN) -> DataFrame:
-    """``row_number() over (partition by group order by order)``, 1-based."""
+                width: int, fan: int = DEFAULT_FAN, by_position: bool = False) -> DataFrame:
+    """``row_number() over (partition by group order by order)``, 1-based.
+    ``by_position`` takes the chunks from row counts (``chunk_by_position``)."""
     group = list(group)
-    ld = layout(df, group, order, width)
     keys = group + [CHUNK]
+    if by_position:
+        df = chunk_by_position(df, group, order, width, fan=fan)
+        ld = df.repartition(layout_partitions(df.sparkSession), *keys)
+    else:
+        ld = layout(df, group, order, width)
     counts = _chunked(df, order, width).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     offsets = _exclusive_sum(counts, group, "_n", "_off", fan)
     local = Window.partitionBy(*keys).orderBy(order)

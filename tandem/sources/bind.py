@@ -54,15 +54,16 @@ RAW_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 
 def bind_events(events: DataFrame, roles: Roles = TABLE_ROLES) -> DataFrame:
     """Canonical event rows with ``index`` = row number in the match by
-    ``event_id``, laid out by (match, event_id chunk) for the sequence
-    operators that follow (the chunk is monotone in ``index`` too).
+    ``event_id``, laid out by (match, chunk) for the sequence operators that
+    follow. Ids run through all matches, so chunk bounds come from row counts;
+    a chunk is monotone in ``index`` too.
 
     Only the raw columns cross the layout shuffle (they are narrower than
     the derived ones); JSON parsing, time text and names are computed after
     it, in parallel over the (match, chunk) partitions.
     """
     raw = events.select(*RAW_COLUMNS, F.to_date("ts").cast("string").alias(roles.match))
-    indexed = sequence.row_numbers(raw, [roles.match], "event_id", roles.index, roles.chunk_width)
+    indexed = sequence.row_numbers(raw, [roles.match], "event_id", roles.index, roles.chunk_width, by_position=True)
     return event_roles(indexed, roles)
 
 

@@ -202,3 +202,34 @@ def test_layout_beyond_the_bucket_limit_names_the_setting(spark):
             save_laid_out(spark.range(3), ["id"])
     finally:
         spark.conf.unset("spark.tandem.layout.partitions")
+
+
+@pytest.mark.parametrize("width, fan", [(64, 4096), (10, 2), (1, 3)])
+def test_chunks_by_position(spark, width, fan):
+    """Interleaved, sparse and clustered ids: chunks are monotone in the order,
+    of bounded size, and row numbers equal the plain window's."""
+    n = F.col("id")
+    rows = spark.range(4000).select(F.when(n < 1500, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.pmod(n, F.lit(300)).cast("string"))).alias("g"),
+                                    F.when(n % 5 == 0, n * 1000).otherwise(n + 10_000_000).alias("o"))
+    got = S.row_numbers(rows, ["g"], "o", "rn", width, fan, by_position=True)
+    want = rows.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long"))
+    assert sorted(map(tuple, got.select("g", "o", "rn").collect())) == sorted(map(tuple, want.collect()))
+    chunks = got.groupBy("g", S.CHUNK).agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("a"), F.max("rn").alias("b")).collect()
+    assert all(r.b - r.a + 1 == r.n for r in chunks)  # whole stretches of the order
+    if width == 64:
+        assert {r.n for r in chunks if r.g != "hot"} <= set(range(1, 65)) and len([r for r in chunks if r.g != "hot"]) == 300
+
+
+def test_interleaved_matches_make_small_chunk_tables(spark):
+    """5,000 matches with interleaved ids: a chunk per match, not one per match
+    and stretch of ids."""
+    rows = spark.range(60_000).select((F.pmod("id", F.lit(5000))).cast("string").alias("g"), F.col("id").alias("o"))
+    assert S.layout(rows, ["g"], "o", 1000).select("g", S.CHUNK).distinct().count() > 50_000
+    assert S.chunk_by_position(rows, ["g"], "o", 1000).select("g", S.CHUNK).distinct().count() == 5000
+    one = rows.where("g = '7'").withColumn("o", F.col("o") * F.col("o"))
+    assert S.chunk_by_position(one, ["g"], "o", 5).groupBy(S.CHUNK).count().agg(F.max("count")).first()[0] <= 7
+
+
+def test_chunks_of_nothing(spark):
+    none = spark.createDataFrame([], "g string, o long")
+    assert S.row_numbers(none, ["g"], "o", "rn", 5, by_position=True).count() == 0
