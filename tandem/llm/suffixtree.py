@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ SLOT_BITS = 25
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 LEAST_BUCKETS = 64
-SHARD_BYTES = 16 << 20  # of text that is scored at a time
+SHARD_BYTES = 6 << 20  # of text that is scored at a time
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -75,7 +76,7 @@ def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
 def concatenated(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, one after the other, and whose they are."""
     parts = [tokens(t) for t in texts]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
 
 
 def runs(words: np.ndarray, owner: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -217,10 +218,14 @@ def asked(texts: list[str | None], marks: list[np.ndarray]) -> Iterator[tuple[in
     words, owner = concatenated(texts)
     keys, place = np.unique(words, return_inverse=True)
     yield WORDS, keys, place, owner
-    every = [(words, owner), *((key, of) for key, _, _, of in runs(words, owner, len(marks)))]
-    kept = [marked(bits, key) for bits, (key, _) in zip(marks, every)]
-    keys, place = np.unique(np.concatenate([key[k] for k, (key, _) in zip(kept, every)]), return_inverse=True)
-    yield RUNS, keys, place, np.concatenate([of[k] for k, (_, of) in zip(kept, every)])
+    del keys, place
+    kept, whose = [], []
+    for bits, (key, of) in zip(marks, chain([(words, owner)], ((key, of) for key, _, _, of in runs(words, owner, len(marks))))):
+        known = marked(bits, key)
+        kept.append(key[known])
+        whose.append(of[known])
+    keys, place = np.unique(np.concatenate(kept), return_inverse=True)
+    yield RUNS, keys, place, np.concatenate(whose)
 
 
 def in_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
