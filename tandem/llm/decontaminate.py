@@ -92,8 +92,9 @@ class Search:
         places: set[int] = set()
         found: set[str] = set()
         for g in self.groups:
+            first = counted = 0  # words before a place; places come in order
             for at, p in g.find(data):
-                first = data.count(b" ", 0, at)
+                first, counted = first + data.count(b" ", counted, at), at
                 places.update(range(first, first + p.count(b" ") - 1))
                 found.update(self.items[p])
         return places, found

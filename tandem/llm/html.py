@@ -25,7 +25,7 @@ from tandem.llm.common import column, slices
 
 SAMPLE_PAGES = 400
 SAMPLE_CHARS = 20_000
-STRONG_WORDS = 4
+ANCESTORS = 64  # nearest open tags whose names, classes, ids and roles are features of a block
 STEPS = 250
 BATCH_BYTES = 4 << 20
 BLOCK_TAGS = frozenset(
@@ -54,7 +54,8 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.open: Counter = Counter()
+        self.open: Counter = Counter()  # tags
+        self.marks: list[str] | None = None
         self.blocks: list[Block] = []
         self.text: list[str] = []
         self.linked = 0
@@ -63,17 +64,21 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             parent = next((t for t, _ in reversed(self.stack) if t in BLOCK_TAGS), "")
-            self.blocks.append(Block(text, parent, sorted(k for k, n in self.open.items() if n), self.linked))
+            if self.marks is None:  # blocks of the same ancestors share them
+                self.marks = sorted({m for _, marks in self.stack[-ANCESTORS:] for m in marks})
+            self.blocks.append(Block(text, parent, self.marks, self.linked))
         self.text, self.linked = [], 0
 
     def _push(self, tag: str, attrs) -> None:
         marks = tuple([f"tag {tag}"] + [f"{k} {w}" for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split()[:8]])
         self.stack.append((tag, marks))
-        self.open.update(marks)
+        self.open[tag] += 1
+        self.marks = None
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            self.open.subtract(self.stack.pop()[1])
+            self.open[self.stack.pop()[0]] -= 1
+        self.marks = None
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS:
@@ -94,14 +99,13 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
-        if self.open.get(f"tag {tag}"):
-            at = max(i for i, (t, _) in enumerate(self.stack) if t == tag)
-            self._pop_to(at)
+        if self.open.get(tag):
+            self._pop_to(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data):
-        if not any(self.open.get(f"tag {t}") for t in HIDDEN_TAGS):
+        if not any(self.open.get(t) for t in HIDDEN_TAGS):
             self.text.append(data)
-            if self.open.get("tag a"):
+            if self.open.get("a"):
                 self.linked += len(data)
 
 
@@ -217,24 +221,26 @@ def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, decay:
 
 
 def labels_by_text(blocks: list[Block], article: str) -> list[int] | None:
-    """1 for blocks that lie in the known article text, between the first and
-    the last such block of some words, and for shorter blocks before and after
-    as long as they continue the article; None if there is no such block."""
-    whole = f" {' '.join(article.split())} "
-    inside = [f" {b.text} " in whole for b in blocks]
-    strong = [i for i, b in enumerate(blocks) if inside[i] and len(b.text.split()) >= STRONG_WORDS]
-    if not strong:
+    """1 for the blocks that make up the known article, in order and without
+    overlap, 0 for the others: a title that holds the article's first words is
+    none of it where a later block holds them too. None if no blocks make up the
+    whole of it. Of several ways one of the fewest blocks is taken, of these the one
+    that skips the fewest blocks in between, of these the latest."""
+    whole = f"{' '.join(article.split())} "
+    reached: dict[int, tuple] = {0: (0, 0, 0, None)}  # end of a part -> number of its blocks, skipped ones, minus the last one's place, the way
+    for i, b in enumerate(blocks):
+        for at in [at for at in reached if whole.startswith(f"{b.text} ", at)]:
+            n, skipped, _, way = reached[at]
+            new = (n + 1, skipped + (i - way[0] - 1 if way else 0), -i, (i, way))
+            end = at + len(b.text) + 1
+            if end not in reached or new[:3] < reached[end][:3]:
+                reached[end] = new
+    if len(whole) < 2 or len(whole) not in reached:
         return None
-    first, last = strong[0], strong[-1]
-    at = whole.index(f" {blocks[first].text} ")
-    while first and whole[:at + 1].endswith(f" {blocks[first - 1].text} "):
-        first -= 1
-        at -= len(blocks[first].text) + 1
-    at = whole.rindex(f" {blocks[last].text} ") + len(blocks[last].text) + 1
-    while last + 1 < len(blocks) and whole.startswith(f" {blocks[last + 1].text} ", at):
-        last += 1
-        at += len(blocks[last].text) + 1
-    return [int(inside[i] and first <= i <= last) for i in range(len(blocks))]
+    out, last = [0] * len(blocks), reached[len(whole)][3]
+    while last:
+        out[last[0]], last = 1, last[1]
+    return out
 
 
 # ---- on Spark ---------------------------------------------------------------

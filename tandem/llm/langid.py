@@ -13,12 +13,12 @@ tasks that score all documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +35,7 @@ BATCH_BLOCKS = 192
 BATCH_BYTES = 2 << 20
 SCORED_BLOCKS = 2048
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]").search
+LETTER = regex.compile(r"\p{L}").search
 _LETTER_BYTE = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in range(256)])
 
 

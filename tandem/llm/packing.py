@@ -49,7 +49,8 @@ class WordEncoder:
     new word of the tokenizer, so a text cut before such spaces gives the ids
     of the whole. Words are merged by the ranks once, many in one call, and
     then looked up; the cache is emptied when it holds ``CACHED_WORDS`` words.
-    Texts with other spaces go to the tokenizer whole.
+    Texts with other spaces, or that spell a token added to the vocabulary, go
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -61,7 +62,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A text that spells one of the vocabulary's own tokens gets that token's id.
+        self.has_own_token = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
         with open(ranks, "rb") as lines:
             order = {base64.b64decode(token): int(i) for token, i in map(bytes.split, lines)}
         self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=order,
@@ -85,7 +87,7 @@ class WordEncoder:
             self.known.clear()
         out, found, lacking, other = [b""] * len(texts), {}, set(), []
         for i, text in enumerate(texts):
-            if text and OTHER_SPACE(text):
+            if text and (OTHER_SPACE(text) or self.has_own_token(text)):
                 other.append(i)
             elif text:
                 head, *rest = text.split(" ")

@@ -55,6 +55,14 @@ def test_language_accuracy_and_edges(spark, docs, nothing):
     assert langid.identify(nothing).count() == 0
 
 
+def test_letters_are_category_l(spark):
+    """Fractions, powers and circled digits are no letters."""
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), per_lang=20)
+    rows = [(1, "½ ²³ ① Ⅷ 12"), (2, "_-_ ٣"), (3, "½ a"), (4, "ªº"), (5, "日"), (6, "é")]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert {d for d, lang in got.items() if lang == langid.UNDETERMINED} == {1, 2}
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     cell = {"x": rng.normal(size=(6, 256)).astype("f4"), "u": rng.normal(size=(6, 2)).astype("f4"), "b": rng.normal(size=(2, 1)).astype("f4")}
@@ -221,6 +229,43 @@ def test_blocks_and_extraction(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(frame.withColumn("text", F.lit("clash")), model).collect()}
     assert got[1] == (pages[0][1], len(pages[0][1])) and got[2] == got[None] == ("", 0)
     assert html.extract(frame.limit(0), model).count() == 0
+    twice = html.extract(frame.union(frame), model)
+    assert twice.count() == 8 and twice.distinct().count() == 4
+
+
+def test_labels_tile_the_article():
+    """A title and a heading with the article's first words are none of it."""
+    page = ("<title>One two three four</title><h1>One two three four</h1><nav>five six</nav>"
+            "<p>One two three four five six.</p><aside>seven</aside><p>seven</p><p>eight nine ten eleven</p><footer>eight nine ten eleven</footer>")
+    blocks = html.blocks_of(page)
+    assert html.labels_by_text(blocks, "One two three four five six. seven eight nine ten eleven") == [0, 0, 0, 1, 1, 0, 1, 0]
+    assert html.labels_by_text(blocks, "One two three four") == [0, 1, 0, 0, 0, 0, 0, 0]
+    assert html.labels_by_text(blocks, "One two three four and more") is None and html.labels_by_text(blocks, "") is None
+
+
+def test_extraction_equals_the_articles(spark):
+    """Pages that the field was not trained on, against the documents they show."""
+    pages, documents = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "documents"))
+    seen = {h for h, _ in html.sample(pages, documents)}
+    texts = {r.doc_id: " ".join(r.text.split()) for r in documents.select("doc_id", "text").where("text IS NOT NULL").collect()}
+    got = html.extract(pages, html.fit(pages, documents)).join(pages.select("page_id", "html"), "page_id").collect()
+    rows = [(re.search(r"/(\d+)(?:[/?#.]|$)", r.url or ""), r) for r in got if r.html not in seen]
+    known = [texts[int(m[1])] == r.text for m, r in rows if m and int(m[1]) in texts]
+    assert len(known) > 1000 and np.mean(known) >= 0.99
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        blocks = html.blocks_of(page)
+        return time.process_time() - began, len(blocks)
+
+    for make in (lambda n: "".join(f"<div id=i{i} class='c{i} d'>t{i}" for i in range(n)), lambda n: "<div>x" * n, lambda n: "<p id=a>t" * n,
+                 lambda n: "<b>" * n + "<div>x</div>" * n):
+        small, large = (min(seconds(make(n)) for _ in range(2)) for n in (2000, 16000))
+        assert large[1] == 8 * small[1] and large[0] < 24 * small[0] + 0.2
 
 
 def test_viterbi_is_the_best_path():
@@ -242,8 +287,7 @@ def test_word_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_file())
-    tokenizer.encode_special_tokens = True
-    texts = [t or "" for _, t in TEXTS] + ["a  b", " a", "a ", "a\n \nb", "<|endoftext|> x", "it's  I'll", "½ x²", "a\x1c b"]
+    texts = [t or "" for _, t in TEXTS] + ["a  b", " a", "a ", "a\n \nb", "<|endoftext|> x", "x<|endoftext|>y <|endoftext|", "<|endoftext|>", "it's  I'll", "½ x²", "a\x1c b"]
     got = packing.WordEncoder(packing.tokenizer_file(), packing.tokenizer_file("byte_bpe_50k.tiktoken")).encode(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -436,6 +480,23 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_decontamination_of_long_texts_takes_linear_time():
+    import time
+
+    item = " ".join(f"w{i}" for i in range(40))
+    search = decontaminate.Search([("i", decontaminate.words_of(item))], 10)
+
+    def seconds(n):
+        words = decontaminate.words_of(" ".join([item] * n))
+        began = time.process_time()
+        places, found = search.hits(words)
+        assert len(places) == 40 * n and found == {"i"}
+        return time.process_time() - began
+
+    small, large = (min(seconds(n) for _ in range(2)) for n in (500, 4000))
+    assert large < 24 * small + 0.2
+
+
 def test_simhash_by_brute_force(spark, docs, nothing):
     rows = TEXTS + [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text").collect()]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("fp", F.lit(1))
