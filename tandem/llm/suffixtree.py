@@ -51,7 +51,7 @@ SLOT_BITS = 25
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 LEAST_BUCKETS = 64
-SHARD_BYTES = 6 << 20  # of text that is scored at a time
+SHARD_BYTES = 10 << 20  # of text that is scored at a time
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -272,8 +272,8 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
     for n in tree["numbers"]:
         table = table.union(n.select(F.lit(RUNS), bucket, "hash", "number"))
     questions = dealt.groupBy("shard").applyInArrow(ask, "shard int, kind int, bucket int, keys binary")
-    answers = stored(questions.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(
-        answer, "shard int, kind int, bucket int, numbers binary"), "tree-answers")
+    answers = questions.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(
+        answer, "shard int, kind int, bucket int, numbers binary")
     mass, id_kind = tree["mass"], rows.schema["id"].dataType
 
     def add(texts: pa.Table, numbers: pa.Table) -> pa.Table:
