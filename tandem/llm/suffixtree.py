@@ -32,11 +32,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +51,10 @@ SLOT_BITS = 25
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 LEAST_BUCKETS = 64
-SHARD_BYTES = 10 << 20  # of text that is scored at a time
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has white space
+SHARD_BYTES = 6 << 20  # of text that is scored at a time
+ROUNDS = 3
+PIECE_BITS = 18
+END = np.uint64(0xE7037ED1A0B428DB)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,10 +64,65 @@ def held_out(id_col: str) -> Column:
 
 
 # ---- runs of words ------------------------------------------------------------
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words, then the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), END)
+# A word's hash is a polynomial in its bytes' random numbers, modulo 2^64: the
+# difference of two prefix sums, so that a whole piece of text is hashed at once.
+_BASE = np.uint64(0x9E3779B97F4A7C13)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
+_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@cache
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        p = np.full(1 << bits, base)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return tuple(out)
+
+
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in the bytes and where they start; a word ends at
+    white space and where a text begins."""
+    n = len(data)
+    space = _SPACES[data]
+    border = np.zeros(n + 1, bool)  # before a byte
+    border[begins] = border[n] = True
+    border[1:] |= space
+    border[:-1] |= space
+    starts, ends = np.flatnonzero(~space & border[:-1]), np.flatnonzero(~space & border[1:]) + 1
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        # A piece of whole words, about 2^PIECE_BITS bytes.
+        at = int(starts[done])
+        upto = max(done + 1, int(np.searchsorted(ends, at + (1 << PIECE_BITS), "right")))
+        size = int(ends[upto - 1]) - at
+        up, down = powers(max(PIECE_BITS, size.bit_length()))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTES[data[at:at + size]] * up[:size], out=sums[1:])
+        s, e = starts[done:upto] - at, ends[done:upto] - at
+        out[done:upto] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _RIGHT
+        done = upto
+    return mixed(out), starts
+
+
+def concatenated(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, words and an end for each, one after the
+    other, and whose they are; a null text is an empty one."""
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    bounds -= bounds[0]
+    words, starts = word_hashes(data, bounds[:-1])
+    owner = np.searchsorted(bounds, starts, "right") - 1
+    out = np.full(len(words) + len(texts), END)
+    out[np.arange(len(words)) + owner] = words
+    return out, np.repeat(np.arange(len(texts), dtype=np.int32), np.bincount(owner, minlength=len(texts)) + 1)
 
 
 def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -73,12 +130,6 @@ def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mixed(prefix * _LEFT + (suffix ^ (suffix >> np.uint64(29))) * _RIGHT)
 
 
-def concatenated(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, one after the other, and whose they are."""
-    parts = [tokens(t) for t in texts]
-    return np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-
-
 def runs(words: np.ndarray, owner: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, prefix, suffix, owner) of all runs of 2 to ``order`` words."""
     now = words
@@ -120,7 +171,7 @@ def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeat
             for batch in slices(whole, "text", BATCH_BYTES):
                 if not batch.num_rows:
                     continue
-                words, owner = concatenated(column(batch, "text").to_pylist())
+                words, owner = concatenated(column(batch, "text"))
                 if single:
                     keys, n = np.unique(words, return_counts=True)
                     cols = [keys]
@@ -212,7 +263,7 @@ def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
 WORDS, RUNS = 0, 1  # kinds of numbers: counts of words, and what runs add to a score
 
 
-def asked(texts: list[str | None], marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def asked(texts: pa.Array, marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """What texts need to be scored, a kind at a time: the kind, the different
     hashes in order and, per occurrence, the place of its hash and whose it is."""
     words, owner = concatenated(texts)
@@ -228,6 +279,10 @@ def asked(texts: list[str | None], marks: list[np.ndarray]) -> Iterator[tuple[in
     yield RUNS, keys, place, np.concatenate(whose)
 
 
+def whole(chunks: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(chunks.chunks) if chunks.num_chunks else pa.array([], pa.string())
+
+
 def in_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted hashes, cut by their first bits."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -247,7 +302,7 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out = [(shard, kind, bucket, part.tobytes()) for kind, keys, _, _ in asked(table.column("text").to_pylist(), marks.value)
+        out = [(shard, kind, bucket, part.tobytes()) for kind, keys, _, _ in asked(whole(table.column("text")), marks.value)
                for bucket, part in in_buckets(keys, bits)]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                         names=["shard", "kind", "bucket", "keys"])
@@ -271,14 +326,11 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
     table = tree["words"].select(F.lit(WORDS).alias("kind"), bucket, "hash", F.col("n").cast("double").alias("number"))
     for n in tree["numbers"]:
         table = table.union(n.select(F.lit(RUNS), bucket, "hash", "number"))
-    questions = dealt.groupBy("shard").applyInArrow(ask, "shard int, kind int, bucket int, keys binary")
-    answers = questions.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(
-        answer, "shard int, kind int, bucket int, numbers binary")
     mass, id_kind = tree["mass"], rows.schema["id"].dataType
 
     def add(texts: pa.Table, numbers: pa.Table) -> pa.Table:
         given = {(k, b): v for k, b, v in zip(*(numbers.column(c).to_pylist() for c in ("kind", "bucket", "numbers")))}
-        every, n = texts.column("text").to_pylist(), len(texts)
+        every, n = whole(texts.column("text")), len(texts)
         sums = {}
         for kind, keys, place, owner in asked(every, marks.value):
             got = b"".join(given[kind, b] for b, _ in in_buckets(keys, bits))
@@ -292,8 +344,16 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
         return pa.table([texts.column("id"), *(pa.array(sums[c]) for c in ("n_tokens", "n_known", "base", "score"))],
                         names=["id", "n_tokens", "n_known", "base", "score"])
 
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
-        add, f"id {id_kind.simpleString()}, n_tokens long, n_known long, base double, score double")
+    done = []
+    for part in range(ROUNDS):  # one after the other, so that only a part of the keys is on disk
+        texts = dealt.where(F.pmod("shard", F.lit(ROUNDS)) == part)
+        questions = texts.groupBy("shard").applyInArrow(ask, "shard int, kind int, bucket int, keys binary")
+        answers = questions.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(
+            answer, "shard int, kind int, bucket int, numbers binary")
+        scores = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+            add, f"id {id_kind.simpleString()}, n_tokens long, n_known long, base double, score double")
+        done.append(stored(scores, "tree-scores"))
+    return reduce(DataFrame.union, done)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, penalty: float = PENALTY) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tandem.llm import queries, spelling, suffixtree, whitening
@@ -95,10 +96,26 @@ def test_tree_edges(spark, edge, monkeypatch, depth, penalty, size):
     """Small batches, buckets and shards, too."""
     for name in ("BATCH_BYTES", "BUCKET_BYTES", "SHARD_BYTES"):
         monkeypatch.setattr(suffixtree, name, size)
+    monkeypatch.setattr(suffixtree, "PIECE_BITS", size.bit_length() // 3)
     got = suffixtree.score_texts(edge, depth=depth, penalty=penalty).collect()
     assert {len(s) for s in compare(TEXTS, got, depth, penalty).states} == set(range(1, min(depth, 3) + 1))
 
 
+def test_word_hashes():
+    """Equal words, and only those, have equal hashes, wherever they lie."""
+    rng = np.random.default_rng(2)
+    letters = ["a", "b", "B", "é", "日", "\u00a0", " ", "\n", "\t\x0b\x0c\r", "x" * 300]
+    texts = [None, "", " ", *("".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(3000)), "w" * (3 << 18) + " end", ""]
+    array = pa.array(["cut off", *texts])[1:]
+    hashes, owner = suffixtree.concatenated(array)
+    words = [w for t in texts for w in folded(t)]
+    assert owner.tolist() == [i for i, t in enumerate(texts) for _ in folded(t)]
+    by_word = {}
+    for w, h in zip(words, hashes.tolist()):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word) > 1000
+
+
 def test_tree_of_nothing(spark):
     assert suffixtree.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
