@@ -52,7 +52,7 @@ BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20  # of text, for the number of buckets
 LEAST_BUCKETS = 64
 SHARD_BYTES = 6 << 20  # of text that is scored at a time
-ROUNDS = 3
+ROUNDS = 6
 PIECE_BITS = 18
 END = np.uint64(0xE7037ED1A0B428DB)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -307,10 +307,15 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                         names=["shard", "kind", "bucket", "keys"])
 
-    def answer(questions: pa.Table, numbers: pa.Table) -> pa.Table:
+    def pack(numbers: pa.Table) -> pa.Table:
+        """A bucket's hashes in order, and their numbers, as one row."""
         known = numbers.column("hash").to_numpy().view(np.uint64)
         by = np.argsort(known)
-        known, number = known[by], numbers.column("number").to_numpy()[by]
+        return pa.table([*(numbers.column(c)[:1] for c in ("kind", "bucket")), pa.array([known[by].tobytes()], pa.binary()),
+                         pa.array([numbers.column("number").to_numpy()[by].tobytes()], pa.binary())], names=["kind", "bucket", "hashes", "numbers"])
+
+    def answer(questions: pa.Table, numbers: pa.Table) -> pa.Table:
+        known, number = (np.frombuffer(b"".join(numbers.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("numbers", np.float64)))
         out = []
         for keys, kind in zip(questions.column("keys").to_pylist(), questions.column("kind").to_pylist()):
             keys = np.frombuffer(keys, np.uint64)
@@ -326,6 +331,7 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
     table = tree["words"].select(F.lit(WORDS).alias("kind"), bucket, "hash", F.col("n").cast("double").alias("number"))
     for n in tree["numbers"]:
         table = table.union(n.select(F.lit(RUNS), bucket, "hash", "number"))
+    table = stored(table.groupBy("kind", "bucket").applyInArrow(pack, "kind int, bucket int, hashes binary, numbers binary"), "tree-buckets")
     mass, id_kind = tree["mass"], rows.schema["id"].dataType
 
     def add(texts: pa.Table, numbers: pa.Table) -> pa.Table:
