@@ -15,6 +15,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,12 @@ class WordEncoder:
         return out
 
 
+@cache
+def worker_encoder(path: str, ranks: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path, ranks)
+
+
 def piece_bounds(n: int, limit: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, a shorter one first."""
     if n <= limit:
@@ -123,7 +130,7 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, ran
     end = np.array([SEPARATOR_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, ranks)
+        encoder = worker_encoder(path, ranks)
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
