@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -120,10 +121,15 @@ def prepare(features: DataFrame, roles: Roles, folder: str, index_ids: bool = Tr
     stages: dict = {}
     if index_ids:
         prior = encode.priors(rows, roles)
-        sizes = {}
-        for c in CATEGORICAL:
+
+        def encoded(c: str) -> int:
             encode.encodings(rows, c, roles, prior).write.mode("overwrite").parquet(f"{folder}/{c}")
-            sizes[c] = features.sparkSession.read.parquet(f"{folder}/{c}").count()
+            return features.sparkSession.read.parquet(f"{folder}/{c}").count()
+
+        # Small jobs that don't wait for each other; the threads see the current run.
+        with ThreadPoolExecutor(max_workers=len(CATEGORICAL)) as pool:
+            jobs = {c: pool.submit(copy_context().run, encoded, c) for c in CATEGORICAL}
+            sizes = {c: job.result() for c, job in jobs.items()}
         stages["encoding"] = encoding_step(folder, sizes, prior, roles)
         for label in roles.labels:
             inputs = [f"{c}_rate_{label}" for c in CATEGORICAL] + list(NUMERIC)
