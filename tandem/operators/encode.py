@@ -69,12 +69,20 @@ def without_fold(column: str, fold: int, folds: int = FOLDS) -> Column:
     return total
 
 
+def totals(rows: DataFrame, roles: Roles, folds: int = FOLDS) -> dict[str, list[float]]:
+    """``n`` and the sums of the labels over all rows, by fold."""
+    sums = label_sums(rows, [], roles, folds).first()
+    return {name: [x or 0.0 for x in sums[name]] for name in ("n", *roles.labels)}
+
+
 def priors(rows: DataFrame, roles: Roles, folds: int = FOLDS) -> list[list[float]]:
     """Rates of all events outside each fold: ``folds`` lists of one rate per label."""
-    sums = label_sums(rows, [], roles, folds).first()
-    if sums is None or sums["n"][0] is None:
-        return [[NO_RATE] * len(roles.labels) for _ in range(folds)]
-    out = []
+    return rates_outside(totals(rows, roles, folds), roles)
+
+
+def rates_outside(sums: dict[str, list[float]], roles: Roles) -> list[list[float]]:
+    """``priors`` from the totals."""
+    folds, out = len(sums["n"]), []
     for fold in range(folds):
         kept = [f for f in range(folds) if f != fold]
         n = sum(sums["n"][f] for f in kept)

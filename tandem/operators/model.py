@@ -21,6 +21,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextvars import copy_context
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
@@ -39,6 +40,9 @@ NUMERIC = ("x_location", "y_location", "time")
 KINDS = ("gbt", "lr")
 FEATURES = "features"
 TREE_ENCODINGS = ("rates", "onehot")
+TRAIN_PARTITIONS = 32  # of the prepared rows, fewer if the layout has fewer
+PARTITION_ROWS = 1_000_000  # more partitions only for more rows than that in each
+FIT_BYTES = {"gbt": 210, "lr": 110}  # that a fit keeps in memory of a row: tree points, predictions; blocks
 
 
 def feature_rows(labelled: DataFrame, roles: Roles) -> DataFrame:
@@ -103,6 +107,8 @@ class Prepared:
 
     stages: dict  # name -> fitted stage
     rows: DataFrame
+    n_rows: int
+    coded: DataFrame  # the persisted numbers that the rows are made of
 
     def of(self, features: str) -> list:
         """The stages that lead to a feature column."""
@@ -112,15 +118,29 @@ class Prepared:
         return [*lead, self.stages[features]]
 
 
+def dealt(coded: DataFrame, n_rows: int) -> DataFrame:
+    """Rows in even partitions in a fixed order. An iteration of a fit runs a
+    task and, with one-hot vectors, sums as many numbers as there are values per
+    partition, so partitions must not grow in number with the values."""
+    n = max(min(TRAIN_PARTITIONS, sequence.layout_partitions(coded.sparkSession)), -(-n_rows // PARTITION_ROWS))
+    return coded.repartition(n, "match_id", "index").sortWithinPartitions("match_id", "index")
+
+
 def prepare(features: DataFrame, roles: Roles, folder: str, index_ids: bool = True) -> Prepared:
     """Write the encoding tables to ``folder``, make the feature stages and
-    persist the rows they give, which belong to the current run. ``features``
-    should be written (it is read once per category and once for the rows).
-    ``index_ids=False`` uses raw ids as one-hot indices and makes no rates."""
+    persist the encoded numbers of the rows, which belong to the current run, on
+    disk: fits cache what they iterate over themselves, and the vectors are made
+    of the numbers as they are read. The numbers are dealt evenly by match and
+    index, whatever the layout and the join with the encodings made of the rows;
+    ``dealt`` sets the number of partitions, by rows and not by cores.
+    ``features`` should be written (it is read once per category and twice for
+    the rows). ``index_ids=False`` uses raw ids as one-hot indices and makes no
+    rates."""
     rows = complete_rows(features)
     stages: dict = {}
+    totals = encode.totals(rows, roles)
     if index_ids:
-        prior = encode.priors(rows, roles)
+        prior = encode.rates_outside(totals, roles)
 
         def encoded(c: str) -> int:
             encode.encodings(rows, c, roles, prior).write.mode("overwrite").parquet(f"{folder}/{c}")
@@ -136,7 +156,9 @@ def prepare(features: DataFrame, roles: Roles, folder: str, index_ids: bool = Tr
             stages[tree_features(label)] = VectorAssembler(inputCols=inputs, outputCol=tree_features(label), handleInvalid="error")
     else:
         stages["encoding"] = raw_step()
-    coded = stages["encoding"].transform(rows)
+    n_rows = int(sum(totals["n"]))
+    coded = current(features.sparkSession).keep(dealt(stages["encoding"].transform(rows), n_rows), StorageLevel.DISK_ONLY)
+    coded.count()  # made once, before fits ask for it side by side
     # "keep" adds a column for values that come up later.
     onehot = OneHotEncoder(inputCols=[f"{c}_idx" for c in CATEGORICAL], outputCols=[f"{c}_vec" for c in CATEGORICAL],
                            handleInvalid="keep" if index_ids else "error")
@@ -147,7 +169,7 @@ def prepare(features: DataFrame, roles: Roles, folder: str, index_ids: bool = Tr
         if name not in ("encoding", "onehot"):
             made = stage.transform(made)
     made = made.select(*features.columns, *[n for n in stages if n not in ("encoding", "onehot")])
-    return Prepared(stages, current(features.sparkSession).keep(made))
+    return Prepared(stages, made, n_rows, coded)
 
 
 # ---- models -------------------------------------------------------------------
@@ -173,12 +195,22 @@ def features_of(prepared: Prepared, kind: str, label: str, tree_encoding: str =
     return own if kind == "gbt" and tree_encoding == "rates" and own in prepared.stages else FEATURES
 
 
+def side_by_side(prepared: Prepared, kinds: tuple, most: int) -> int:
+    """How many fits may run at once: what they keep of the rows takes at most
+    half of the executors' memory, or it goes to disk and back in every pass."""
+    infos = prepared.rows.sparkSession.sparkContext._jsc.sc().statusTracker().getExecutorInfos()
+    memory = sum(info.totalOnHeapStorageMemory() for info in infos)
+    if len(infos) > 1:
+        memory = memory * (len(infos) - 1) // len(infos)  # the driver is listed too
+    return max(1, min(most, memory // 2 // max(1, prepared.n_rows * max(FIT_BYTES.get(kind, 0) for kind in kinds))))
+
+
 def fit_all(prepared: Prepared, roles: Roles, kinds: tuple = KINDS, max_iter: int = 10, parallelism: int = 4,
             tree_encoding: str = "rates", train_partitions: int | None = None, labels: tuple | None = None) -> dict[str, dict]:
     """Every (kind, label) model, fitted on the prepared rows.
 
-    The fits are independent, so up to ``parallelism`` of them are submitted
-    at once from driver threads (as CrossValidator does); each fit is still
+    The fits are independent, so up to ``parallelism`` of them, as many as have
+    room (``side_by_side``), are submitted at once from driver threads (as CrossValidator does); each fit is still
     an ordinary distributed Spark ML job, and small stages of one fit
     overlap with those of another instead of leaving cores idle.
 
@@ -189,7 +221,7 @@ def fit_all(prepared: Prepared, roles: Roles, kinds: tuple = KINDS, max_iter: in
     todo = [(kind, label, classifier(kind, label, max_iter, features=features_of(prepared, kind, label, tree_encoding)))
             for kind in kinds for label in labels or roles.labels]
     rows = prepared.rows.coalesce(train_partitions) if train_partitions else prepared.rows
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(todo)))) as pool:
+    with ThreadPoolExecutor(max_workers=side_by_side(prepared, kinds, min(parallelism, len(todo)))) as pool:
         fitted = list(pool.map(lambda job: job[2].fit(rows), todo))
     out: dict[str, dict] = {kind: {} for kind in kinds}
     for (kind, label, _), model in zip(todo, fitted):

@@ -93,7 +93,7 @@ def model_probabilities(spark: SparkSession, sf_dir: str, kind: str, roles: Role
     prepared = ml.prepare(features, roles, scratch_path(spark, "encodings"), index_ids)
     fitted = ml.fit_all(prepared, roles, (kind,), tree_encoding=tree_encoding)
     written = laid_scores(ml.score(prepared.rows, list(fitted[kind].values()), roles), roles, f"scored_{kind}")
-    prepared.rows.unpersist()
+    prepared.coded.unpersist()
     return written
 
 

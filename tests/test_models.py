@@ -192,3 +192,23 @@ def test_labels_are_computed_once(spark, sf_small, tmp_path):
         made = ml.prepare(table, R, str(tmp_path))
         plan = made.rows._jdf.queryExecution().analyzed().toString() + table._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan
+
+
+def test_prepared_rows_are_even_and_hold_no_vectors(spark, many, tmp_path):
+    """Rows of one match lie in all partitions, in a fixed order whatever the
+    layout, and what is persisted are numbers, not five vectors a row in memory."""
+    with Run(spark) as run:
+        made = ml.prepare(many.where("index < 4000").withColumn("match_id", F.lit("m")), R, str(tmp_path))
+        sizes = made.rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert len(sizes) == 8 and max(r["count"] for r in sizes) < 700 and made.n_rows == 4000
+        kept = run.frames[-1]
+        assert not kept.storageLevel.useMemory and kept.storageLevel.useDisk
+        assert {f.dataType.typeName() for f in kept.schema.fields} <= {"string", "long", "double"}
+        assert made.rows.first().features.size == 40 + 4000 + 2 + 3
+
+
+def test_fits_run_side_by_side_while_they_fit(spark, prepared):
+    from dataclasses import replace
+
+    assert ml.side_by_side(prepared, ml.KINDS, 4) == 4
+    assert ml.side_by_side(replace(prepared, n_rows=10 ** 9), ml.KINDS, 4) == 1
