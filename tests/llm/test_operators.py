@@ -194,6 +194,19 @@ def test_no_window_is_left_unmet(spark, monkeypatch, between):
         assert all(got[str(101 + i)] == (str(101 + i), 0) for i in range(between))
 
 
+@pytest.mark.parametrize("block", [2048, 8])
+def test_links_of_large_groups_are_whole(spark, monkeypatch, block):
+    """24 different texts around one passage: each is linked to all others, not
+    along a tree; copies of a text lose none of these links."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    shared = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"q{i}n{j}" for j in range(80)) + f" {shared} end{i}" for i in range(24)]
+    got = passages.repeated_passages(spark.createDataFrame([*enumerate(texts), *((100 + i, texts[0]) for i in range(3))], SCHEMA)).collect()
+    assert {r.class_id for r in got} == {0}
+    links = {r.doc_id: r.n_links for r in got}
+    assert all(links[i] == 26 for i in range(1, 24)) and all(links[i] >= 23 for i in (0, 100, 101, 102))
+
+
 def test_passages_by_brute_force(spark):
     rng = np.random.default_rng(7)
     sources = [[f"s{k}w{j}" for j in range(90)] for k in range(4)]
