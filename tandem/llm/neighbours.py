@@ -2,11 +2,11 @@
 
 Vectors are projected to ``m`` dimensions by Gaussian (2-stable) vectors, so a
 squared projected distance over the squared true distance follows a chi-square
-distribution with ``m`` degrees of freedom. A shard of projections is indexed
-by a kd-tree. A query takes projected neighbours in order of distance and
-verifies them on the original vectors; it stops when, by the chi-square test, a
-vector not seen yet would be nearer than the k-th found only with probability
-``1 - confidence``.
+distribution with ``m`` degrees of freedom. The projected distances of a few
+queries to a shard are one matrix product. A query takes projected neighbours
+in order of distance and verifies them on the original vectors; it stops when,
+by the chi-square test, a vector not seen yet would be nearer than the k-th
+found only with probability ``1 - confidence``.
 
 Equal vectors are one class, indexed once under its least ids; of a class no
 more than k + 1 ids can be among the k nearest of a vector, itself left out.
@@ -16,9 +16,7 @@ Queries are a stated set that meets all shards in blocks of bounded size.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +30,8 @@ PROJECTED_DIMS = 12
 CONFIDENCE = 0.97
 ROWS_PER_SHARD = 16_384
 QUERIES_PER_BLOCK = 256
-LEAF_ROWS = 256
+QUERIES_AT_ONCE = 32
+FIRST_ROWS = 256
 SPREAD = 1024
 SEED = 11
 
@@ -53,77 +52,55 @@ def chi_square_quantile(m: int, p: float) -> float:
     return high
 
 
-class Tree:
-    """kd-tree over projections: leaves of consecutive rows with their boxes."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF_ROWS):
-        self.order = np.arange(len(points))
-        self.nodes: list[tuple] = []  # (low corner, high corner, left, right, start, end)
-        self.points = points
-        self._build(0, len(points), leaf)
-
-    def _build(self, start: int, end: int, leaf: int) -> int:
-        rows = self.order[start:end]
-        own = self.points[rows]
-        low, high = own.min(0), own.max(0)
-        at = len(self.nodes)
-        self.nodes.append(())
-        axis = int((high - low).argmax())
-        if end - start <= leaf or low[axis] == high[axis]:
-            self.nodes[at] = (low, high, -1, -1, start, end)
-            return at
-        middle = (end - start) // 2
-        self.order[start:end] = rows[np.argpartition(own[:, axis], middle)]
-        left = self._build(start, start + middle, leaf)
-        right = self._build(start + middle, end, leaf)
-        self.nodes[at] = (low, high, left, right, start, end)
-        return at
-
-    def _gap(self, node: int, q: np.ndarray) -> float:
-        low, high = self.nodes[node][:2]
-        d = np.maximum(np.maximum(low - q, q - high), 0)
-        return float(d @ d)
-
-    def neighbours(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared radius, rows): rows within the radius that were not given
-        before, radii increasing, until all rows are given."""
-        heap = [(self._gap(0, q), 0)]
-        rows, dists = np.empty(0, np.int64), np.empty(0)
-        while heap:
-            _, node = heapq.heappop(heap)
-            _, _, left, right, start, end = self.nodes[node]
-            if left >= 0:
-                for child in (left, right):
-                    heapq.heappush(heap, (self._gap(child, q), child))
-                continue
-            own = self.order[start:end]
-            d = self.points[own] - q
-            rows, dists = np.concatenate([rows, own]), np.concatenate([dists, np.einsum("ij,ij->i", d, d)])
-            radius = heap[0][0] if heap else math.inf
-            near = dists <= radius
-            yield radius, rows[near]
-            rows, dists = rows[~near], dists[~near]
-
-
-def search(tree: Tree, vectors: np.ndarray, ids: list[np.ndarray], query: np.ndarray, projected: np.ndarray, query_id: int,
-           k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and ids of the k nearest found, nearest first; every row of
-    the tree has a list of ids."""
+class Shard:
+    """Vectors with their projections; every vector has a list of ids."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[np.ndarray], stable: np.ndarray):
+        self.vectors, self.points = vectors, vectors @ stable
+        self.norms = np.einsum("ij,ij->i", self.points, self.points)
+        self.sizes = np.array([len(i) for i in ids])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate(ids)
+
+    def projected(self, queries: np.ndarray) -> np.ndarray:
+        """Squared projected distances, a row per projected query."""
+        apart = queries @ self.points.T
+        apart *= -2
+        apart += self.norms
+        apart += np.einsum("ij,ij->i", queries, queries)[:, None]
+        return apart
+
+    def named(self, rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of all ids of the rows."""
+        sizes = self.sizes[rows]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(d, sizes), self.ids[np.repeat(self.begins[rows], sizes) + within]
+
+
+def search(shard: Shard, apart: np.ndarray, query: np.ndarray, query_id: int, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest found, nearest first. Rows are
+    verified in order of squared projected distance, in growing portions."""
     best_d, best_i = np.empty(0), np.empty(0, np.int64)
-    for radius, rows in tree.neighbours(projected):
-        if len(rows):
-            d = vectors[rows] - query
-            d = np.sqrt(np.einsum("ij,ij->i", d, d))
-            own = np.concatenate([ids[r] for r in rows])
-            d = np.repeat(d, [len(ids[r]) for r in rows])
-            keep = own != query_id
-            if len(best_d) == k:
-                keep &= d <= best_d[-1]
-            best_d, best_i = np.concatenate([best_d, d[keep]]), np.concatenate([best_i, own[keep]])
-            order = np.lexsort((best_i, best_d))[:k]
-            best_d, best_i = best_d[order], best_i[order]
-        if len(best_d) == k and radius >= limit * best_d[-1] ** 2:
-            break
+    left, portion = np.arange(len(apart)), FIRST_ROWS
+    while len(left):
+        if len(left) > portion:
+            by = np.argpartition(apart[left], portion - 1)
+            rows, left = left[by[:portion]], left[by[portion:]]
+        else:
+            rows, left = left, left[:0]
+        d = shard.vectors[rows] - query
+        d = np.sqrt(np.einsum("ij,ij->i", d, d))
+        if len(best_d) == k:
+            near = d <= best_d[-1]
+            rows, d = rows[near], d[near]
+        d, own = shard.named(rows, d)
+        keep = own != query_id
+        best_d, best_i = np.concatenate([best_d, d[keep]]), np.concatenate([best_i, own[keep]])
+        order = np.lexsort((best_i, best_d))[:k]
+        best_d, best_i = best_d[order], best_i[order]
+        if len(best_d) == k:
+            left = left[apart[left] <= limit * best_d[-1] ** 2]
+        portion *= 4
     return best_d, best_i
 
 
@@ -175,12 +152,13 @@ def nearest(df: DataFrame, k: int = 10, query_modulus: int = 100, id_col: str =
         own, queries = part[~part.q], part[part.q]
         out = []
         if len(own) and len(queries):
-            vectors, ids = np.stack(own.v.to_numpy()), own.ids.tolist()
             stable = np.random.default_rng(SEED).standard_normal((dim, m))
-            tree = Tree(vectors @ stable)
-            for (q,), v in zip(queries.ids, queries.v):
-                d, i = search(tree, vectors, ids, v, v @ stable, q, k, limit)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": i, "score": d}))
+            held = Shard(np.stack(own.v.to_numpy()), own.ids.tolist(), stable)
+            for at in range(0, len(queries), QUERIES_AT_ONCE):
+                names, asked = queries.ids[at:at + QUERIES_AT_ONCE], np.stack(queries.v[at:at + QUERIES_AT_ONCE].to_numpy())
+                for (q,), v, apart in zip(names, asked, held.projected(asked @ stable)):
+                    d, i = search(held, apart, v, q, k, limit)
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": i, "score": d}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and DuckDB."""
 
+import math
 import re
 import zlib
 
@@ -420,6 +421,31 @@ def test_lines_of_rows_that_share_an_id(spark):
 
 
 # ---- 8 neighbours --------------------------------------------------------------------------
+def test_neighbours_search_in_portions():
+    """The search verifies few rows of a shard with groups, all if the limit says so."""
+    rng = np.random.default_rng(6)
+    centres = 50 * rng.normal(size=(30, 16))
+    vectors = centres[np.arange(3000) % 30] + rng.normal(size=(3000, 16))
+    ids = [np.array([2 * i, 2 * i + 1]) if i % 7 == 0 else np.array([2 * i]) for i in range(3000)]
+    stable = rng.standard_normal((16, 12))
+    verified = []
+
+    class Counted(neighbours.Shard):
+        def named(self, rows, d):
+            verified.append(len(rows))
+            return super().named(rows, d)
+
+    for limit, most in ((math.inf, 9 * 3000), (neighbours.chi_square_quantile(12, 0.97), 9 * 400)):
+        shard = Counted(vectors, ids, stable)
+        verified.clear()
+        for q, apart in zip(range(0, 900, 100), shard.projected(vectors[0:900:100] @ stable)):
+            d, i = neighbours.search(shard, apart, vectors[q], 2 * q, 10, limit)
+            true = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+            best = sorted((true[r], x) for r in range(3000) for x in ids[r].tolist() if x != 2 * q)[:10]
+            assert i.tolist() == [x for _, x in best] and d == pytest.approx([x for x, _ in best])
+        assert sum(verified) <= most
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(1500, 16)).astype("f4")
