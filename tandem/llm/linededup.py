@@ -12,8 +12,9 @@ of word counts by hash, whose size does not grow with the words; any order
 gives the same result. A line is removed if an earlier line (by document,
 then line number) is similar; so it is enough to find one: lines are first
 compared with the earliest line that shares two of their three rarest words,
-which settles large groups of copies without pairing them up, and only lines
-not settled by that probe the join.
+then with the earliest one left that shares a word of their prefixes. That
+settles large groups of copies without pairing them up, and only lines not
+settled by it probe the join.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import discard, maybe_in, stored
+from tandem.llm.common import discard, flagged, maybe_in, stored
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
 PASSES = 5
 SKETCH_LONGS = 4
+WORD_ROUNDS = 2
 
 
 def spaced(text: Column, white: str = "\t\r\f\v") -> Column:
@@ -74,7 +76,7 @@ def line_classes(rows: DataFrame) -> DataFrame:
 
 
 def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
-    """Per class its first place, key, size, a parity bitmap of its words and
+    """Per class its first place, key, size, parity bitmaps of its words and
     hashes of its rarest words. A word is one number: its rarity in the upper
     bits, then its hash."""
     levels = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<bigint>")  # folded into a constant
@@ -88,27 +90,35 @@ def signatures(classes: DataFrame, rarity: bytes, t: float) -> DataFrame:
     ordered = F.sort_array(F.array_distinct(F.transform(words, number)))
     sized = classes.select("doc", "pos", F.unhex(F.md5("line")).alias("key"), ordered.alias("words")).select(
         "*", F.size("words").alias("n"))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    bits = F.struct(*[parity(F.col("words"), k).alias(f"b{k}") for k in range(SKETCH_LONGS)])
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1
     return sized.select("doc", "pos", "key", "n", bits.alias("bits"),
                         F.transform(F.slice("words", F.lit(1), keep), lambda w: F.hash(w)).alias("prefix"))
 
 
+def parity(hashes: Column, k: int) -> Column:
+    """The k-th of ``SKETCH_LONGS`` parity bitmaps of a set: the low six
+    bits of a word's hash say which bit, the two above them which bitmap."""
+    def add(a: Column, h: Column) -> Column:
+        own = F.call_function("shiftrightunsigned", h, F.lit(6)).bitwiseAND(F.lit(SKETCH_LONGS - 1)) == k
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(own, a.bitwiseXOR(bit)).otherwise(a)
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), add)
+
+
 def may_match(n: Column, bits: Column, m: Column, other: Column, t: float) -> Column:
     """Sizes, and words that sit in one of the sets only: each parity bit that
-    differs stands for at least one of them."""
+    differs stands for at least one of them. One bitmap of 64 bits is full at
+    a hundred words and would let all pairs of long lines pass."""
     overlap = t / (1 + t) * (n + m) - 1e-9
     similar_size = F.least(n, m) >= t * F.greatest(n, m) - 1e-9
-    return similar_size & (F.bit_count(bits.bitwiseXOR(other)) <= n + m - 2 * F.ceil(overlap))
+    apart = sum(F.bit_count(bits[f"b{k}"].bitwiseXOR(other[f"b{k}"])) for k in range(SKETCH_LONGS))
+    return similar_size & (apart <= n + m - 2 * F.ceil(overlap))
 
 
-def by_leader(sigs: DataFrame, t: float) -> DataFrame:
-    """Each line with the earliest line that shares two of its rarest words."""
-    p = F.col("prefix")
-    twos = [F.when(F.size(p) >= j, F.xxhash64(F.least(p[i - 1], p[j - 1]), F.greatest(p[i - 1], p[j - 1])))
-            for i, j in ((1, 2), (1, 3), (2, 3))]
-    keys = F.array_compact(F.array(*twos, F.when(F.size(p) == 1, p[0].cast("long"))))
+def by_leader(sigs: DataFrame, keys: Column, t: float) -> DataFrame:
+    """Each line with the earliest line of each of its keys."""
     dealt = sigs.select("doc", "pos", "n", "bits", F.explode(keys).alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("doc", "pos", "n", "bits")).alias("l"), F.count(F.lit(1)).alias("size"))
     first = stored(first.where("size > 1").select("key", "l.*"), "line-leaders")
@@ -119,6 +129,33 @@ def by_leader(sigs: DataFrame, t: float) -> DataFrame:
         F.col("x.doc").alias("doc"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.pos").alias("pos2")).distinct()
 
 
+def two_rarest() -> Column:
+    """Keys of a line: two of its three rarest words."""
+    p = F.col("prefix")
+    twos = [F.when(F.size(p) >= j, F.xxhash64(F.least(p[i - 1], p[j - 1]), F.greatest(p[i - 1], p[j - 1])))
+            for i, j in ((1, 2), (1, 3), (2, 3))]
+    return F.array_compact(F.array(*twos, F.when(F.size(p) == 1, p[0].cast("long"))))
+
+
+def words_of(part: int, t: float) -> Column:
+    """Keys of a line: the words of one pass in its prefix, with its size class."""
+    own = F.filter("prefix", lambda w: F.pmod(w, F.lit(PASSES)) == part)
+    return F.transform(own, lambda w: F.xxhash64(w, band(F.col("n"), t)))
+
+
+def settle(sigs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """(doc, pos) of lines similar to a leader, the earliest line that shares a
+    key and is not settled yet. Copies that have words of their own as their
+    rarest ones share no two of these; the words of a pass find them, and each
+    further round leaves a part of the lines of a group that the one before it left."""
+    settled = verified(stored(by_leader(sigs, two_rarest(), t), "line-pairs"), rows, t)
+    for part in range(WORD_ROUNDS):
+        left = flagged(sigs, settled, ["doc", "pos"]).where("NOT maybe__").select(*sigs.columns)
+        more = verified(stored(by_leader(left, words_of(part, t), t), "line-pairs"), rows, t)
+        settled = settled.union(more)  # lines of different rounds
+    return settled
+
+
 def band(size: Column, t: float) -> Column:
     """Number of a line's size class; the similar sizes of a line span few of them."""
     return F.floor(F.ln(size) / math.log(1 / t)).cast("int")
@@ -188,7 +225,8 @@ def verified(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
     similar pair, are compared before the texts are."""
     named = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
     named = stored(named, "line-names")
-    lines = maybe_in(occurrences(rows), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", "line")
+    about = maybe_in(rows, named.select("doc").distinct(), ["doc"])  # before texts are split
+    lines = maybe_in(occurrences(about), named, ["doc", "pos"]).join(named, ["doc", "pos"]).select("doc", "pos", "line")
     lines = lines.distinct().withColumn("hashes", F.transform(words_array(F.col("line")), lambda w: F.hash(w)))
     lines = stored(lines.select("doc", "pos", "line", F.size("hashes").alias("n"), sketch(F.col("hashes")).alias("sketch")), "line-texts")
 
@@ -217,7 +255,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.where(F.col(text_col).isNotNull()).select(
         document(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(line_classes(rows), rarity_table(rows), t), "line-signatures")
-    settled = verified(stored(by_leader(sigs, t), "line-pairs"), rows, t)
+    settled = settle(sigs, rows, t)
     marked = stored(sigs.join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left"), "line-marked")
     discard(sigs)
     similar = settled.union(verified(by_prefix(marked, t), rows, t)).withColumn("gone", F.lit(True))

@@ -420,6 +420,33 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert [t for d, t in got if d == 0] == ["", "", "a b c", "d e f"] and [t for d, t in got if d in (1, (1 << 63) - 1)] == ["x y z", "s t u"]
 
 
+def test_line_dedup_pairs_in_a_group_of_near_copies(spark):
+    """Copies with rarest words of their own, and long lines that are not quite
+    similar, are not all paired up; what goes is what brute force says."""
+    rng = np.random.default_rng(3)
+
+    def group(name: str, words: int, lines: int, changed: int) -> list[str]:
+        base = [f"{name}{i}" for i in range(words)]
+        out = []
+        for k in range(lines):
+            line = list(base)
+            for i in rng.choice(words, changed, replace=False):
+                line[i] = f"{name}own{k}x{i}"
+            out.append(" ".join(line))
+        return out
+
+    lines = group("a", 70, 60, 3) + group("b", 150, 40, 35)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], SCHEMA)
+    rows = docs.select(linededup.document("doc_id", "text").alias("doc"), "text")
+    sigs = linededup.stored(linededup.signatures(linededup.line_classes(rows), linededup.rarity_table(rows), 0.8), "test")
+    settled = linededup.settle(sigs, rows, 0.8)
+    marked = linededup.stored(sigs.join(settled.withColumn("done", F.lit(1)), ["doc", "pos"], "left"), "test")
+    assert linededup.by_prefix(marked, 0.8).count() <= 3 * len(lines)  # of 2550 pairs within the groups
+    sets = [set(line.split()) for line in lines]
+    gone = [i for i, a in enumerate(sets) if any(len(a & b) / len(a | b) >= 0.8 - 1e-9 for b in sets[:i])]
+    assert gone and [r.doc_id for r in linededup.dedup_lines(docs).where("n_lines_removed > 0").orderBy("doc_id").collect()] == gone
+
+
 # ---- 8 neighbours --------------------------------------------------------------------------
 def test_neighbours_search_in_portions():
     """The search verifies few rows of a shard with groups, all if the limit says so."""
