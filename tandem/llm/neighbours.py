@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from tandem.llm.common import shards, stored
 
 PROJECTED_DIMS = 12
-CONFIDENCE = 0.97
+CONFIDENCE = 0.999
 ROWS_PER_SHARD = 16_384
 QUERIES_PER_BLOCK = 256
 QUERIES_AT_ONCE = 32
