@@ -30,7 +30,7 @@ SEPARATOR_ID = 0
 OPEN_BINS = 4096
 DOCS_PER_SHARD = 16_000
 BATCH_BYTES = 1 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000  # a worker keeps them between stages, about 200 bytes each
 WORDS_PER_CALL = 1000
 OTHER_SPACE = re.compile(r" (?:\s|\Z)").search
 
