@@ -208,6 +208,25 @@ def test_links_of_large_groups_are_whole(spark, monkeypatch, block):
     assert all(links[i] == 26 for i in range(1, 24)) and all(links[i] >= 23 for i in (0, 100, 101, 102))
 
 
+def test_copies_are_joined_once(spark):
+    """20 copies of a text and a text that shares a passage with it: two units,
+    one pair, yet every document has a link to each other one."""
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, shared + " own end") for i in range(20)] + [(30, " ".join(f"q{j}" for j in range(80)) + " " + shared)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert passages.text_units(frame, "doc_id", "text").select("unit").distinct().count() == 2
+    got = passages.repeated_passages(frame).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 20)}
+    assert all((0, 62) in [(p.start, p.end) for p in r.passages] for r in got if r.doc_id < 20)
+
+
+def test_passages_of_an_id_with_two_texts(spark):
+    shared, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(5, shared), (5, other), (6, shared), (7, other), (8, "short"), (9, "short"), (None, shared), (3, None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {5: (5, 2), 6: (5, 1), 7: (5, 1), 8: (8, 0), 9: (9, 0), None: (None, 0), 3: (3, 0)}
+
+
 def test_passages_by_brute_force(spark):
     rng = np.random.default_rng(7)
     sources = [[f"s{k}w{j}" for j in range(90)] for k in range(4)]
@@ -306,6 +325,14 @@ def test_word_encoder_gives_the_tokenizers_ids():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_encoder_holds_few_words():
+    """A worker's encoder stays between stages, beside those of other tasks."""
+    encoder = packing.WordEncoder(packing.tokenizer_file(), packing.tokenizer_file("byte_bpe_50k.tiktoken"))
+    for part in range(4):
+        got = encoder.encode([" ".join(f"w{i}" for i in range(part * 100_000, (part + 1) * 100_000))])
+        assert len(got[0]) > 400_000 and len(encoder.known) < 350_000
+
+
 def test_packing(docs, nothing):
     rows = packing.pack_documents(docs).collect()
     by_sequence, by_doc = {}, {}
