@@ -159,6 +159,13 @@ def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 # ---- counting -----------------------------------------------------------------
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys side by side, and where each group begins."""
+    by = np.argsort(keys)
+    ordered = keys[by]
+    return by, np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]]))
+
+
 def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeated=None) -> DataFrame:
     """(hash, prefix, suffix, n) of the runs of ``order`` words that occur twice
     or more, their prefix and suffix marked in the bitmaps that ``contexts`` and
@@ -181,11 +188,15 @@ def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeat
                     key, prefix, suffix, _ = found
                     wanted = marked(contexts.value, prefix)
                     wanted[wanted] = marked(repeated.value, suffix[wanted])
-                    keys, first, n = np.unique(key[wanted], return_index=True, return_counts=True)
-                    cols = [prefix[wanted][first], suffix[wanted][first]]
+                    key = key[wanted]
+                    by, starts = grouped(key)
+                    first, n = by[starts], np.diff(starts, append=len(by))
+                    keys, cols = key[first], [prefix[wanted][first], suffix[wanted][first]]
                 bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int32)
                 if not single:  # equal prefixes side by side are stored in less space
-                    by = np.lexsort((cols[0], bucket))
+                    by = np.argsort(cols[0])
+                    by = by[np.argsort(bucket[by].astype(np.uint16) if bucket_bits <= 16 else bucket[by], kind="stable")]
+                    bucket = bucket[by]
                     cols, n = [c[by] for c in cols], n[by]
                 used, starts = np.unique(bucket, return_index=True)
                 ends = [*starts[1:].tolist(), len(n)]
@@ -195,10 +206,11 @@ def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeat
     def add(table: pa.Table) -> pa.Table:
         cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in names]
         n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int32)
-        keys, first, place = np.unique(cols[0] if single else joined(*cols), return_index=True, return_inverse=True)
-        n = np.bincount(place, n, len(keys)).astype(np.int64)
+        keys = cols[0] if single else joined(*cols)
+        by, starts = grouped(keys)
+        first, n = by[starts], np.diff(np.concatenate([[0], np.cumsum(n[by], dtype=np.int64)])[np.append(starts, len(by))])
         keep = n >= (1 if single else 2)
-        out = [keys, *([] if single else [c[first] for c in cols])]
+        out = [keys[first], *([] if single else [c[first] for c in cols])]
         return pa.table([*(pa.array(c[keep].view(np.int64)) for c in out), pa.array(n[keep])], names=["hash", *([] if single else names), "n"])
 
     sent = rows.mapInArrow(count, "bucket int, " + "".join(f"{c} binary, " for c in names) + "n binary")
@@ -208,7 +220,8 @@ def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeat
 # ---- the tree -----------------------------------------------------------------
 def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
     """The fitted tree of the texts in ``text``: N, V, per order the table of the
-    numbers (hash, score, base) that runs add to a score, and the states."""
+    numbers (hash, score, base) that runs add to a score, and the states. Joins
+    hash the side that has each key once, in place of sorting both."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, math.ceil(math.log2(size / BUCKET_BYTES + 1)))
@@ -226,11 +239,11 @@ def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
             m.unpersist()
         own = below.where(F.col("n") >= least).select(F.col("hash").alias("prefix"), F.col("n").alias("size"), *(["suffix"] if order > 2 else []))
         repeats = found.groupBy("prefix").agg(F.sum("n").alias("again"), F.sum(F.col("n") - 1).alias("off"))
-        context = stored(repeats.join(own, "prefix").select(
+        context = stored(repeats.hint("shuffle_hash").join(own, "prefix").select(
             "prefix", *(["suffix"] if order > 2 else []), "size", (F.col("size") - F.col("again")).alias("once"),
             ((F.col("size") - F.col("off")) / F.col("size")).alias("b")), "tree-contexts")
         parent = below.select(F.col("hash").alias("suffix"), F.col("p").alias("below"))
-        level = found.join(context.select("prefix", "size", "b"), "prefix").join(parent, "suffix").select(
+        level = found.join(context.select("prefix", "size", "b").hint("shuffle_hash"), "prefix").join(parent.hint("shuffle_hash"), "suffix").select(
             "hash", "prefix", "suffix", "n", ((F.col("n") - 1) / F.col("size") + F.col("b") * F.col("below")).alias("p"), "below", "b")
         levels.append(stored(level, "tree-levels"))
         discard(found)
@@ -239,19 +252,19 @@ def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
     states: list[DataFrame] = []
     for k in range(depth, 0, -1):
         gain = levels[k].groupBy("prefix").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("below"))).alias("gain"))
-        passed = gain.join(contexts[k - 1], "prefix").where(F.col("gain") + F.col("once") * F.ln("b") >= threshold).select("prefix")
+        passed = gain.hint("shuffle_hash").join(contexts[k - 1], "prefix").where(F.col("gain") + F.col("once") * F.ln("b") >= threshold).select("prefix")
         if states:
             passed = passed.union(states[-1].select(F.col("suffix").alias("prefix"))).distinct()
-        state = contexts[k - 1].join(passed, "prefix").select("prefix", *(["suffix"] if k > 1 else []), F.ln("b").alias("ln_b"))
+        state = contexts[k - 1].join(passed.hint("shuffle_hash"), "prefix").select("prefix", *(["suffix"] if k > 1 else []), F.ln("b").alias("ln_b"))
         states.append(stored(state, "tree-states"))
     states.reverse()
     numbers = [states[0].select(F.col("prefix").alias("hash"), F.col("ln_b").alias("number"))]
     for order in range(2, depth + 2):
         at = states[order - 2].select("prefix", F.lit(True).alias("state"))
-        kept = levels[order - 1].join(at, "prefix", "left")
+        kept = levels[order - 1].join(at.hint("shuffle_hash"), "prefix", "left")
         number = F.when(F.col("state"), F.ln(F.col("p") / F.col("below")) - F.ln("b")).otherwise(F.lit(0.0))
         if order <= depth:
-            kept = kept.join(states[order - 1].select(F.col("prefix").alias("hash"), "ln_b"), "hash", "left")
+            kept = kept.join(states[order - 1].select(F.col("prefix").alias("hash"), "ln_b").hint("shuffle_hash"), "hash", "left")
             number = number + F.coalesce("ln_b", F.lit(0.0))
         numbers.append(stored(kept.select("hash", number.alias("number")).where("number <> 0"), "tree-numbers"))
     for done in (*levels[1:], *contexts):

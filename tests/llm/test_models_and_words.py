@@ -116,6 +116,14 @@ def test_word_hashes():
     assert len(set(by_word.values())) == len(by_word) > 1000
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_equal_hashes_side_by_side(n):
+    keys = np.random.default_rng(3).integers(0, 300, n).astype(np.uint64)
+    by, starts = suffixtree.grouped(keys)
+    values, counts = np.unique(keys, return_counts=True)
+    assert keys[by[starts]].tolist() == values.tolist() and np.diff(starts, append=n).tolist() == counts.tolist()
+
+
 def test_tree_of_nothing(spark):
     assert suffixtree.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
