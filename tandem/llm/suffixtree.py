@@ -32,11 +32,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,8 @@ LEAST_BUCKETS = 64
 SHARD_BYTES = 6 << 20  # of text that is scored at a time
 ROUNDS = 6
 PIECE_BITS = 18
+LONG_WORD = 64  # bytes; longer words are hashed one by one
+PACKED_ROWS = 1 << 18
 END = np.uint64(0xE7037ED1A0B428DB)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -64,50 +67,37 @@ def held_out(id_col: str) -> Column:
 
 
 # ---- runs of words ------------------------------------------------------------
-# A word's hash is a polynomial in its bytes' random numbers, modulo 2^64: the
-# difference of two prefix sums, so that a whole piece of text is hashed at once.
-_BASE = np.uint64(0x9E3779B97F4A7C13)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
-_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2^bits powers of the base and of its inverse."""
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        p = np.full(1 << bits, base)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return tuple(out)
+# A word's hash takes in its bytes eight at a time, for all words of a piece of
+# text at once, so its work grows with the words and not with their letters.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words in the bytes and where they start; a word ends at
-    white space and where a text begins."""
+    """Hashes of the words in the bytes, A-Z as a-z, and where they start; a word
+    ends at white space and where a text begins."""
     n = len(data)
-    space = _SPACES[data]
+    space = (data == 32) | (data - np.uint8(9) <= 4)
     border = np.zeros(n + 1, bool)  # before a byte
     border[begins] = border[n] = True
     border[1:] |= space
     border[:-1] |= space
     starts, ends = np.flatnonzero(~space & border[:-1]), np.flatnonzero(~space & border[1:]) + 1
+    lowered = data.tobytes().lower() + bytes(8)
+    eight = np.ndarray((n + 1,), "<u8", lowered, strides=(1,))  # the eight bytes from each place on
     out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        # A piece of whole words, about 2^PIECE_BITS bytes.
-        at = int(starts[done])
-        upto = max(done + 1, int(np.searchsorted(ends, at + (1 << PIECE_BITS), "right")))
-        size = int(ends[upto - 1]) - at
-        up, down = powers(max(PIECE_BITS, size.bit_length()))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTES[data[at:at + size]] * up[:size], out=sums[1:])
-        s, e = starts[done:upto] - at, ends[done:upto] - at
-        out[done:upto] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _RIGHT
-        done = upto
-    return mixed(out), starts
+    for done in range(0, len(starts), 1 << PIECE_BITS):
+        s, size = starts[done:done + (1 << PIECE_BITS)], (ends - starts)[done:done + (1 << PIECE_BITS)]
+        h = mixed(size.astype(np.uint64) * _RIGHT + (eight[s] & _FIRST_BYTES[np.minimum(size, 8)]))
+        more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at = 8
+        while len(more):
+            left = size[more] - at
+            h[more] = mixed(h[more] * _LEFT + (eight[s[more] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+            more, at = more[left > 8], at + 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(lowered[s[i]:s[i] + size[i]])
+        out[done:done + len(s)] = h
+    return out, starts
 
 
 def concatenated(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +109,12 @@ def concatenated(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.empty(0, np.uint8)
     bounds -= bounds[0]
     words, starts = word_hashes(data, bounds[:-1])
-    owner = np.searchsorted(bounds, starts, "right") - 1
+    sizes = np.diff(np.searchsorted(starts, bounds)) + 1
     out = np.full(len(words) + len(texts), END)
-    out[np.arange(len(words)) + owner] = words
-    return out, np.repeat(np.arange(len(texts), dtype=np.int32), np.bincount(owner, minlength=len(texts)) + 1)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = words
+    return out, np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
 
 
 def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -194,8 +186,8 @@ def counted(rows: DataFrame, order: int, bucket_bits: int, contexts=None, repeat
                     keys, cols = key[first], [prefix[wanted][first], suffix[wanted][first]]
                 bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int32)
                 if not single:  # equal prefixes side by side are stored in less space
-                    by = np.argsort(cols[0])
-                    by = by[np.argsort(bucket[by].astype(np.uint16) if bucket_bits <= 16 else bucket[by], kind="stable")]
+                    low = np.uint64(bucket_bits)
+                    by = np.argsort(keys >> np.uint64(64 - bucket_bits) << np.uint64(64 - bucket_bits) | cols[0] >> low)
                     bucket = bucket[by]
                     cols, n = [c[by] for c in cols], n[by]
                 used, starts = np.unique(bucket, return_index=True)
@@ -276,20 +268,23 @@ def grow(rows: DataFrame, depth: int, penalty: float) -> dict:
 WORDS, RUNS = 0, 1  # kinds of numbers: counts of words, and what runs add to a score
 
 
-def asked(texts: pa.Array, marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """What texts need to be scored, a kind at a time: the kind, the different
-    hashes in order and, per occurrence, the place of its hash and whose it is."""
+def needed(texts: pa.Array, marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What texts need to be scored, a kind at a time: the kind and, per
+    occurrence, the hash and whose it is."""
     words, owner = concatenated(texts)
-    keys, place = np.unique(words, return_inverse=True)
-    yield WORDS, keys, place, owner
-    del keys, place
+    yield WORDS, words, owner
     kept, whose = [], []
     for bits, (key, of) in zip(marks, chain([(words, owner)], ((key, of) for key, _, _, of in runs(words, owner, len(marks))))):
         known = marked(bits, key)
         kept.append(key[known])
         whose.append(of[known])
-    keys, place = np.unique(np.concatenate(kept), return_inverse=True)
-    yield RUNS, keys, place, np.concatenate(whose)
+    yield RUNS, np.concatenate(kept), np.concatenate(whose)
+
+
+def different(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes in order, by a sort that carries no places along."""
+    ordered = np.sort(hashes)
+    return ordered[np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])]
 
 
 def whole(chunks: pa.ChunkedArray) -> pa.Array:
@@ -304,6 +299,29 @@ def in_buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield b, keys[s:e]
 
 
+def cut(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(kind, hash, number) as (kind, bucket, hashes, numbers), a row per bucket
+    of about ``PACKED_ROWS`` rows."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+        if not size or batch is not None and size < PACKED_ROWS:
+            continue
+        kinds, hashes, numbers = (np.concatenate([column(b, c).to_numpy() for b in held]) for c in ("kind", "hash", "number"))
+        held, size, out = [], 0, []
+        for kind in np.unique(kinds).tolist():
+            keys, number = hashes[kinds == kind].view(np.uint64), numbers[kinds == kind]
+            by = np.argsort(keys)
+            number, at = number[by], 0
+            for bucket, part in in_buckets(keys[by], bits):
+                out.append((kind, bucket, part.tobytes(), number[at:at + len(part)].tobytes()))
+                at += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                         ["kind", "bucket", "hashes", "numbers"])
+
+
 def scored(rows: DataFrame, tree: dict) -> DataFrame:
     """(id, text) -> (id, n_tokens, n_known, base, score), natural logarithms; one
     row per row."""
@@ -315,17 +333,17 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out = [(shard, kind, bucket, part.tobytes()) for kind, keys, _, _ in asked(whole(table.column("text")), marks.value)
-               for bucket, part in in_buckets(keys, bits)]
+        out = [(shard, kind, bucket, part.tobytes()) for kind, hashes, _ in needed(whole(table.column("text")), marks.value)
+               for bucket, part in in_buckets(different(hashes), bits)]
         return pa.table([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                         names=["shard", "kind", "bucket", "keys"])
 
     def pack(numbers: pa.Table) -> pa.Table:
         """A bucket's hashes in order, and their numbers, as one row."""
-        known = numbers.column("hash").to_numpy().view(np.uint64)
+        known, number = (np.frombuffer(b"".join(numbers.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("numbers", np.float64)))
         by = np.argsort(known)
         return pa.table([*(numbers.column(c)[:1] for c in ("kind", "bucket")), pa.array([known[by].tobytes()], pa.binary()),
-                         pa.array([numbers.column("number").to_numpy()[by].tobytes()], pa.binary())], names=["kind", "bucket", "hashes", "numbers"])
+                         pa.array([number[by].tobytes()], pa.binary())], names=["kind", "bucket", "hashes", "numbers"])
 
     def answer(questions: pa.Table, numbers: pa.Table) -> pa.Table:
         known, number = (np.frombuffer(b"".join(numbers.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("numbers", np.float64)))
@@ -340,18 +358,20 @@ def scored(rows: DataFrame, tree: dict) -> DataFrame:
             out.append((found.astype(np.int64) if kind == WORDS else found).tobytes())
         return pa.table([*(questions.column(c) for c in ("shard", "kind", "bucket")), pa.array(out, pa.binary())], names=["shard", "kind", "bucket", "numbers"])
 
-    bucket = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits)).cast("int").alias("bucket")
-    table = tree["words"].select(F.lit(WORDS).alias("kind"), bucket, "hash", F.col("n").cast("double").alias("number"))
+    table = tree["words"].select(F.lit(WORDS).alias("kind"), "hash", F.col("n").cast("double").alias("number"))
     for n in tree["numbers"]:
-        table = table.union(n.select(F.lit(RUNS), bucket, "hash", "number"))
-    table = stored(table.groupBy("kind", "bucket").applyInArrow(pack, "kind int, bucket int, hashes binary, numbers binary"), "tree-buckets")
+        table = table.union(n.select(F.lit(RUNS), "hash", "number"))
+    packed = "kind int, bucket int, hashes binary, numbers binary"
+    table = table.mapInArrow(lambda batches: cut(batches, bits), packed)  # few rows are shuffled
+    table = stored(table.groupBy("kind", "bucket").applyInArrow(pack, packed), "tree-buckets")
     mass, id_kind = tree["mass"], rows.schema["id"].dataType
 
     def add(texts: pa.Table, numbers: pa.Table) -> pa.Table:
         given = {(k, b): v for k, b, v in zip(*(numbers.column(c).to_pylist() for c in ("kind", "bucket", "numbers")))}
         every, n = whole(texts.column("text")), len(texts)
         sums = {}
-        for kind, keys, place, owner in asked(every, marks.value):
+        for kind, hashes, owner in needed(every, marks.value):
+            keys, place = np.unique(hashes, return_inverse=True)
             got = b"".join(given[kind, b] for b, _ in in_buckets(keys, bits))
             if kind == WORDS:
                 count = np.frombuffer(got, np.int64)

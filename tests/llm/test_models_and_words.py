@@ -124,6 +124,26 @@ def test_equal_hashes_side_by_side(n):
     assert keys[by[starts]].tolist() == values.tolist() and np.diff(starts, append=n).tolist() == counts.tolist()
 
 
+def test_numbers_are_packed_before_they_are_shuffled(monkeypatch):
+    """A row per bucket and piece, hashes in order, each with its number."""
+    monkeypatch.setattr(suffixtree, "PACKED_ROWS", 700)
+    rng = np.random.default_rng(4)
+    hashes, kinds = rng.integers(0, 1 << 63, 2000).astype(np.int64) * 2 + 1, np.repeat([0, 1], 1000).astype(np.int32)
+    numbers = hashes / 3.0
+    batches = pa.table([kinds, hashes, numbers], names=["kind", "hash", "number"]).to_batches(max_chunksize=300)
+    got = [r for b in suffixtree.cut(iter(batches), 3) for r in b.to_pylist()]
+    assert len(got) <= 8 * 2 * 3
+    found = set()
+    for r in got:
+        keys, values = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["numbers"], np.float64)
+        assert (keys >> np.uint64(61) == r["bucket"]).all() and (np.diff(keys.astype(object)) > 0).all()
+        found |= {(r["kind"], k, v) for k, v in zip(keys.view(np.int64).tolist(), values.tolist())}
+    assert found == set(zip(kinds.tolist(), hashes.tolist(), numbers.tolist()))
+    assert not list(suffixtree.cut(iter([]), 3))
+    words, _ = suffixtree.concatenated(pa.array(["a b A", "c" * 70 + " b " + "C" * 70]))
+    assert suffixtree.different(words).tolist() == sorted(set(words.tolist())) and len(set(words.tolist())) == 4
+
+
 def test_tree_of_nothing(spark):
     assert suffixtree.score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
