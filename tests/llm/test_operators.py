@@ -159,6 +159,22 @@ def test_verify_finds_the_dense_end_of_a_run():
     assert passages.verify(same, same, 46, 0.8)
 
 
+def test_scattered_common_shingles_are_not_aligned(monkeypatch):
+    """No stretch is similar where a third of the places are common; the bound
+    that says so lets every similar stretch pass."""
+    a, b = np.arange(1, 601, dtype=np.uint64), np.arange(10_001, 10_601, dtype=np.uint64)
+    b[::3] = a[::3]
+    monkeypatch.setattr(passages, "aligned", None)
+    assert passages.verify(a, b, 46, 0.8) == []
+    rng = np.random.default_rng(8)
+    for share in np.linspace(0.6, 1, 60):
+        places = np.flatnonzero(rng.random(90) < share)
+        similar = any(places[j] - places[i] >= 45 and (j - i + 1) >= 0.8 * (places[j] - places[i] + 1)
+                      for i in range(len(places)) for j in range(i, len(places)))
+        assert passages.dense(places, 46, 0.8) == similar
+    assert not passages.dense(places[:0], 46, 0.8)
+
+
 def test_near_passages_are_candidates(spark):
     """400 pairs that share 50 words but one."""
     rows = []
