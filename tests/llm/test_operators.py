@@ -243,6 +243,51 @@ def test_passages_of_an_id_with_two_texts(spark):
     assert got == {5: (5, 2), 6: (5, 1), 7: (5, 1), 8: (8, 0), 9: (9, 0), None: (None, 0), 3: (3, 0)}
 
 
+def test_alignment_of_repeated_shingles():
+    """By bits as one match after the other."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (rng.integers(0, int(rng.integers(2, 30)), int(rng.integers(1, 60))) for _ in range(2))
+        rows, columns = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        for p, q in (passages.aligned_by_bits(a, b, rows, columns), passages.aligned(a, b)):
+            assert len(p) == best[-1, -1] and (a[p] == b[q]).all() and (np.diff(p) > 0).all() and (np.diff(q) > 0).all()
+
+
+def test_only_shared_stretches_leave_a_text(spark):
+    """Of long texts around one passage, the passage; of texts that share no
+    passage, nothing, though a phrase is in all of them."""
+    shared = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"q{i}n{j}" for j in range(500)) + f" {shared} " + " ".join(f"r{i}n{j}" for j in range(500))) for i in range(3)]
+    rows += [(i, " ".join(f"q{i}n{j}" for j in range(500)) + " p0 p1 p2 p3 p4 p5 p6 p7 " + f"end{i} " * 9) for i in range(3, 40)]
+    chunks = passages.in_chunks(spark.createDataFrame(rows, "u long, text string")).persist()
+    again = passages.occur_again(chunks, 5, 16)
+    found = passages.stretches_of(chunks, again, 46, 8, 5, 0.8, 16).collect()
+    chunks.unpersist()
+    assert sorted(r.u for r in found) == [0, 1, 2]
+    assert all(np.frombuffer(r.places, np.int32).tolist() == list(range(500, 556)) for r in found)
+
+
+def test_pairs_are_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    """Texts of several families, some repeating themselves, two by two and at once."""
+    rng = np.random.default_rng(11)
+    sources = [[f"s{k}w{j % (90 if k else 20)}" for j in range(90)] for k in range(3)]
+    rows = [(i, " ".join([f"d{i}w{j}" for j in range(20)] + [f"d{i}e{j}" if rng.random() < 0.02 else w for k in rng.integers(0, 3, 2) for j, w in enumerate(sources[k])]))
+            for i in range(24)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    runs = [passages.shingles(t) for _, t in rows]
+    want = {(i, j) for i in range(24) for j in range(i + 1, 24) if passages.verify(runs[i], runs[j], 46, 0.8)}
+    for block in (2048, 3):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        got = {(r.doc, r.doc2) for r in passages.passage_pairs(frame).collect()}
+        assert got == want
+    links = {r.doc_id: r.n_links for r in passages.repeated_passages(frame).collect()}
+    assert links == {i: sum(i in pair for pair in want) for i in range(24)} and 20 < len(want)
+
+
 def test_passages_by_brute_force(spark):
     rng = np.random.default_rng(7)
     sources = [[f"s{k}w{j}" for j in range(90)] for k in range(4)]
