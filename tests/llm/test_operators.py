@@ -243,6 +243,17 @@ def test_passages_of_an_id_with_two_texts(spark):
     assert got == {5: (5, 2), 6: (5, 1), 7: (5, 1), 8: (8, 0), 9: (9, 0), None: (None, 0), 3: (3, 0)}
 
 
+def test_no_copy_in_a_large_group_loses_links(spark):
+    """24 texts of the same words, in other case and spacing, and 24 ids that each
+    have this text and one of their own: all are linked to all others."""
+    words = [f"p{i}" for i in range(60)]
+    rows = [(i, "  ".join(w.upper() if k == i else w for k, w in enumerate(words))) for i in range(24)]
+    rows += [row for i in range(24) for row in ((100 + i, " ".join(words)), (100 + i, " ".join(f"q{i}n{k}" for k in range(60))))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 47)}
+    assert all([(p.start, p.end) for p in r.passages] == [(0, 60)] for r in got)
+
+
 def test_alignment_of_repeated_shingles():
     """By bits as one match after the other."""
     rng = np.random.default_rng(9)
